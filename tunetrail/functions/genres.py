@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tunetrail.functions.text import trim_all
+from tunetrail.functions.text import literal_map, trim_all
 from tunetrail.schema import GENRE_CONSOLIDATION, GENRE_PRIORITY
 
 # One quoted Python string literal, and a whole list of them.
@@ -47,5 +47,4 @@ def dominant_genre(tags, priority=None, default="Other", display=display_name):
 def consolidate(c, mapping=None):
     """Merge near-equal categories; names outside the mapping stay."""
     mapping = GENRE_CONSOLIDATION if mapping is None else mapping
-    table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, c), c)
+    return F.coalesce(F.try_element_at(literal_map(mapping), c), c)

@@ -33,6 +33,12 @@ def _folds():
     return single, multi, marks
 
 
+def literal_map(pairs):
+    """A constant string map, sent to Spark as one literal."""
+    text = "\u0002".join(f"{k}\u0001{v}" for k, v in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\u0002"), F.lit("\u0001"))
+
+
 def _char_class(codes):
     """Regex class of code points, as ranges."""
     spans = []
@@ -55,7 +61,7 @@ def strip_accents(c):
     latin = c.rlike(rf"^[\x{{00}}-\x{{{LATIN_END - 1:X}}}]*$") & ~c.rlike(_char_class(map(ord, latin_multi)))
     latin_map = {a: b for a, b in single.items() if ord(a) < LATIN_END}
 
-    table = F.create_map(*[F.lit(x) for pair in multi.items() for x in pair])
+    table = literal_map(multi)
     one_by_one = F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
     spread = F.when(c.rlike(_char_class(map(ord, multi))), F.array_join(one_by_one, "")).otherwise(c)
     other = F.regexp_replace(F.translate(spread, "".join(single), "".join(single.values())), _char_class(marks), "")
@@ -88,7 +94,7 @@ def artist_key(c, aliases=None):
     key = F.translate(key, "$ " + KEY_PUNCTUATION, "s")
     if not aliases:
         return key
-    table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    table = literal_map(aliases)
     return F.coalesce(F.try_element_at(table, name), key)
 
 

@@ -85,6 +85,12 @@ def term_counts(df, tokens="tokens"):
             .withColumn("terms", counted).drop("_sorted", "_ends"))
 
 
+def unfold(df, terms, *keep):
+    """One row per term. The outer form keeps Spark from adding a size filter below, which
+    would work out each array a second time."""
+    return df.select(*keep, F.inline_outer(terms)).where(F.col("token").isNotNull())
+
+
 def vocabulary(docs, min_df=2, max_df=0.7, cap=100, weight=None):
     """The `cap` most used tokens among those in `min_df` … `max_df`·N documents.
 
@@ -93,7 +99,7 @@ def vocabulary(docs, min_df=2, max_df=0.7, cap=100, weight=None):
     """
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     counted = term_counts(docs.select("tokens", times.alias("_times")))
-    totals = (counted.select("_times", F.inline("terms")).groupBy("token")
+    totals = (unfold(counted, "terms", "_times").groupBy("token")
               .agg(F.sum("_times").alias("df"), F.sum(F.col("tf") * F.col("_times")).alias("total")))
     n_docs = docs.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n")).scalar()
     kept = (totals.withColumn("documents", n_docs)
@@ -122,7 +128,7 @@ def tfidf(docs, vocab, key):
             t["token"].alias("token"), (t["tf"] * F.try_element_at("_idf", t["token"])).alias("raw"))),
         lambda t: t["raw"].isNotNull()))
     norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["raw"] * t["raw"]))
-    return (weighed.withColumn("_norm", norm).select(key, "_norm", F.inline("_terms"))
+    return (unfold(weighed.withColumn("_norm", norm), "_terms", key, "_norm")
             .select(key, "token", (F.col("raw") / F.col("_norm")).alias("weight")))
 
 

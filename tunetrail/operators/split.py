@@ -1,36 +1,51 @@
 """Exact train / test splits without ranking every row in one task."""
 
+from functools import reduce
+
 from pyspark.sql import Window, functions as F
 
 from tunetrail.functions.time import micros
 
 
-def rank_cut(df, order, levels, fraction, by=()):
-    """Per group of `by`, the order key of row number floor(fraction · rows).
+def rank_cut(df, order, levels, fraction, by=None):
+    """{group: order key of row number floor(fraction · rows of the group)}.
 
-    `levels` are columns that coarsen the order, each finer than the one before. Row counts
-    per level value (combined on the map side) narrow the search to one value of the last
-    level; only the rows that share it are ranked. Returns (by…, `cut` struct of `order`),
-    without the groups whose cut is row 0.
+    `levels` are columns that coarsen the order, each finer than the one before. For each
+    level one job counts rows per value (combined on the map side) and one row per group
+    comes back: the value that holds the cut. The next job reads that value only, so just the
+    rows that share the last level are ranked. Groups whose cut is row 0 are left out.
     """
-    by = list(by) or ["_all"]
-    scope = df if by != ["_all"] else df.withColumn("_all", F.lit(0))
-    found = None
+    rows = df.withColumn("_group", F.lit(0) if by is None else F.col(by)).where(F.col("_group").isNotNull())
+    needs = None
     for level in levels:
-        counts = scope.groupBy(*by, *(["_need"] if found is not None else []), F.col(level).alias("_value")) \
-            .agg(F.count(F.lit(1)).alias("_n"))
-        group = Window.partitionBy(*by)
-        running = group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-        if found is None:
-            counts = counts.withColumn("_need", F.floor(F.sum("_n").over(group) * F.lit(fraction)))
-        counts = counts.withColumn("_upto", F.sum("_n").over(running))
-        found = (counts.where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
-                 .select(*by, F.col("_value"), (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need")))
-        # One row per group of `by`.
-        scope = scope.drop("_need").join(F.broadcast(found), by).where(F.col(level) == F.col("_value")).drop("_value")
-    ranked = scope.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    cut = ranked.where(F.col("_rank") == F.col("_need")).select(*by, F.struct(*order).alias("cut"))
-    return cut if by != ["_all"] else cut.drop("_all")
+        counts = rows.groupBy("_group", F.col(level).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+        group = Window.partitionBy("_group")
+        need = F.floor(F.sum("_n").over(group) * F.lit(fraction)) if needs is None else _per_group(needs)
+        upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+        cuts = (counts.withColumns({"_need": need, "_upto": upto})
+                .where((F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n")))
+                .select("_group", "_value", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"))).collect()
+        if not cuts:
+            return {}
+        needs = {c["_group"]: c["_need"] for c in cuts}
+        rows = rows.where(reduce(lambda a, b: a | b, [
+            (F.col("_group") == c["_group"]) & (F.col(level) == c["_value"]) for c in cuts]))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*order)))
+    found = ranked.where(F.col("_rank") == _per_group(needs)).select("_group", *order).collect()
+    return {r["_group"]: tuple(r[c] for c in order) for r in found}
+
+
+def _per_group(values):
+    """Literal of the row's group."""
+    return F.coalesce(*[F.when(F.col("_group") == g, F.lit(v)) for g, v in values.items()])
+
+
+def _inside(columns, cut):
+    """columns <= cut, in lexicographic order."""
+    first, rest = columns[0], columns[1:]
+    if not rest:
+        return first <= cut[0]
+    return (first < cut[0]) | ((first == cut[0]) & _inside(rest, cut[1:]))
 
 
 def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42):
@@ -39,25 +54,25 @@ def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42):
     Rows are ordered by a seeded hash of the key, so the split is the same on every run and
     cluster. The hash is uniform: a prefix of four digits leaves 1/65536 of a class to rank.
     """
-    hashed = df.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    keys = hashed.select(label, "_hash", key).where(F.col(label).isNotNull()) \
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    keys = df.select(label, F.col(key).alias("_key"), digest.alias("_hash")) \
         .withColumn("_prefix", F.substring("_hash", 1, 4))
-    cuts = rank_cut(keys, ["_hash", key], ["_prefix"], fraction, [label])
-    inside = F.struct("_hash", key) <= F.col("cut")
-    return (hashed.join(F.broadcast(cuts), label, "left")
-            .withColumn("split", F.when(F.col(label).isNotNull(), F.when(inside, "train").otherwise("test")))
-            .select(*df.columns, "split"))
+    cuts = rank_cut(keys, ["_hash", "_key"], ["_prefix"], fraction, label)
+    train = F.lit(False)
+    for value, cut in cuts.items():
+        train = train | ((F.col(label) == value) & _inside([digest, F.col(key)], cut))
+    return df.withColumn("split", F.when(F.col(label).isNotNull(), F.when(train, "train").otherwise("test")))
 
 
 def time_split(windows, fraction=0.8, ts="ts", key="play_id"):
     """Add `split`: the first floor(fraction · n) rows in (time, key) order are 'train'.
 
-    The cut is searched day, second and microsecond by microsecond; only plays of the very
-    microsecond of the cut are ranked.
+    The cut is searched day by day, then by second and microsecond; only rows of the very
+    microsecond of the cut are ranked. The input is read once per step: pass a stored table.
     """
     at = micros(windows, ts)
-    keys = windows.select(F.col(ts), F.col(key), at.alias("_at")).withColumns({
+    keys = windows.select(at.alias("_at"), F.col(key).alias("_key")).withColumns({
         "_day": F.floor(F.col("_at") / 86_400_000_000), "_second": F.floor(F.col("_at") / 1_000_000)})
-    cut = rank_cut(keys, [ts, key], ["_day", "_second", "_at"], fraction).select("cut").scalar()
-    inside = F.struct(F.col(ts), F.col(key)) <= cut
-    return windows.withColumn("split", F.when(inside, "train").otherwise("test"))
+    cut = rank_cut(keys, ["_at", "_key"], ["_day", "_second", "_at"], fraction).get(0)
+    train = F.lit(False) if cut is None else _inside([at, F.col(key)], cut)
+    return windows.withColumn("split", F.when(train, "train").otherwise("test"))

@@ -86,7 +86,8 @@ def kpi_summary(plays):
 
 
 def exploded_genres(plays, tags="genres_list"):
-    return plays.withColumn("genre", F.explode(tags))
+    """One row per play and genre; plays without a genre are left out."""
+    return plays.withColumn("genre", F.explode_outer(tags)).where(F.col("genre").isNotNull())
 
 
 def genre_share(plays, n=10, tags="genres_list"):

@@ -1,13 +1,14 @@
 """Track recommendations: the nearest tracks to each mood bin."""
 
-from functools import reduce
 from itertools import product
+from math import inf, sqrt
 
 from pyspark.sql import Window, functions as F
 
 from tunetrail.functions.genres import dominant_genre
 from tunetrail.operators.stats import frequent_only
 from tunetrail.schema import DEFAULT_MOOD, MOOD_FEATURES, MOOD_LABELS
+from tunetrail.session import checkpoint
 
 BINS = [("Low", 1 / 6), ("Mid", 0.5), ("High", 5 / 6)]
 
@@ -20,54 +21,64 @@ def mood_bins():
 def vibe_tracks(plays, features=MOOD_FEATURES, min_quantile=0.25, tags="genres_list"):
     """One row per (track, artist) played more often than the quantile of play counts.
 
-    Play count and the features of the earliest play come out of one aggregate, combined on
-    the map side; tracks whose first row lacks a feature are dropped after that.
+    Plays are read once: play count and the features of the earliest play come out of one
+    aggregate, combined on the map side, and the track table is stored. Tracks whose first
+    row lacks a feature are dropped after that.
     """
     first = F.min_by(F.struct(*features, tags), F.struct("ts", "play_id"))
-    tracks = (plays.dropna(subset=["track_name", "artist"]).groupBy("track_name", "artist")
-              .agg(F.count(F.lit(1)).alias("play_count"), first.alias("_first"))
-              .select("track_name", "artist", "play_count", "_first.*"))
+    tracks = checkpoint(
+        plays.dropna(subset=["track_name", "artist"]).groupBy("track_name", "artist")
+        .agg(F.count(F.lit(1)).alias("play_count"), first.alias("_first"))
+        .select("track_name", "artist", "play_count", "_first.*"))
     return frequent_only(tracks, min_quantile).dropna(subset=list(features))
 
 
-def _distance(features, centre):
-    squares = [(F.col(f) - F.lit(x)) * (F.col(f) - F.lit(x)) for f, x in zip(features, centre)]
-    return F.sqrt(reduce(lambda a, b: a + b, squares))
+def _sum_of_squares(gaps):
+    """Summed squares, added in the order given."""
+    squares = [g * g for g in gaps]
+    total = squares[0]
+    for square in squares[1:]:
+        total = total + square
+    return total
 
 
-def _own_bin(features):
-    """Number of the bin a track lies in (values outside [0, 1] count as the outer bins)."""
-    third = lambda c: F.when(c <= 1 / 3, 0).when(c <= 2 / 3, 1).otherwise(2)
-    number = F.lit(0)
-    for f in features:
-        number = number * 3 + third(F.col(f))
-    return number
+def _reaches(tracks, features, k):
+    """Per bin, a distance within which k tracks lie for certain (infinite with fewer tracks).
+
+    The k tracks nearest to the centre of their own bin make a sample of at most 81·k tracks;
+    a bin's k-th nearest sampled track bounds its k-th nearest track from above.
+    """
+    centre = lambda c: F.when(c <= 1 / 3, BINS[0][1]).when(c <= 2 / 3, BINS[1][1]).otherwise(BINS[2][1])
+    own = [centre(F.col(f)) for f in features]
+    near = Window.partitionBy("_bin").orderBy("_own")
+    sample = (tracks.withColumn("_bin", F.concat_ws("/", *own))
+              .withColumn("_own", _sum_of_squares([F.col(f) - c for f, c in zip(features, own)]))
+              .withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= k)
+              .select(*features).collect())
+    reaches = []
+    for _, point in mood_bins():
+        nearest = sorted(sqrt(_sum_of_squares([x - y for x, y in zip(row, point)])) for row in sample)
+        reaches.append(nearest[k - 1] * (1 + 1e-9) if len(nearest) >= k else inf)
+    return reaches
 
 
 def vibe_top_k(tracks, features=MOOD_FEATURES, k=5, priority=None, labels=None, default=DEFAULT_MOOD):
     """The k nearest tracks to the centre of each of the 81 bins, by Euclidean distance.
 
-    Exact without pairing every track with every bin: the k best tracks inside each own bin
-    (at most 81·k rows) already bound the k-th distance of all 81 centres from above, so the
-    second pass keeps only (track, centre) pairs within those bounds, which is a handful.
+    Exact without pairing every track with every bin: a first pass finds, per centre, a
+    distance that k tracks are known to reach, and the second pass emits only the (track,
+    centre) pairs within it, about k per centre.
     """
     spark = tracks.sparkSession
     bins = mood_bins()
-    distances = F.array(*[_distance(features, centre) for _, centre in bins])
-    pairs = tracks.withColumn("_distances", distances)
-
-    inside = pairs.withColumn("_bin", _own_bin(features))
-    inside = inside.withColumn("_own", F.get("_distances", F.col("_bin")))
-    near = Window.partitionBy("_bin").orderBy("_own", "track_name", "artist")
-    sample = inside.withColumn("_rank", F.row_number().over(near)).where(F.col("_rank") <= k)
-    reach = sample.agg(F.array(*[
-        F.coalesce(F.get(F.slice(F.sort_array(F.collect_list(F.get("_distances", F.lit(i)))), 1, k), F.lit(k - 1)),
-                   F.lit(float("inf"))) for i in range(len(bins))]).alias("r")).scalar()
-
-    within = pairs.withColumn("_reach", reach).withColumn("_hits", F.filter(
-        F.transform("_distances", lambda d, i: F.struct(i.alias("_bin"), d.alias("_distance"), (d <= F.get("_reach", i)).alias("_in"))),
-        lambda p: p["_in"]))
-    hits = within.withColumn("_hit", F.explode("_hits")).select(*tracks.columns, "_hit._bin", "_hit._distance")
+    centres = F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(reach).alias("reach"), *[F.lit(x).alias(f) for f, x in zip(features, point)])
+                        for i, ((_, point), reach) in enumerate(zip(bins, _reaches(tracks, features, k)))])
+    measured = F.transform(centres, lambda c: F.struct(
+        c["bin"].alias("_bin"), c["reach"].alias("_reach"),
+        F.sqrt(_sum_of_squares([F.col(f) - c[f] for f in features])).alias("_distance")))
+    hits = (tracks.withColumn("_hit", F.explode_outer(F.filter(measured, lambda m: m["_distance"] <= m["_reach"])))
+            .where(F.col("_hit").isNotNull())
+            .select(*tracks.columns, "_hit._bin", "_hit._distance"))
     nearest = Window.partitionBy("_bin").orderBy("_distance", "track_name", "artist")
     best = hits.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 

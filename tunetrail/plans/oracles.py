@@ -50,7 +50,7 @@ library AS (
          CASE p_partkey % 5 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN '1' WHEN 3 THEN '0.0' END AS explicit,
          {_unit(0)} AS danceability, {_unit(1)} AS energy, {_unit(2)} AS valence, {_unit(3)} AS acousticness,
          {_unit(4)} AS liveness, {_unit(5)} AS instrumentalness, {_unit(6)} AS speechiness,
-         CAST(p_size AS INTEGER) AS popularity, 60 + p_retailprice % 120 AS tempo, -60 * {_unit(7)} AS loudness,
+         CAST(p_size AS INTEGER) AS popularity, 60 + p_retailprice % 120 AS tempo, 0 - 60 * {_unit(7)} AS loudness,
          CAST(p_partkey % 12 AS INTEGER) AS key, CAST(p_partkey % 2 AS INTEGER) AS mode, CAST(3 + p_partkey % 3 AS INTEGER) AS time_signature
   FROM part JOIN embeddings ON vec_id = p_partkey % (SELECT count(*) FROM embeddings))"""
 
@@ -78,7 +78,7 @@ IMPUTED = """
 
 # Parses the list texts that occur in these tables.
 TAGS = """CASE WHEN genres IS NULL THEN []::VARCHAR[] WHEN genres LIKE '[%'
-          THEN list_transform(regexp_extract_all(genres, '''[^'']*''|"[^"]*"'), g -> g[2:-2]) ELSE [genres] END"""
+          THEN list_transform(regexp_extract_all(genres, '''[^'']*''|"[^"]*"'), lambda g: g[2:-2]) ELSE [genres] END"""
 
 CLEAN_ORDERS = f"""
 clean_orders AS (SELECT o.*, l.* EXCLUDE (track_id), {TAGS} AS tags FROM order_plays o JOIN library l USING (track_id))"""
@@ -146,7 +146,7 @@ def tokens():
     return f"""
 raw_tokens AS (
   SELECT doc_id AS track_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS toks FROM documents),
-doc_tokens AS (SELECT track_id, list_filter(toks, t -> t NOT IN ({stops})) AS toks FROM raw_tokens),
+doc_tokens AS (SELECT track_id, list_filter(toks, lambda t: t NOT IN ({stops})) AS toks FROM raw_tokens),
 tok AS (SELECT track_id, unnest(toks) AS token FROM doc_tokens),
 tf AS (SELECT track_id, token, count(*) AS tf FROM tok GROUP BY ALL)"""
 
@@ -166,7 +166,7 @@ KEY_CHARS = "'[`'',\\-/.!]'"
 PAGE_NAMES = """
 names AS (
   SELECT p_partkey AS track_id, concat('The ', p_brand, ' & Añe$, Jr.') AS artist,
-         concat(array_to_string(list_transform(string_split(p_name, ' '), w -> upper(w[1]) || w[2:]), ' '),
+         concat(array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '),
                 ' (', p_type, ' Édit) [Live] ', CASE WHEN p_size > 25 THEN 'feat. ' || p_brand ELSE '- Remastered' END) AS title
   FROM part)"""
 ARTIST_KEY = f"""regexp_replace(replace(replace(regexp_replace(trim(lower(strip_accents(artist))), '^the ', ''), '$', 's'), ' ', ''), {KEY_CHARS}, '', 'g')"""
@@ -191,7 +191,7 @@ def correlation(listwise):
     cells = []
     for a in CORRELATED:
         for b in CORRELATED:
-            value = f"CASE WHEN max({a}) > min({a}) THEN 1.0::DOUBLE END" if a == b else f"round(corr({a}, {b}), 2)"
+            value = f"CASE WHEN max({a}) > min({a}) THEN 1.0::DOUBLE END" if a == b else f"round(corr({a}, {b}), 2) + 0"
             cells.append(f"SELECT '{a}' AS \"Variable1\", '{b}' AS \"Variable2\", {value} AS \"Correlation\" FROM data")
     return f"""{with_(ORDER_PLAYS, LIBRARY, FILES)},
 correlated AS (SELECT o.skipped, f.* FROM order_plays o JOIN unique_files f USING (track_id)),
@@ -259,8 +259,8 @@ SELECT play_id, user_id, session_no, session_plays, round(diff_minutes, 4) AS di
 
 WINDOW_ROWS = f"""{with_(EVENT_WINDOWS)}
 SELECT play_id, user_id, target,
-       array_to_string(list_transform(energies, e -> CAST(CAST(round(e, 4) AS DECIMAL(12,4)) AS VARCHAR)), '|') AS energy,
-       array_to_string(list_transform(popularities, e -> CAST(e AS VARCHAR)), '|') AS popularity
+       array_to_string(list_transform(energies, lambda e: CAST(CAST(round(e, 4) AS DECIMAL(12,4)) AS VARCHAR)), '|') AS energy,
+       array_to_string(list_transform(popularities, lambda e: CAST(e AS VARCHAR)), '|') AS popularity
 FROM full_windows"""
 
 
@@ -357,14 +357,13 @@ def oracles():
     orders = [ORDER_PLAYS, LIBRARY, CLEAN_ORDERS]
     sql["genre_top20"] = f"""{with_(*orders)}, x AS (SELECT unnest(tags) AS genre FROM clean_orders)
         SELECT genre, count(*) AS n FROM x GROUP BY genre ORDER BY n DESC, genre LIMIT 20"""
-    # The six most frequent tags of the event plays are the six track types.
     sql["genre_share_top10"] = f"""{with_(*orders)}, x AS (SELECT skipped, unnest(tags) AS genre FROM clean_orders),
         c AS (SELECT skipped, genre, count(*) AS plays FROM x GROUP BY ALL)
         SELECT skipped, CAST(row_number() OVER w AS INTEGER) AS position, genre, plays, round(plays / sum(plays) OVER (PARTITION BY skipped) * 100, 1) AS percent
         FROM c WINDOW w AS (PARTITION BY skipped ORDER BY plays DESC, genre) QUALIFY position <= 10"""
     dominant = f"""{with_(*full)}, d AS (SELECT play_id, {priority_case(TAGS, GENRE_PRIORITY)} AS dominant_genre FROM imputed)"""
     sql["dominant_genres"] = f"{dominant} SELECT play_id, dominant_genre, {merged('dominant_genre')} AS merged_genre FROM d"
-    sql["dominant_genre_report"] = f"""{dominant}, m AS (SELECT {merged('dominant_genre')} AS dominant_genre FROM d)
+    sql["dominant_genre_report"] = f"""{dominant}, m AS MATERIALIZED (SELECT {merged('dominant_genre')} AS dominant_genre FROM d)
         SELECT dominant_genre, count(*) AS plays, (SELECT count(DISTINCT dominant_genre) FROM m) AS categories,
         (SELECT count(*) FROM m WHERE dominant_genre = 'Other') AS default_plays FROM m GROUP BY dominant_genre"""
     sql["wide_artists"] = wide("artist", "clean_orders", 10, orders)
@@ -382,7 +381,7 @@ def oracles():
 
     sql["artist_keys"] = f"{with_(PAGE_NAMES)} SELECT track_id, {ARTIST_KEY} AS artist_key FROM names"
     sql["title_keys"] = f"""{with_(PAGE_NAMES)} SELECT track_id, {TITLE_KEY} AS title_key,
-        array_to_string(list_transform(regexp_extract_all(title, '\\p{{L}}+|[^\\p{{L}}]+'), w -> upper(w[1]) || lower(w[2:])), '') AS title_case FROM names"""
+        array_to_string(list_transform(regexp_extract_all(title, '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1]) || lower(w[2:])), '') AS title_case FROM names"""
     sql["page_urls"] = f"""{with_(PAGE_NAMES)} SELECT track_id, concat('https://lyrics.example/', {ARTIST_KEY}, '/', {TITLE_KEY}, '.html') AS url FROM names"""
     sql["plain_lyrics"] = "SELECT doc_id AS track_id, strip_accents(text) AS plain FROM documents"
     sql["repaired_lyrics"] = "SELECT doc_id AS track_id, md5(text) AS repaired, md5(text) AS untouched FROM documents"
@@ -433,6 +432,6 @@ def oracles():
     sql["scoreboard"] = f"{with_(*orders, SCORED)} " + metric_rows("mood rule", "prediction") + " UNION ALL " + metric_rows("popularity rule", "other")
     sql["genre_onehot"] = f"""{with_(EVENT_PLAYS, LIBRARY, CLEAN_EVENTS)},
         c AS (SELECT genre, count(*) AS n FROM (SELECT unnest(tags) AS genre FROM clean_events) GROUP BY genre)
-        SELECT play_id, {", ".join(f"CASE WHEN list_contains(tags, '{g}') THEN 1 ELSE 0 END AS genre_{g}" for g in ("economy", "large", "medium", "promo", "small", "standard"))}
-        FROM clean_events"""
+        SELECT play_id, 'genre_' || replace(genre, ' ', '_') AS "column", CASE WHEN list_contains(tags, genre) THEN 1 ELSE 0 END AS flag
+        FROM clean_events, (SELECT genre FROM c ORDER BY n DESC, genre LIMIT 6)"""
     return sql

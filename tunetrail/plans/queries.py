@@ -1,5 +1,6 @@
 """Named queries over the test tables: name → (spark, sf_dir) → DataFrame."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tunetrail.functions.genres import consolidate, dominant_genre, parse_list
@@ -15,6 +16,7 @@ from tunetrail.operators.vibe import vibe_top_k, vibe_tracks
 from tunetrail.plans import testviews as views, training
 from tunetrail.plans.clean import finish_clean, unique_library
 from tunetrail.schema import AUDIO_CORE, CORRELATED, FILL_VALUES, MOOD_FEATURES, SCALED_AUDIO
+from tunetrail.session import checkpoint
 from tunetrail.sources.pages import extract_page_lyrics
 from tunetrail.sources.readers import enrichment_worklist, stack
 
@@ -163,7 +165,8 @@ def impute_candidate_tracks(spark, sf):
 
 @query
 def null_fill(spark, sf):
-    return views.event_plays(spark, sf).fillna(FILL_VALUES).select("play_id", "reason_start", "reason_end")
+    plays = views.event_plays(spark, sf)
+    return plays.fillna({c: v for c, v in FILL_VALUES.items() if c in plays.columns}).select("play_id", "reason_start", "reason_end")
 
 
 @query
@@ -201,7 +204,7 @@ def genre_top20(spark, sf):
 @query
 def genre_onehot(spark, sf):
     flagged, names = features.genre_onehot(views.clean_event_plays(spark, sf), 6)
-    return flagged.select("play_id", *names)
+    return flagged.select("play_id", *names).unpivot("play_id", names, "column", "flag")
 
 
 @query
@@ -294,7 +297,7 @@ def seq_genres(spark, sf):
 
 @query
 def chronological_split(spark, sf):
-    return time_split(event_windows(spark, sf)).select("play_id", "target", "split")
+    return time_split(checkpoint(event_windows(spark, sf).drop("seq"))).select("play_id", "target", "split")
 
 
 @query
@@ -391,10 +394,10 @@ def tfidf_vectors(spark, sf):
     """The Spark ML form of the weights, read back as rows."""
     docs = lyric_tokens(spark, sf)
     stages, names = lyrics.tfidf_model(lyrics.vocabulary(docs))
-    from pyspark.ml.functions import vector_to_array
     words = F.array(*[F.lit(n) for n in names])
     cells = F.transform(vector_to_array("lyric_features"), lambda v, i: F.struct(F.get(words, i).alias("token"), v.alias("weight")))
-    return rounded(stages.transform(docs).select("track_id", F.inline(F.filter(cells, lambda c: c["weight"] != 0))), ["weight"])
+    return rounded(lyrics.unfold(stages.transform(docs).withColumn("cells", F.filter(cells, lambda c: c["weight"] != 0)),
+                                 "cells", "track_id"), ["weight"])
 
 
 # ---- correlation, recommender --------------------------------------------------------

@@ -56,7 +56,7 @@ def audio_library(spark, sf_dir):
         unit(0).alias("danceability"), unit(1).alias("energy"), unit(2).alias("valence"), unit(3).alias("acousticness"),
         unit(4).alias("liveness"), unit(5).alias("instrumentalness"), unit(6).alias("speechiness"),
         F.col("p_size").cast("int").alias("popularity"), (60 + F.col("p_retailprice") % 120).alias("tempo"),
-        (-60 * unit(7)).alias("loudness"), (key % 12).cast("int").alias("key"), (key % 2).cast("int").alias("mode"),
+        (0 - 60 * unit(7)).alias("loudness"), (key % 12).cast("int").alias("key"), (key % 2).cast("int").alias("mode"),
         (3 + key % 3).cast("int").alias("time_signature"))
 
 

@@ -4,14 +4,15 @@ from html.entities import name2codepoint
 
 from pyspark.sql import functions as F
 
-from tunetrail.functions.text import trim_all
+from tunetrail.functions.text import literal_map, trim_all
 
 BLOCK_TAGS = ("div", "p", "article", "section", "td", "li", "main", "body")
 SKIPPED_TAGS = ("script", "style", "nav")
 
+
 def unescape(c):
     """Decode named and numeric character references; unknown ones stay as they are."""
-    names = F.create_map(*[F.lit(x) for n, code in name2codepoint.items() for x in (n, chr(code))])
+    names = literal_map({n: chr(code) for n, code in name2codepoint.items()})
 
     def decoded(part):
         name = F.regexp_extract(part, r"^(#?\w+);", 1)
