@@ -4,7 +4,9 @@ Each reads plays once and shuffles only partial aggregates. Top-N lists come fro
 `orderBy().limit()`, which keeps N rows per task, never from a window over all groups.
 """
 
-from itertools import combinations
+from functools import reduce
+from itertools import combinations_with_replacement
+from math import fsum, sqrt
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -156,24 +158,44 @@ def corr_long(df, cols=CORRELATED, deletion="pairwise", digits=2):
     """Pearson correlation of every pair of columns, as (Variable1, Variable2, Correlation).
 
     `pairwise` uses each pair's complete rows, `listwise` only rows complete in all columns.
-    One aggregate computes every pair; a constant column correlates with nothing (NULL).
+    One job takes sums and cross products per pattern of missing columns, which is a handful
+    of groups; a pair then adds up the patterns that hold both its columns. A constant column
+    correlates with nothing (NULL).
     """
     data = df.select(*[to_number(F.col(c)).alias(c) for c in cols])
     if deletion == "listwise":
         data = data.dropna()
-    pairs = list(combinations(range(len(cols)), 2))
-    spread = lambda c: (F.max(c) > F.min(c))
-    wide = data.agg(
-        *[F.corr(cols[i], cols[j]).alias(f"r_{i}_{j}") for i, j in pairs],
-        *[F.when(spread(c), 1.0).alias(f"r_{i}_{i}") for i, c in enumerate(cols)])
-
-    def cell(i, j):
-        value = F.col(f"r_{min(i, j)}_{max(i, j)}")
-        return F.struct(F.lit(cols[i]).alias("Variable1"), F.lit(cols[j]).alias("Variable2"),
-                        F.round(F.when(~F.isnan(value), value), digits).alias("Correlation"))
-
-    cells = [cell(i, j) for j in range(len(cols)) for i in range(len(cols))]
-    return wide.select(F.inline(F.array(*cells)))
+    pairs = list(combinations_with_replacement(range(len(cols)), 2))
+    known = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)])
+    sums = data.groupBy(known.alias("known")).agg(
+        row_count().alias("n"),
+        *[f(c).alias(f"{f.__name__}_{i}") for f in (F.sum, F.min, F.max) for i, c in enumerate(cols)],
+        *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"cross_{i}_{j}") for i, j in pairs])
+
+    # One row per pattern of missing columns comes back.
+    groups = sums.collect()
+    cells = []
+    for i, j in pairs:
+        r = _pearson([g for g in groups if g["known"] >> i & 1 and g["known"] >> j & 1], i, j)
+        cells.append((cols[i], cols[j], r))
+        if i != j:
+            cells.append((cols[j], cols[i], r))
+    table = df.sparkSession.createDataFrame(cells, "Variable1 string, Variable2 string, Correlation double")
+    return table.withColumn("Correlation", F.round("Correlation", digits))
+
+
+def _pearson(groups, i, j):
+    """Correlation of columns i and j out of the sums of the groups that hold both."""
+    varies = lambda k: groups and max(g[f"max_{k}"] for g in groups) > min(g[f"min_{k}"] for g in groups)
+    if not (varies(i) and varies(j)):
+        return None
+    if i == j:
+        return 1.0
+    n = sum(g["n"] for g in groups)
+    total = lambda name: fsum(g[name] for g in groups)
+    x, y = total(f"sum_{i}"), total(f"sum_{j}")
+    spread = (n * total(f"cross_{i}_{i}") - x * x) * (n * total(f"cross_{j}_{j}") - y * y)
+    return (n * total(f"cross_{i}_{j}") - x * y) / sqrt(spread) if spread > 0 else None
 
 
 def corr_matrix(df, cols=CORRELATED):

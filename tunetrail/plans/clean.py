@@ -18,15 +18,19 @@ def unique_lyrics(lyrics):
     return first_per_key(lyrics.select("track_uri", "lyrics", "source_no"), ["track_uri"], ["source_no", "lyrics"]).drop("source_no")
 
 
-def enrich_plays(plays, library, lyrics):
+def enrich_plays(plays, library, lyrics, with_text=True):
     """History with audio features and lyrics; plays without a match keep NULLs.
 
     Both right sides hold one row per key, so the joins never multiply plays. Plays are the
-    left side of each, which lets Spark split a hot track over many tasks.
+    left side of each, which lets Spark split a hot track over many tasks. With
+    `with_text=False` the `lyrics` column is only a marker (1 or NULL): texts stay in their
+    own table, and are not repeated for every play of a track.
     """
     audio = unique_library(library).drop("source_no", "album_release_date")
-    return (plays.join(audio, "track_id", "left")
-            .join(unique_lyrics(lyrics), "track_uri", "left"))
+    texts = unique_lyrics(lyrics)
+    if not with_text:
+        texts = texts.select("track_uri", F.when(F.col("lyrics").isNotNull(), 1).alias("lyrics"))
+    return plays.join(audio, "track_id", "left").join(texts, "track_uri", "left")
 
 
 def finish_clean(enriched, core=tuple(CORE)):
@@ -36,6 +40,6 @@ def finish_clean(enriched, core=tuple(CORE)):
             .withColumn("skipped", F.col("skipped").cast("int")))
 
 
-def build_clean_plays(plays, library, lyrics, empties=(), rules=None, nulls=()):
+def build_clean_plays(plays, library, lyrics, empties=(), rules=None, nulls=(), with_text=True):
     """History ⟕ library ⟕ lyrics → imputed genres → complete rows."""
-    return finish_clean(impute_genres(enrich_plays(plays, library, lyrics), empties, rules, nulls))
+    return finish_clean(impute_genres(enrich_plays(plays, library, lyrics, with_text), empties, rules, nulls))

@@ -14,28 +14,36 @@ def add_features(plays, tz=None, on_error="single"):
     return with_time_features(plays, tz=tz).withColumn("genres_list", parse_list(F.col("genres"), on_error))
 
 
-def snapshot_features(plays, split, stop_words=(), fit_on="train", top_genres=20, cap=100, min_df=2, max_df=0.7):
+def lyric_vectors(plays, lyrics, stop_words=(), key="track_id", cap=100, min_df=2, max_df=0.7):
+    """(key, lyric_features) per track and the words of the vocabulary.
+
+    The corpus is one document per play, but a text is tokenised once: document counts are
+    weighted by the plays of its track, and only the finished vectors are joined to plays.
+    """
+    counts = plays.groupBy(key).agg(F.count(F.lit(1)).alias("_plays"))
+    tokens = drop_stop_words(tokenize(lyrics.where(F.col("lyrics").isNotNull())), stop_words).select(key, "tokens")
+    model, words = tfidf_model(vocabulary(tokens.join(counts, key), min_df, max_df, cap, weight="_plays"))
+    return model.transform(tokens).select(key, "lyric_features"), words
+
+
+def snapshot_features(plays, lyrics, split="split", stop_words=(), fit_on="train", top_genres=20, key="track_id", **limits):
     """Vectors for the snapshot models: `with_lyrics` and `audio_only`, with their column names.
 
-    `plays` carries the columns of `add_features`, the lyrics, and a `split` column named by
-    `split`. Scaling, genres and vocabulary are fitted on the train rows, or on all rows with
-    `fit_on="all"`.
+    `plays` carries the columns of `add_features` and a `split` column; `lyrics` holds one
+    text per track. Scaling, genres and vocabulary are fitted on the train rows, or on all
+    rows with `fit_on="all"`. Plays without lyrics are left out.
     """
     fit_rows = plays if fit_on == "all" else plays.where(F.col(split) == "train")
     scaled = zscore_apply(plays, zscore_fit(fit_rows))
     flagged, genre_names = genre_onehot(tod_dummies(scaled), top_genres, fit_on=fit_rows)
     day_names = [c for c in flagged.columns if c.startswith("time_of_day_")]
-    audio = SCALED_AUDIO + day_names + ["is_weekend"] + genre_names
-
-    tokens = drop_stop_words(tokenize(flagged), stop_words)
-    fit_tokens = tokens if fit_on == "all" else tokens.where(F.col(split) == "train")
-    vocab = vocabulary(fit_tokens, min_df, max_df, cap)
-    model, words = tfidf_model(vocab)
-    vectors = model.transform(tokens)
-    vectors = assemble(vectors, SCALED_AUDIO + ["lyric_features"] + audio[len(SCALED_AUDIO):], "with_lyrics")
-    vectors = assemble(vectors, audio, "audio_only")
-    lyric_names = [f"lyric_{w}" for w in words]
-    return vectors, {"with_lyrics": SCALED_AUDIO + lyric_names + audio[len(SCALED_AUDIO):], "audio_only": audio}
+    rest = day_names + ["is_weekend"] + genre_names
+
+    vectors, words = lyric_vectors(fit_rows, lyrics, stop_words, key, **limits)
+    joined = flagged.join(vectors, key)
+    both = assemble(joined, SCALED_AUDIO + ["lyric_features"] + rest, "with_lyrics")
+    both = assemble(both, SCALED_AUDIO + rest, "audio_only")
+    return both, {"with_lyrics": SCALED_AUDIO + [f"lyric_{w}" for w in words] + rest, "audio_only": SCALED_AUDIO + rest}
 
 
 def tree_features(plays, priority=None):

@@ -499,9 +499,10 @@ def scoreboard(spark, sf):
 # ---- models (rows only: fitted parameters are not expressible in SQL) ----------------
 
 def prepared(spark, sf):
-    plays = views.clean_order_plays(spark, sf).drop("genres")
-    plays = plays.join(views.lyrics(spark, sf).select("track_id", "lyrics"), "track_id")
-    return training.prepare_snapshot(plays, stop_words(spark))
+    """Plays of the tracks that have lyrics, as model inputs."""
+    texts = views.lyrics(spark, sf)
+    plays = views.clean_order_plays(spark, sf).join(texts.select("track_id"), "track_id", "left_semi")
+    return training.prepare_snapshot(plays, texts, stop_words(spark))
 
 
 SMALL_MODELS = {

@@ -91,12 +91,15 @@ def genre_lookups(spark, sf_dir):
     return [empties], rules, [nulls, tracks, late]
 
 
+def tagged_library(spark, sf_dir):
+    """The library with parsed genres: lists are parsed once per track, not once per play."""
+    return audio_library(spark, sf_dir).withColumn("genres_list", parse_list(F.col("genres")))
+
+
 def clean_event_plays(spark, sf_dir):
     """Timed plays with their track's features, time parts and parsed genres."""
-    plays = event_plays(spark, sf_dir).join(audio_library(spark, sf_dir), "track_id")
-    return with_time_features(plays).withColumn("genres_list", parse_list(F.col("genres")))
+    return with_time_features(event_plays(spark, sf_dir).join(tagged_library(spark, sf_dir), "track_id"))
 
 
 def clean_order_plays(spark, sf_dir):
-    plays = order_plays(spark, sf_dir).join(audio_library(spark, sf_dir), "track_id")
-    return with_time_features(plays).withColumn("genres_list", parse_list(F.col("genres")))
+    return with_time_features(order_plays(spark, sf_dir).join(tagged_library(spark, sf_dir), "track_id"))

@@ -24,10 +24,10 @@ SNAPSHOT_MODELS = {
 }
 
 
-def prepare_snapshot(plays, stop_words=(), fit_on="train", seed=42, **limits):
+def prepare_snapshot(plays, lyrics, stop_words=(), fit_on="train", seed=42, **limits):
     """Split, features and class weights, stored once for all model fits."""
     split = stratified_split(plays, seed=seed)
-    vectors, names = snapshot_features(split, "split", stop_words, fit_on, **limits)
+    vectors, names = snapshot_features(split, lyrics, "split", stop_words, fit_on, **limits)
     train = vectors.where(F.col("split") == "train")
     weighted = (with_class_weight(train, mode="balanced", out="balanced")
                 .transform(lambda d: with_class_weight(d, mode="positive", out="positive")))
