@@ -65,5 +65,5 @@ def class_ratio(df, label="skipped"):
 
 
 def assemble(df, columns, output="features"):
-    """One vector column out of numeric and vector columns; rows with a NULL are dropped."""
-    return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="skip").transform(df)
+    """One vector column out of numeric and vector columns, which hold no NULL."""
+    return VectorAssembler(inputCols=list(columns), outputCol=output).transform(df)

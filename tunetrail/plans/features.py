@@ -31,8 +31,9 @@ def snapshot_features(plays, lyrics, split="split", stop_words=(), fit_on="train
 
     `plays` carries the columns of `add_features` and a `split` column; `lyrics` holds one
     text per track. Scaling, genres and vocabulary are fitted on the train rows, or on all
-    rows with `fit_on="all"`. Plays without lyrics are left out.
+    rows with `fit_on="all"`. Plays without lyrics or with an unknown feature are left out.
     """
+    plays = plays.dropna(subset=SCALED_AUDIO + ["time_of_day", "is_weekend", "genres_list"])
     fit_rows = plays if fit_on == "all" else plays.where(F.col(split) == "train")
     scaled = zscore_apply(plays, zscore_fit(fit_rows))
     flagged, genre_names = genre_onehot(tod_dummies(scaled), top_genres, fit_on=fit_rows)

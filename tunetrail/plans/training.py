@@ -65,7 +65,7 @@ def sequence_table(plays, gap_minutes=20, min_plays=3, n_steps=5, n_genres=20, e
 
 def fit_sequence_model(windows, features, n_steps=5, fraction=0.8, seed=42, hidden=(64,), max_iter=50):
     """Chronological split, network fit; returns (model, scored test windows)."""
-    vectors = checkpoint(time_split(flatten_windows(windows, features), fraction))
+    vectors = time_split(checkpoint(flatten_windows(windows, features)), fraction)
     model = fit_sequence(vectors.where("split = 'train'"), n_steps * len(features), hidden, seed, max_iter=max_iter)
     return model, model.transform(vectors.where("split = 'test'"))
 
