@@ -91,6 +91,21 @@ def unfold(df, terms, *keep):
     return df.select(*keep, F.inline_outer(terms)).where(F.col("token").isNotNull())
 
 
+def token_stats(docs, weight=None, tokens="tokens"):
+    """(token, df, total): documents that hold the token and its uses over all documents.
+
+    The sorted tokens of a text are paired with their left neighbours, so a token counts for
+    its document where the two differ; one aggregate, combined on the map side, does both.
+    """
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    ordered = docs.select(times.alias("_times"), F.sort_array(tokens).alias("_sorted"))
+    paired = ordered.select("_times", F.arrays_zip(
+        F.col("_sorted").alias("token"), F.concat(F.array(F.lit(None).cast("string")), F.col("_sorted")).alias("before")).alias("_pairs"))
+    return (unfold(paired, "_pairs", "_times").groupBy("token")
+            .agg(F.coalesce(F.sum(F.when(~F.col("token").eqNullSafe(F.col("before")), F.col("_times"))), F.lit(0)).alias("df"),
+                 F.sum("_times").alias("total")))
+
+
 def vocabulary(docs, min_df=2, max_df=0.7, cap=100, weight=None):
     """The `cap` most used tokens among those in `min_df` … `max_df`·N documents.
 
@@ -98,11 +113,8 @@ def vocabulary(docs, min_df=2, max_df=0.7, cap=100, weight=None):
     column that says how many documents a row stands for.
     """
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    counted = term_counts(docs.select("tokens", times.alias("_times")))
-    totals = (unfold(counted, "terms", "_times").groupBy("token")
-              .agg(F.sum("_times").alias("df"), F.sum(F.col("tf") * F.col("_times")).alias("total")))
     n_docs = docs.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n")).scalar()
-    kept = (totals.withColumn("documents", n_docs)
+    kept = (token_stats(docs, weight).withColumn("documents", n_docs)
             .where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("documents")))
             .orderBy(F.desc("total"), "token").limit(cap))
     # At most `cap` rows reach this window.
@@ -118,15 +130,16 @@ def idf(vocab):
 def tfidf(docs, vocab, key):
     """(key, token, weight): tf · idf, scaled to unit length per document.
 
-    The vocabulary (at most its cap in rows) travels as one map value; each document is
-    weighted inside its row.
+    Collects the vocabulary (bounded by its cap); each document is then weighted inside its
+    row, after every other token is gone.
     """
-    lookup = idf(vocab).agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("m")).scalar()
-    found = term_counts(docs.select(key, "tokens")).withColumn("_idf", lookup)
-    weighed = found.withColumn("_terms", F.filter(
-        F.transform("terms", lambda t: F.struct(
-            t["token"].alias("token"), (t["tf"] * F.try_element_at("_idf", t["token"])).alias("raw"))),
-        lambda t: t["raw"].isNotNull()))
+    factors = {r.token: r.idf for r in idf(vocab).collect()}
+    if not factors:
+        return docs.select(key, F.lit("").alias("token"), F.lit(0.0).alias("weight")).limit(0)
+    known = docs.select(key, F.filter("tokens", lambda t: t.isin(list(factors))).alias("tokens"))
+    table = F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])
+    weighed = term_counts(known).withColumn("_terms", F.transform("terms", lambda t: F.struct(
+        t["token"].alias("token"), (t["tf"] * F.try_element_at(table, t["token"])).alias("raw"))))
     norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["raw"] * t["raw"]))
     return (unfold(weighed.withColumn("_norm", norm), "_terms", key, "_norm")
             .select(key, "token", (F.col("raw") / F.col("_norm")).alias("weight")))

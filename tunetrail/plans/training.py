@@ -28,12 +28,10 @@ def prepare_snapshot(plays, lyrics, stop_words=(), fit_on="train", seed=42, **li
     """Split, features and class weights, stored once for all model fits."""
     split = stratified_split(plays, seed=seed)
     vectors, names = snapshot_features(split, lyrics, "split", stop_words, fit_on, **limits)
-    train = vectors.where(F.col("split") == "train")
-    weighted = (with_class_weight(train, mode="balanced", out="balanced")
-                .transform(lambda d: with_class_weight(d, mode="positive", out="positive")))
-    keep = ["play_id", "skipped", "with_lyrics", "audio_only"]
-    return (checkpoint(weighted.select(*keep, "balanced", "positive")),
-            checkpoint(vectors.where(F.col("split") == "test").select(*keep)), names)
+    stored = checkpoint(vectors.select("play_id", "skipped", "split", "with_lyrics", "audio_only"))
+    train = stored.where("split = 'train'")
+    train = with_class_weight(with_class_weight(train, mode="balanced", out="balanced"), mode="positive", out="positive")
+    return train, stored.where("split = 'test'"), names
 
 
 def fit_snapshot_models(train, models=None, seed=42):
