@@ -53,31 +53,36 @@ def _char_class(codes):
 def strip_accents(c):
     """Compatibility-decompose and drop combining marks, without leaving the JVM.
 
-    Latin text folds character by character (`translate`). Other text also has its marks
-    removed, and the characters that fold to several (ligatures, fractions) looked up.
+    ASCII text is kept as it is, Latin text folds character by character (`translate`). Other
+    text also has its marks removed, and the characters that fold to several (ligatures,
+    fractions) looked up.
     """
     single, multi, marks = _folds()
-    latin_multi = [m for m in multi if ord(m) < LATIN_END]
-    latin = c.rlike(rf"^[\x{{00}}-\x{{{LATIN_END - 1:X}}}]*$") & ~c.rlike(_char_class(map(ord, latin_multi)))
+    latin_multi = [ord(m) for m in multi if ord(m) < LATIN_END]
+    beyond = _char_class(latin_multi)[:-1] + rf"\x{{{LATIN_END:X}}}-\x{{10FFFF}}]"
     latin_map = {a: b for a, b in single.items() if ord(a) < LATIN_END}
 
     table = literal_map(multi)
     one_by_one = F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
     spread = F.when(c.rlike(_char_class(map(ord, multi))), F.array_join(one_by_one, "")).otherwise(c)
     other = F.regexp_replace(F.translate(spread, "".join(single), "".join(single.values())), _char_class(marks), "")
-    return F.when(latin, F.translate(c, "".join(latin_map), "".join(latin_map.values()))).otherwise(other)
+    return (F.when(~c.rlike(r"[\x{80}-\x{10FFFF}]"), c)
+            .when(~c.rlike(beyond), F.translate(c, "".join(latin_map), "".join(latin_map.values())))
+            .otherwise(other))
 
 
 def fix_mojibake(c, strip_escapes=False):
     """Re-read latin-1 bytes as UTF-8 where that is possible, else keep the text.
 
-    `strip_escapes` first blanks `_x000d_` and literal `\\n` / `\\r`, and turns NULL into ''.
+    Only text with a lead byte before a continuation byte can be UTF-8, and only text without
+    wider characters has latin-1 bytes. `strip_escapes` first blanks `_x000d_` and literal
+    `\\n` / `\\r`, and turns NULL into ''.
     """
     if strip_escapes:
         c = F.regexp_replace(c, r"(?i)_x000d_|\\n|\\r", " ")
-    latin = c.rlike(r"^[\x{00}-\x{FF}]*$") & c.rlike(r"[\x{80}-\x{FF}]")
-    raw = F.when(latin, F.encode(F.when(latin, c), "ISO-8859-1").cast("string"))
-    fixed = F.when(latin & F.is_valid_utf8(raw), raw).otherwise(c)
+    candidate = c.rlike(r"[\x{C2}-\x{F4}][\x{80}-\x{BF}]") & ~c.rlike(r"[^\x{00}-\x{FF}]")
+    read_again = F.when(candidate, F.encode(c, "ISO-8859-1").cast("string"))
+    fixed = F.coalesce(F.try_validate_utf8(read_again), c)
     return F.coalesce(fixed, F.lit("")) if strip_escapes else fixed
 
 
