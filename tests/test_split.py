@@ -7,12 +7,12 @@ import pytest
 from tunetrail.operators.split import stratified_split, time_split
 
 
-@pytest.mark.parametrize("n", [0, 1, 4, 237])
-def test_stratified_split_is_exact_and_repeatable(spark, n):
+@pytest.mark.parametrize("n, rank_rows", [(0, 9), (1, 0), (4, 9), (237, 1_000_000), (237, 0)])
+def test_stratified_split_is_exact_and_repeatable(spark, n, rank_rows):
     rng = random.Random(n)
     rows = [(i, rng.choice([0, 0, 1])) for i in range(n)]
     df = spark.createDataFrame(rows, "play_id long, skipped int")
-    got = {r.play_id: r.split for r in stratified_split(df).collect()}
+    got = {r.play_id: r.split for r in stratified_split(df, rank_rows=rank_rows).collect()}
     want = {}
     for label in (0, 1):
         ids = sorted((i for i, y in rows if y == label), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
@@ -27,11 +27,14 @@ def test_rows_without_a_class_have_no_split(spark):
     assert {r.play_id for r in stratified_split(df).where("split IS NULL").collect()} == {3}
 
 
-@pytest.mark.parametrize("spread", [0, 1, 10_000_000])
-def test_time_split_is_exact_with_ties(spark, spread):
+@pytest.mark.parametrize("rank_rows", [0, 50, 1_000_000])
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("spread", [0, 10_000_000])
+def test_time_split_is_exact_with_ties(spark, spread, kind, rank_rows):
     rng = random.Random(spread)
-    rows = [(i, datetime(2024, 1, 1) + timedelta(microseconds=rng.randint(0, spread) * 977)) for i in range(203)]
+    name = (lambda i: i * 2 ** 18) if kind == "long" else (lambda i: f"play-{i * 37:09d}")
+    rows = [(name(i), datetime(2024, 1, 1) + timedelta(microseconds=rng.randint(0, spread) * 977)) for i in range(203)]
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "play_id long, ts timestamp_ntz")
-    got = {r.play_id for r in time_split(df).where("split = 'train'").collect()}
+    df = spark.createDataFrame(rows, f"play_id {kind}, ts timestamp_ntz")
+    got = {r.play_id for r in time_split(df, rank_rows=rank_rows).where("split = 'train'").collect()}
     assert got == {i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:int(203 * 0.8)]}

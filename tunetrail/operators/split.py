@@ -2,18 +2,21 @@
 
 from functools import reduce
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
 from tunetrail.functions.time import micros
 
+RANK_ROWS = 1_000_000
 
-def rank_cut(df, order, levels, fraction, by=None):
+
+def rank_cut(df, order, levels, fraction, by=None, rank_rows=RANK_ROWS):
     """{group: order key of row number floor(fraction · rows of the group)}.
 
     `levels` are columns that coarsen the order, each finer than the one before. For each
     level one job counts rows per value (combined on the map side) and one row per group
-    comes back: the value that holds the cut. The next job reads that value only, so just the
-    rows that share the last level are ranked. Groups whose cut is row 0 are left out.
+    comes back: the value that holds the cut. The next job reads that value only. As soon as
+    it holds at most `rank_rows` rows, these are ranked. Groups whose cut is row 0 are left
+    out.
     """
     rows = df.withColumn("_group", F.lit(0) if by is None else F.col(by)).where(F.col("_group").isNotNull())
     needs = None
@@ -24,12 +27,14 @@ def rank_cut(df, order, levels, fraction, by=None):
         upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
         cuts = (counts.withColumns({"_need": need, "_upto": upto})
                 .where((F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n")))
-                .select("_group", "_value", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"))).collect()
+                .select("_group", "_value", "_n", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"))).collect()
         if not cuts:
             return {}
         needs = {c["_group"]: c["_need"] for c in cuts}
         rows = rows.where(reduce(lambda a, b: a | b, [
             (F.col("_group") == c["_group"]) & (F.col(level) == c["_value"]) for c in cuts]))
+        if max(c["_n"] for c in cuts) <= rank_rows:
+            break
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*order)))
     found = ranked.where(F.col("_rank") == _per_group(needs)).select("_group", *order).collect()
     return {r["_group"]: tuple(r[c] for c in order) for r in found}
@@ -48,31 +53,42 @@ def _inside(columns, cut):
     return (first < cut[0]) | ((first == cut[0]) & _inside(rest, cut[1:]))
 
 
-def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42):
+def key_levels(df, key):
+    """Columns that coarsen a key step by step: ranges of numbers, prefixes of text."""
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        return {f"_range{bits}": F.floor(F.col(key) / F.lit(2 ** bits)) for bits in (40, 20)}
+    return {f"_start{n}": F.substring(F.col(key).cast("string"), 1, n) for n in (4, 8, 16)}
+
+
+def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42, rank_rows=RANK_ROWS):
     """Add `split`: exactly floor(fraction · n) rows of each class are 'train'.
 
     Rows are ordered by a seeded hash of the key, so the split is the same on every run and
-    cluster. The hash is uniform: a prefix of four digits leaves 1/65536 of a class to rank.
+    cluster. The hash is uniform: four digits leave 1/65536 of a class, eight leave next to
+    nothing. The input is read once per step.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     keys = df.select(label, F.col(key).alias("_key"), digest.alias("_hash")) \
-        .withColumn("_prefix", F.substring("_hash", 1, 4))
-    cuts = rank_cut(keys, ["_hash", "_key"], ["_prefix"], fraction, label)
+        .withColumns({f"_start{n}": F.substring("_hash", 1, n) for n in (4, 8)})
+    cuts = rank_cut(keys, ["_hash", "_key"], ["_start4", "_start8"], fraction, label, rank_rows)
     train = F.lit(False)
     for value, cut in cuts.items():
         train = train | ((F.col(label) == value) & _inside([digest, F.col(key)], cut))
     return df.withColumn("split", F.when(F.col(label).isNotNull(), F.when(train, "train").otherwise("test")))
 
 
-def time_split(windows, fraction=0.8, ts="ts", key="play_id"):
+def time_split(windows, fraction=0.8, ts="ts", key="play_id", rank_rows=RANK_ROWS):
     """Add `split`: the first floor(fraction · n) rows in (time, key) order are 'train'.
 
-    The cut is searched day by day, then by second and microsecond; only rows of the very
-    microsecond of the cut are ranked. The input is read once per step: pass a stored table.
+    The cut is searched by day, second and microsecond, and among rows of one microsecond by
+    key ranges, until few enough rows are left to rank. The input is read once per step: pass
+    a stored table.
     """
     at = micros(windows, ts)
     keys = windows.select(at.alias("_at"), F.col(key).alias("_key")).withColumns({
         "_day": F.floor(F.col("_at") / 86_400_000_000), "_second": F.floor(F.col("_at") / 1_000_000)})
-    cut = rank_cut(keys, ["_at", "_key"], ["_day", "_second", "_at"], fraction).get(0)
+    by_key = key_levels(keys, "_key")
+    cut = rank_cut(keys.withColumns(by_key), ["_at", "_key"], ["_day", "_second", "_at", *by_key], fraction,
+                   rank_rows=rank_rows).get(0)
     train = F.lit(False) if cut is None else _inside([at, F.col(key)], cut)
     return windows.withColumn("split", F.when(train, "train").otherwise("test"))
