@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tunetrail.operators import evaluate, features, models
 from tunetrail.plans.features import add_features
-from tunetrail.plans.training import (compare, fit_sequence_model, fit_skip_tree, fit_snapshot_models, fit_word_model,
+from tunetrail.plans.training import (compare, fit_sequence_model, fit_skip_tree, fit_snapshot_models,
                                       prepare_snapshot, sequence_table, wordcloud)
 from tunetrail.schema import GRID_BOOSTED_LYRICS, SCALED_AUDIO
 
