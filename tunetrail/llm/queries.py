@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tunetrail.llm import edit_match, grace, line_crf, raking, simhash, warc
+from tunetrail.llm import (block_anchors, edit_match, grace, line_crf, raking, simhash, suffix_groups, toxicity,
+                           transcripts, warc)
 from tunetrail.llm.shared import scratch_folder
 
 
@@ -30,6 +31,27 @@ def op3_raking(spark, sf_dir):
                                               "sampled")
 
 
+def op4_transcripts(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    lines = transcripts.as_transcripts(turns)
+    model = transcripts.fit_roles(lines.where(transcripts.fold_of("conv_id") != 0))
+    found = transcripts.format_chats(lines, model)
+    return found.select("conv_id", "block", (transcripts.fold_of("conv_id") == 0).alias("held_out"), "n_lines",
+                        F.size("roles").alias("n_turns"), "line_roles", "roles", "rendered")
+
+
+def op5_toxicity(spark, sf_dir):
+    docs = _texts(spark, sf_dir)
+    model = toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_block_anchors(spark, sf_dir):
+    found = block_anchors.drop_repeats(_texts(spark, sf_dir))
+    return found.select("doc_id", "n_words", block_anchors.removed_length("removed").alias("n_removed"),
+                        F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_grace(spark, sf_dir):
     return grace.exact_groups(_texts(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -42,12 +64,20 @@ def op8_warc(spark, sf_dir):
                                                                     "record_type", "refers_to")
 
 
+def op9_suffix_groups(spark, sf_dir):
+    found = suffix_groups.drop_substrings(_texts(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", block_anchors.removed_length("removed").alias("n_removed"),
+                        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_edit_match(spark, sf_dir):
     found = edit_match.match_items(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_line_crf, op3_raking, op7_grace, op8_warc, op10_edit_match)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_line_crf, op3_raking, op4_transcripts, op5_toxicity, op6_block_anchors, op7_grace, op8_warc,
+    op9_suffix_groups, op10_edit_match)}
 
 ORACLES = {
     "op7_grace": """

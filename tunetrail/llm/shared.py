@@ -210,3 +210,12 @@ def fold(doc_id, modulus: int):
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """Schema of a table with more columns at its end."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def owned(owner: np.ndarray, *columns: np.ndarray):
+    """(owner, its values of each column), one owner after the other."""
+    order = np.argsort(owner, kind="stable")
+    owner = owner[order]
+    starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
+    for a, b in zip(starts, np.append(starts[1:], len(owner)) if len(owner) else []):
+        yield int(owner[a]), [c[order[a:b]] for c in columns]
