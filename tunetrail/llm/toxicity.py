@@ -2,8 +2,9 @@
 
 The lexicon is learned: words and word beginnings whose document share among toxic training rows
 is far above that among the others. Disguised spellings (digits and marks for letters, capitals,
-marks around a word) are undone before the lookup and counted as obfuscation. The labelled sample
-is cut in three: lexicon, trees and calibration each learn from rows the others have not seen.
+marks around a word) are undone before the lookup and counted as obfuscation. Rows that trees or
+calibration learn from get their features from a lexicon of the other half of the sample, and the
+calibration learns from rows the trees have not seen; the final lexicon is of the whole sample.
 """
 
 from dataclasses import dataclass
@@ -154,9 +155,9 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, least: int = 4, lea
 
     `sample` has columns label and text; a token counts once in a document. Runs jobs.
     """
-    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    sizes = {int(r.label): r["count"] for r in sample.groupBy("label").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    counted = (sample.select("label", "text").mapInArrow(_tokens, "label int, kind int, code long").groupBy("kind", "code")
+    counted = (sample.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_tokens, "label int, kind int, code long").groupBy("kind", "code")
                .agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     rows = (counted.where(F.col("bad") >= least).withColumn("odds", odds).where(F.col("odds") >= least_odds)
@@ -199,13 +200,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENT
     rows (0 without any). Runs jobs; the sample is stored in the shared folder.
     """
     sample = labelled(labels, "toxic", MODULUS, HELD_OUT, documents)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(91)), F.lit(4))
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-                  .select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"), part.alias("part")), "sample")
-    lexicon = learn_lexicon(rows.where("part = 0"))
-    dense = stored(with_features(rows, lexicon).select("doc_id", "label", "part", "_features").coalesce(4), "dense")
-    fit = dense.where("part in (1, 2)").withColumn("label", F.col("label").cast("double")).orderBy("doc_id")
-    check = dense.where("part = 3").withColumn("label", F.col("label").cast("double")).orderBy("doc_id")
+    half, part = F.pmod(F.xxhash64("doc_id", F.lit(91)), F.lit(2)), F.pmod(F.xxhash64("doc_id", F.lit(92)), F.lit(3))
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(
+        "doc_id", F.col("label").cast("double").alias("label"), F.coalesce("text", F.lit("")).alias("text"),
+        half.alias("half"), part.alias("part")), "sample")
+    lexicon = learn_lexicon(rows)
+    halves = [with_features(rows.where(F.col("half") == 1 - k), learn_lexicon(rows.where(F.col("half") == k))) for k in (0, 1)]
+    dense = stored(halves[0].unionByName(halves[1]).select("doc_id", "label", "part", "_features").coalesce(4), "dense")
+    fit, check = dense.where("part > 0").orderBy("doc_id"), dense.where("part = 0").orderBy("doc_id")
     prior = rows.agg(F.avg("label")).first()[0] or 0.0
     kinds = lambda df: df.select("label").distinct().count()
     if kinds(fit) < 2 or kinds(check) < 2:
