@@ -22,6 +22,7 @@ ONLY = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
 def main():
     spark = build_session("bench", f"local[{CPUS}]", **{
         "spark.sql.shuffle.partitions": CPUS, "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": os.environ.get("BENCH_CHECKPOINTS", "file:///tmp/checkpoints"),
         "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"), "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{SF_DIR}/lineitem.parquet").groupBy("l_returnflag").count().collect()

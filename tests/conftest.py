@@ -7,11 +7,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tunetrail.session import build_session
 
-    session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
+    session = build_session("tests", "local[3]", **{
+        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+        "spark.checkpoint.dir": (tmp_path_factory.mktemp("shared") / "checkpoints").as_uri()})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

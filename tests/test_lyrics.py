@@ -31,7 +31,7 @@ def python_tokens(text):
 @pytest.fixture()
 def docs(spark):
     df = spark.createDataFrame(list(TEXTS.items()), "track_id int, lyrics string")
-    return L.drop_stop_words(L.tokenize(df), ["the"])
+    return L.term_counts(L.drop_stop_words(L.tokenize(df), ["the"]))
 
 
 def python_vocab(tokens, weights, min_df, max_df, cap):

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from tunetrail.operators.sessions import sequence_windows, sessionize
+from tunetrail.operators.sessions import sequence_windows, sessionize, with_segments
 
 START = datetime(2024, 1, 1)
 
@@ -21,6 +21,12 @@ def random_rows(seed, n=600):
     for i in range(n):
         user = 1 if rng.random() < 0.7 else rng.randint(2, 9)
         at = START + timedelta(minutes=rng.choice([0, 5, 20, 21]) * rng.randint(0, 400))
+        if i % 7 == 0:
+            user = None
+        if i % 13 == 0:
+            at = None
+        if i % 3 == 0:  # one busy hour
+            user, at = 1, START + timedelta(days=3, seconds=i * 5)
         rows.append((i, user, at, rng.randint(0, 1), rng.random()))
     return rows
 
@@ -30,7 +36,7 @@ def walk(rows, gap, min_plays):
     out, sessions = {}, []
     for user in {r[1] for r in rows}:
         number, previous, current = 0, None, []
-        for row in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0])):
+        for row in sorted((r for r in rows if r[1] == user and r[2] is not None), key=lambda r: (r[2], r[0])):
             if previous is None or (row[2] - previous).total_seconds() / 60 > gap:
                 number += 1
                 current = []
@@ -50,19 +56,19 @@ def test_gap_of_exactly_the_limit_stays_in_the_session(spark):
     assert got == {0: 1, 1: 1, 2: 2}
 
 
-@pytest.mark.parametrize("hot_rows, bucket", [(None, 60), (5_000_000, 60), (5, 30), (5, 240), (0, 1)])
+@pytest.mark.parametrize("hot_rows", [None, 5_000_000, 50, 5, 0])
 @pytest.mark.parametrize("min_plays", [1, 3])
-def test_sessions_equal_a_walk(spark, hot_rows, bucket, min_plays):
+def test_sessions_equal_a_walk(spark, hot_rows, min_plays):
     rows = random_rows(7)
-    got = sessionize(plays_of(spark, rows), 20, min_plays, hot_rows=hot_rows, bucket_minutes=bucket).collect()
+    got = sessionize(plays_of(spark, rows), 20, min_plays, hot_rows=hot_rows).collect()
     want, _ = walk(rows, 20, min_plays)
     assert {r.play_id: (r.session_no, r.session_plays) for r in got} == want
 
 
-@pytest.mark.parametrize("hot_rows, bucket", [(None, 60), (5, 30), (5, 600), (0, 1)])
-def test_windows_equal_a_walk(spark, hot_rows, bucket):
+@pytest.mark.parametrize("hot_rows", [None, 50, 5, 0])
+def test_windows_equal_a_walk(spark, hot_rows):
     rows = random_rows(11)
-    sessions = sessionize(plays_of(spark, rows), 20, 3, hot_rows=hot_rows, bucket_minutes=bucket)
+    sessions = sessionize(plays_of(spark, rows), 20, 3, hot_rows=hot_rows)
     got = {r.play_id: ([s.energy for s in r.seq], r.target) for r in sequence_windows(sessions, ["energy"], n_steps=5).collect()}
     want = {}
     for session in walk(rows, 20, 3)[1]:
@@ -71,10 +77,27 @@ def test_windows_equal_a_walk(spark, hot_rows, bucket):
     assert got == want
 
 
-def test_one_shuffle_of_plays_for_sessions(spark):
-    df = sessionize(plays_of(spark, random_rows(3)), 20, 3, hot_rows=None)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_one_shuffle_of_plays_for_sessions_and_windows(spark):
+    """By default one exchange carries plays; with heavy listeners the stored plays are dealt already."""
+    plays = plays_of(spark, random_rows(3))
+    plan = final_plan(sequence_windows(sessionize(plays, 20, 3), ["energy"]))
+    raw = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "_segment" in x]
+    assert len([x for x in raw if "Reused" not in x]) <= 2  # the plays, and the empty tails
+    stored = sessionize(plays, 20, 3, hot_rows=20)
+    assert not [x for x in final_plan(stored).split("\n") if "Exchange hashpartitioning" in x and "energy" in x]
+
+
+def test_segments_split_a_busy_hour(spark):
+    plays = plays_of(spark, random_rows(5))
+    segmented, heavy = with_segments(plays, hot_rows=20)
+    assert heavy
+    sizes = [r["count"] for r in segmented.where("user_id = 1").groupBy("_segment").count().collect()]
+    assert max(sizes) <= 60 and len(sizes) >= 8
 
 
 def test_empty_input(spark):

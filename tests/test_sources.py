@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tunetrail.operators.impute import impute_candidates, impute_genres, list_text
 from tunetrail.functions.genres import parse_list
-from tunetrail.plans.clean import build_clean_plays, unique_library
+from tunetrail.plans.clean import build_clean_plays, unique_library, unique_lyrics
 from tunetrail.plans.dashboard import export_dashboard, top_lists
 from tunetrail.schema import AUDIO_CORE
 from tunetrail.sources.pages import extract_page_lyrics, unescape
@@ -147,3 +147,44 @@ def test_page_lyrics(spark):
 
 def test_unescape_without_references(spark):
     assert spark.range(1).select(unescape(F.lit("a & b")).alias("x")).head().x == "a & b"
+
+
+def test_files_with_other_headers_under_one_pattern(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("track_id,energy,tempo\nt1,0.7,99\n")
+    (tmp_path / "c.csv").write_text("tempo,track_id,valence\n120,t2,0.3\n121,t1,0.4\n")
+    for paths in (str(tmp_path / "*.csv"), [str(tmp_path / "a b.csv"), str(tmp_path / "c.csv")], str(tmp_path)):
+        rows = {(r.track_id, r.source_no): r for r in read_library(spark, paths).collect()}
+        assert set(rows) == {("t1", 0), ("t2", 1), ("t1", 1)}
+        assert (rows["t1", 0].energy, rows["t1", 0].tempo, rows["t1", 0].valence) == (0.7, 99.0, None)
+        assert (rows["t2", 1].energy, rows["t2", 1].tempo, rows["t2", 1].valence) == (None, 120.0, 0.3)
+    with pytest.raises(FileNotFoundError):
+        read_library(spark, str(tmp_path / "none*.csv"))
+
+
+def test_large_play_files_are_split(spark, tmp_path):
+    line = "2024-01-01T10:00:00Z,One,A,uri:1,t1,True\n"
+    (tmp_path / "plays.csv").write_text("ts,track_name,artist,track_uri,track_id,skipped\n" + line * 20000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        plays = read_plays(spark, str(tmp_path / "plays.csv"))
+        scan = [x for x in plays._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+        assert scan and "multiLine" not in scan[0]
+        assert plays.select("play_id").distinct().count() == 20000  # repeats are numbered
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_text_wins_over_a_missing_one(spark):
+    lyrics = spark.createDataFrame([("u1", None, 0), ("u1", "text", 0), ("u1", "later", 1), ("u2", None, 0)],
+                                   "track_uri string, lyrics string, source_no int")
+    assert {r.track_uri: r.lyrics for r in unique_lyrics(lyrics).collect()} == {"u1": "text", "u2": None}
+
+
+def test_repeated_lookup_keys_and_table_before_rule(spark):
+    plays = spark.createDataFrame([(1, "A", "Burn", "u1", "[]")], "play_id int, artist string, track_name string, track_uri string, genres string")
+    table = spark.createDataFrame([("A", ["b"]), ("A", ["a"])], "artist string, genres array<string>")
+    rules = spark.createDataFrame([("A", 1, "burn", False, ["rule"])],
+                                  "artist string, priority int, title string, negate boolean, genres array<string>")
+    assert [r.genres for r in impute_genres(plays, [table], rules).collect()] == ["['a']"]
+    assert [r.genres for r in impute_genres(plays, [], rules).collect()] == ["['rule']"]

@@ -3,7 +3,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from tunetrail.operators import split
 from tunetrail.operators.split import stratified_split, time_split
 
 
@@ -38,3 +40,26 @@ def test_time_split_is_exact_with_ties(spark, spread, kind, rank_rows):
     df = spark.createDataFrame(rows, f"play_id {kind}, ts timestamp_ntz")
     got = {r.play_id for r in time_split(df, rank_rows=rank_rows).where("split = 'train'").collect()}
     assert got == {i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:int(203 * 0.8)]}
+
+
+def test_splits_are_exact_on_repeated_keys(spark):
+    df = spark.createDataFrame([("same", y, i) for i, y in enumerate([0] * 6 + [1] * 4)], "play_id string, skipped int, i int")
+    for rank_rows in (0, 1_000_000):
+        got = stratified_split(df, rank_rows=rank_rows).groupBy("skipped", "split").count().collect()
+        assert {(r.skipped, r.split): r["count"] for r in got} == {(0, "train"): 4, (0, "test"): 2, (1, "train"): 3, (1, "test"): 1}
+    timed = df.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    assert time_split(timed).where("split = 'train'").count() == 8
+
+
+def test_prefixed_text_keys_are_narrowed_before_ranking(spark):
+    df = spark.range(3000).select(F.concat(F.lit("urn:listening:play:"), F.col("id").cast("string")).alias("k"))
+    seen = []
+    original = split._narrow
+    split._narrow = lambda *a: seen.append(original(*a)) or seen[-1]
+    try:
+        keys = df.withColumn("at", F.lit(1))
+        found = split.rank_cut(keys, ["at", "k"], ["at"], 0.5, rank_rows=100)
+    finally:
+        split._narrow = original
+    assert seen[-1][2] <= 100 < seen[0][2]
+    assert found[0][0][1] == sorted(r.k for r in df.collect())[1499]

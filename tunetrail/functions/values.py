@@ -39,7 +39,7 @@ def bin3(c):
 
 
 def remap(df, col, mapping, keep_unmatched=True, key="from", value="to"):
-    """Replace values through a two-column table, one row per key."""
-    pairs = mapping.select(F.col(key).alias(col), F.col(value).alias("_to"))
+    """Replace values through a two-column table; of repeated keys the smallest value counts."""
+    pairs = mapping.groupBy(F.col(key).alias(col)).agg(F.min(value).alias("_to"))
     mapped = F.coalesce("_to", col) if keep_unmatched else F.col("_to")
     return df.join(pairs, col, "left").withColumn(col, mapped).select(df.columns)

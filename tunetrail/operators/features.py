@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 from tunetrail.functions.genres import column_name, genre_flags
 from tunetrail.operators.stats import top_genres
 from tunetrail.schema import SCALED_AUDIO, TIME_OF_DAY
+from tunetrail.session import checkpoint
 
 
 def zscore_fit(df, cols=SCALED_AUDIO):
@@ -35,10 +36,18 @@ def genre_onehot(df, n=20, tags="genres_list", fit_on=None):
 def label_encode(df, col, out=None):
     """Alphabetical code of a categorical column, from 0.
 
-    Ranks the distinct values, not the rows.
+    Ranks the distinct values, not the rows: ranges of values are numbered each by itself, after
+    the number of values in the ranges before.
     """
-    values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    codes = values.withColumn("_code", F.row_number().over(Window.partitionBy().orderBy(col)) - 1)
+    values = df.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col) \
+        .withColumn("_range", F.spark_partition_id())
+    values = checkpoint(values)
+    sizes = values.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range reaches this window.
+    before = sizes.select("_range", (F.sum("_n").over(Window.partitionBy().orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(col)) - 1
+    codes = values.withColumn("_place", place).join(before, "_range").select(
+        col, (F.col("_before") + F.col("_place")).cast("int").alias("_code"))
     return df.join(codes, col, "left").withColumn(out or f"{col}_encoded", F.col("_code")).drop("_code")
 
 

@@ -17,11 +17,13 @@ def list_text(c):
 def _look_up(plays, table, name):
     """Left join of one lookup (key columns + `genres` array), as column `name`.
 
-    Lookup keys are unique. Spark broadcasts the table when its size allows, and otherwise
-    splits hot keys of the plays side at run time.
+    Of repeated lookup keys the smallest genre list counts, so plays never multiply. Spark
+    broadcasts the table when its size allows, and otherwise splits hot keys of the plays side
+    at run time.
     """
     keys = [c for c in table.columns if c != "genres"]
-    return plays.join(table.select(*keys, list_text(F.col("genres")).alias(name)), keys, "left")
+    unique = table.groupBy(*keys).agg(F.min("genres").alias("genres"))
+    return plays.join(unique.select(*keys, list_text(F.col("genres")).alias(name)), keys, "left")
 
 
 def _apply_rules(plays, rules, name):

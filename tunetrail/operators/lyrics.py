@@ -1,8 +1,9 @@
 """Bag-of-words features of lyrics.
 
 A text is one row, so its term counts are made inside the row: tokens are sorted and equal
-neighbours merged. Only (token, count) pairs that are already combined per task are shuffled,
-and weighting needs no shuffle at all.
+neighbours merged. `counted_lyrics` stores them once; document counts, weights and vectors all
+read the stored counts. Only (token, count) pairs that are already combined per task are
+shuffled, and weighting needs no shuffle at all.
 """
 
 from functools import lru_cache
@@ -13,35 +14,11 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Window, functions as F
 
 from tunetrail.functions.text import fix_mojibake, strip_accents
+from tunetrail.session import checkpoint
 
 # Runs of two or more letters, digits or underscores.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
-# Extra stop words (fixed values): ad-libs, slang, common verbs and adverbs, profanity, numbers.
-AD_LIBS = """
-pa yeah oh ah eh uh ooh ey ay mm ayy huh na da ta sa dey woah hey yeh ra vo nah brr
-""".split()
-SLANG = """
-toy gon gonna bout tryna ma mami vamo ere em us je
-""".split()
-COMMON_WORDS = """
-hacer mejor ven ando pongo puse darte quieren mismo mas aqui asi tan cada nadie conmigo
-contigo voy dime ahora quiere hace ver hoy gusta sabe sabes quieres puedo ser dice veo
-vas siento paso creo aunque vida vez tiempo cama dale solo siempre bien quiero va
-nunca amor noche dia sola ves sigo dejo pase di llegaron
-nobody would every new made show try around like know got get go want make say come
-tell look think baby bebe wanna gotta let back one cause see never need take right
-way still even better girl man time life feel good bad real really said keep put
-give could call hit turn everything much boy day long stop thing things came many might little lil
-""".split()
-PROFANITY = """
-bitch bitches fuck fucks shit bullshit ass damn hell
-""".split()
-NUMBERS = """
-21 dos two par cuatro
-""".split()
-EXTRA_STOP_WORDS = AD_LIBS + SLANG + COMMON_WORDS + PROFANITY + NUMBERS
-
 
 @lru_cache(maxsize=None)
 def language_stop_words(language):
@@ -91,26 +68,23 @@ def unfold(df, terms, *keep):
     return df.select(*keep, F.inline_outer(terms)).where(F.col("token").isNotNull())
 
 
-def token_stats(docs, weight=None, tokens="tokens"):
+def token_stats(docs, weight=None, terms="terms"):
     """(token, df, total): documents that hold the token and its uses over all documents.
 
-    The sorted tokens of a text are paired with their left neighbours, so a token counts for
-    its document where the two differ; one aggregate, combined on the map side, does both.
+    Reads the term counts of each document, so a token is one row per document; one aggregate,
+    combined on the map side, does both sums.
     """
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
-    ordered = docs.select(times.alias("_times"), F.sort_array(tokens).alias("_sorted"))
-    paired = ordered.select("_times", F.arrays_zip(
-        F.col("_sorted").alias("token"), F.concat(F.array(F.lit(None).cast("string")), F.col("_sorted")).alias("before")).alias("_pairs"))
-    return (unfold(paired, "_pairs", "_times").groupBy("token")
-            .agg(F.coalesce(F.sum(F.when(~F.col("token").eqNullSafe(F.col("before")), F.col("_times"))), F.lit(0)).alias("df"),
-                 F.sum("_times").alias("total")))
+    return (unfold(docs.select(times.alias("_times"), terms), terms, "_times").groupBy("token")
+            .agg(F.sum("_times").alias("df"), F.sum(F.col("tf") * F.col("_times")).alias("total")))
 
 
 def vocabulary(docs, min_df=2, max_df=0.7, cap=100, weight=None):
     """The `cap` most used tokens among those in `min_df` … `max_df`·N documents.
 
-    Returns (token, position, df, total, documents); positions follow the alphabet. `weight` names a
-    column that says how many documents a row stands for.
+    `docs` holds `terms` (see `term_counts`). Returns (token, position, df, total, documents);
+    positions follow the alphabet. `weight` names a column that says how many documents a row
+    stands for.
     """
     times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
     n_docs = docs.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n")).scalar()
@@ -122,6 +96,15 @@ def vocabulary(docs, min_df=2, max_df=0.7, cap=100, weight=None):
                        "df", "total", "documents")
 
 
+def counted_lyrics(texts, key, text="lyrics", stop_words=(), strip_escapes=False, keep=()):
+    """(key, kept columns, terms) of every text, stored once: all later steps read the counts.
+
+    Runs the one job that tokenises the corpus.
+    """
+    tokens = drop_stop_words(tokenize(texts.select(key, *keep, text), text, strip_escapes), stop_words)
+    return checkpoint(term_counts(tokens.select(key, *keep, "tokens")).drop("tokens"))
+
+
 def idf(vocab):
     """ln((1 + N) / (1 + df)) + 1."""
     return vocab.withColumn("idf", F.log((1.0 + F.col("documents")) / (1.0 + F.col("df"))) + 1.0)
@@ -130,21 +113,30 @@ def idf(vocab):
 def tfidf(docs, vocab, key):
     """(key, token, weight): tf · idf, scaled to unit length per document.
 
-    Collects the vocabulary (bounded by its cap); each document is then weighted inside its
-    row, after every other token is gone.
+    Collects the vocabulary (bounded by its cap); each document's term counts are then weighted
+    inside its row.
     """
     factors = {r.token: r.idf for r in idf(vocab).collect()}
     if not factors:
         return docs.select(key, F.lit("").alias("token"), F.lit(0.0).alias("weight")).limit(0)
-    known = docs.select(key, F.filter("tokens", lambda t: t.isin(list(factors))).alias("tokens"))
-    table = F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])
-    weighed = term_counts(known).withColumn("_terms", F.transform("terms", lambda t: F.struct(
-        t["token"].alias("token"), (t["tf"] * F.try_element_at(table, t["token"])).alias("raw"))))
+    weighed = docs.select(key, _weighed(factors).alias("_terms"))
     norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["raw"] * t["raw"]))
     return (unfold(weighed.withColumn("_norm", norm), "_terms", key, "_norm")
             .select(key, "token", (F.col("raw") / F.col("_norm")).alias("weight")))
 
 
+def _weighed(factors):
+    """Known terms with tf · idf."""
+    table = F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])
+    return F.transform(F.filter("terms", lambda t: t["token"].isin(list(factors))), lambda t: F.struct(
+        t["token"].alias("token"), (t["tf"] * F.try_element_at(table, t["token"])).alias("raw")))
+
+
+def tokens_of(terms="terms"):
+    """The token list behind term counts, each token as often as it was used."""
+    return F.flatten(F.transform(terms, lambda t: F.array_repeat(t["token"], t["tf"].cast("int"))))
+
+
 def tfidf_model(vocab, tokens="tokens", output="lyric_features"):
     """Spark ML stages that turn tokens into the same weights as sparse vectors.
 

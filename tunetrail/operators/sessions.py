@@ -1,84 +1,112 @@
 """Listening sessions and the play windows inside them.
 
-Plays are shuffled once, by (listener, segment). An ordinary listener is one segment. A
-listener with more than `hot_rows` plays is split into time buckets, so that no task holds a
-whole heavy history; what crosses a bucket edge (previous time, session number, session size,
-the last few plays) is carried by a small table with one row per bucket.
+Plays are shuffled once, by (listener, segment). An ordinary listener is one segment. A listener
+with more than `hot_rows` plays is cut into segments of about that many plays, wherever these
+fall in time, so that no task holds a whole heavy history. What crosses a segment edge (previous
+time, session number, session size, the last few plays) is carried by a small table with one row
+per segment. Both ways give the same sessions.
+
+Plays without a time belong to no session and are left out. Plays without a listener are one
+listener's.
 """
 
 from pyspark.sql import Window, functions as F
 
 from tunetrail.functions.time import micros
+from tunetrail.session import checkpoint
 
 HOT_ROWS = 5_000_000
-BUCKET_MINUTES = 60
+MINUTE = 60_000_000
 
 SEGMENT = "_segment"
 MICROS = "_micros"
+BACK = "_back"
 
 
-def with_segments(plays, by="user_id", ts="ts", hot_rows=HOT_ROWS, bucket_minutes=BUCKET_MINUTES):
-    """Add the segment of each play: -1, or the time bucket for heavy listeners.
+def _hot_minutes(timed, by, hot_rows):
+    """(_by, _minute, _base, _parts) of heavy listeners: first segment of a minute, and its parts.
 
-    The broadcast table of heavy listeners has at most rows / hot_rows rows.
+    Plays are counted per listener, then per minute for the heavy ones; a minute with more than
+    `hot_rows` plays is cut evenly.
     """
-    df = plays.withColumn(MICROS, micros(plays, ts))
-    if hot_rows is None:
-        return df.withColumn(SEGMENT, F.lit(-1).cast("bigint"))
-    heavy = (plays.groupBy(by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-             .select(by, F.lit(True).alias("_heavy")))
-    width = bucket_minutes * 60_000_000
-    bucket = F.floor(F.col(MICROS) / width)
-    return (df.join(F.broadcast(heavy), by, "left")
-            .withColumn(SEGMENT, F.when(F.col("_heavy"), bucket).otherwise(F.lit(-1)).cast("bigint"))
-            .drop("_heavy"))
-
-
-def sessionize(plays, gap_minutes=20, min_plays=3, by="user_id", ts="ts", key="play_id",
-               hot_rows=HOT_ROWS, bucket_minutes=BUCKET_MINUTES):
+    heavy = timed.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    minutes = (timed.join(heavy, F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+               .groupBy(F.col(by).alias("_by"), F.floor(F.col(MICROS) / MINUTE).alias("_minute")).agg(F.count(F.lit(1)).alias("_n")))
+    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_minute")) - F.col("_n")
+    size = F.lit(max(1, hot_rows))
+    return minutes.select("_by", "_minute", F.floor(before / size).alias("_base"), F.ceil(F.col("_n") / size).alias("_parts"))
+
+
+def with_segments(plays, by="user_id", ts="ts", hot_rows=HOT_ROWS):
+    """Timed plays with their segment: -1, or a number that grows with time for heavy listeners.
+
+    Returns (plays, whether there is a heavy listener). Runs a job that counts plays per listener.
+    """
+    timed = plays.withColumn(MICROS, micros(plays, ts)).where(F.col(MICROS).isNotNull())
+    hot = None if hot_rows is None else checkpoint(_hot_minutes(timed.select(by, MICROS), by, hot_rows))
+    if hot is None or hot.isEmpty():
+        return timed.withColumn(SEGMENT, F.lit(-1).cast("bigint")), False
+    minute = F.floor(F.col(MICROS) / MINUTE)
+    part = F.floor((F.col(MICROS) - minute * MINUTE) * F.col("_parts") / MINUTE)
+    found = timed.join(hot, F.col(by).eqNullSafe(F.col("_by")) & (minute == F.col("_minute")), "left")
+    return (found.withColumn(SEGMENT, F.coalesce(F.col("_base") + part, F.lit(-1)).cast("bigint"))
+            .drop("_by", "_minute", "_base", "_parts")), True
+
+
+def sessionize(plays, gap_minutes=20, min_plays=3, by="user_id", ts="ts", key="play_id", hot_rows=HOT_ROWS):
     """Number the sessions of each listener and keep those with `min_plays` plays.
 
     A play starts a session when it is the first or follows the previous one by more than
-    `gap_minutes`. Adds `diff_minutes`, `session_no` (from 1) and `session_plays`.
+    `gap_minutes`. Adds `diff_minutes`, `session_no` (from 1) and `session_plays`. With a heavy
+    listener the segmented plays are stored once, and all that follows reads them.
     """
     gap = int(gap_minutes * 60_000_000)
-    segment = Window.partitionBy(by, SEGMENT)
-    order = segment.orderBy(ts, key)
-    runs = (with_segments(plays, by, ts, hot_rows, bucket_minutes)
+    order = Window.partitionBy(by, SEGMENT).orderBy(ts, key)
+    segmented, heavy = with_segments(plays, by, ts, hot_rows)
+    runs = (segmented
             .withColumn("_wait", F.col(MICROS) - F.lag(MICROS).over(order))
             .withColumn("_run", F.sum((F.coalesce("_wait", F.lit(0)) > gap).cast("int")).over(
                 order.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("_run_plays", F.count(F.lit(1)).over(Window.partitionBy(by, SEGMENT, "_run"))))
-
-    if hot_rows is None:
-        rows = runs.withColumns({
-            "diff_minutes": F.col("_wait") / 6e7,
-            "session_no": F.col("_run") + 1,
-            "session_plays": F.col("_run_plays")})
-    else:
-        rows = runs.join(_carry(runs.where(F.col(SEGMENT) != -1), by, gap), [by, SEGMENT], "left").withColumns({
+    if heavy:
+        plays_after = F.count(F.lit(1)).over(Window.partitionBy(by, SEGMENT)) - F.row_number().over(order)
+        runs = checkpoint(runs.withColumn(BACK, plays_after.cast("int")))
+        rows = _join(runs, _carry(runs, by, gap), by).withColumns({
             "diff_minutes": F.coalesce("_wait", F.col(MICROS) - F.col("_previous")) / 6e7,
             "session_no": F.coalesce("_first_no", F.lit(1)) + F.col("_run"),
             "session_plays": F.when((F.col("_run") == 0), F.coalesce("_first_plays", "_run_plays"))
             .when(F.col("_run") == F.col("_last_run"), F.col("_last_plays"))
             .otherwise(F.col("_run_plays"))})
+    else:
+        rows = runs.withColumns({
+            "diff_minutes": F.col("_wait") / 6e7,
+            "session_no": F.col("_run") + 1,
+            "session_plays": F.col("_run_plays"),
+            BACK: F.lit(None).cast("int")})
     return (rows.where(F.col("session_plays") >= min_plays)
-            .select(*plays.columns, "diff_minutes", "session_no", "session_plays", SEGMENT))
+            .select(*plays.columns, "diff_minutes", "session_no", "session_plays", SEGMENT, BACK))
+
+
+def _join(plays, table, by):
+    """Left join of a table with one row per listener and segment; a missing listener matches itself."""
+    right = table.withColumnsRenamed({by: "_by", SEGMENT: "_at_segment"})
+    return (plays.join(right, F.col(by).eqNullSafe(F.col("_by")) & (F.col(SEGMENT) == F.col("_at_segment")), "left")
+            .drop("_by", "_at_segment"))
 
 
 def _carry(runs, by, gap):
-    """Per bucket of a heavy listener: what the buckets before and after it decide.
+    """Per segment of a heavy listener: what the segments before and after it decide.
 
-    `_previous` is the time of the last play before the bucket, `_first_no` the number of the
+    `_previous` is the time of the last play before the segment, `_first_no` the number of the
     session its first run belongs to, `_first_plays` / `_last_plays` the full sizes of the
     sessions that its first and last run belong to.
     """
-    buckets = runs.groupBy(by, SEGMENT).agg(
+    segments = runs.where(F.col(SEGMENT) != -1).groupBy(by, SEGMENT).agg(
         F.min(MICROS).alias("_from"), F.max(MICROS).alias("_to"), F.max("_run").alias("_last_run"),
         F.max(F.when(F.col("_run") == 0, F.col("_run_plays"))).alias("_head"),
         F.max_by("_run_plays", "_run").alias("_tail"))
     order = Window.partitionBy(by).orderBy(SEGMENT)
-    starts = (buckets.withColumn("_previous", F.lag("_to").over(order))
+    starts = (segments.withColumn("_previous", F.lag("_to").over(order))
               .withColumn("_new", F.coalesce((F.col("_from") - F.col("_previous") > gap), F.lit(True)).cast("int"))
               .withColumn("_first_no", F.sum(F.col("_new") + F.col("_last_run")).over(
                   order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_last_run"))
@@ -91,8 +119,7 @@ def _carry(runs, by, gap):
     totals = sizes.groupBy(by, SEGMENT).agg(
         F.max(F.when(F.col("_at_start"), F.col("_size"))).alias("_first_plays"),
         F.max(F.when(~F.col("_at_start"), F.col("_size"))).alias("_last_plays"))
-    return (starts.select(by, SEGMENT, "_previous", "_first_no", "_last_run")
-            .join(totals, [by, SEGMENT]))
+    return _join(starts.select(by, SEGMENT, "_previous", "_first_no", "_last_run"), totals, by)
 
 
 def sequence_windows(sessions, features, target="skipped", n_steps=5, by="user_id", ts="ts", key="play_id"):
@@ -105,17 +132,15 @@ def sequence_windows(sessions, features, target="skipped", n_steps=5, by="user_i
     step = F.struct("session_no", *features)
     rows = sessions.withColumn("_steps", F.collect_list(step).over(order.rowsBetween(-n_steps, -1)))
 
-    # Each bucket of a heavy listener receives the last plays of the buckets before it.
-    backwards = Window.partitionBy(by, SEGMENT).orderBy(F.desc(ts), F.desc(key))
-    tails = (sessions.where(F.col(SEGMENT) != -1)
-             .withColumn("_back", F.row_number().over(backwards)).where(F.col("_back") <= n_steps)
-             .groupBy(by, SEGMENT)
-             .agg(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("_at"), step.alias("_step")))).alias("_tail")))
+    # Each segment of a heavy listener receives the last plays of the segments before it.
+    last = F.when(F.col(BACK) < n_steps, F.struct((-F.col(BACK)).alias("_at"), step.alias("_step")))
+    tails = (sessions.where(F.col(SEGMENT) != -1).groupBy(by, SEGMENT)
+             .agg(F.sort_array(F.collect_list(last)).alias("_tail")))
     earlier = Window.partitionBy(by).orderBy(SEGMENT).rowsBetween(-n_steps, -1)
     halo = tails.select(by, SEGMENT, F.flatten(F.collect_list("_tail").over(earlier)).alias("_halo"))
     halo = halo.select(by, SEGMENT, F.transform("_halo", lambda s: s["_step"]).alias("_halo"))
 
-    joined = rows.join(halo, [by, SEGMENT], "left")
+    joined = _join(rows, halo, by)
     history = F.when(F.col("_halo").isNull() | (F.size("_steps") == n_steps), F.col("_steps")) \
         .otherwise(F.concat("_halo", "_steps"))
     recent = F.slice("_history", F.greatest(F.size("_history") - n_steps + 1, F.lit(1)), n_steps)

@@ -1,5 +1,6 @@
 """Exact train / test splits without ranking every row in one task."""
 
+import os
 from functools import reduce
 
 from pyspark.sql import Window, functions as F, types as T
@@ -10,34 +11,52 @@ RANK_ROWS = 1_000_000
 
 
 def rank_cut(df, order, levels, fraction, by=None, rank_rows=RANK_ROWS):
-    """{group: order key of row number floor(fraction · rows of the group)}.
-
-    `levels` are columns that coarsen the order, each finer than the one before. For each
-    level one job counts rows per value (combined on the map side) and one row per group
-    comes back: the value that holds the cut. The next job reads that value only. As soon as
-    it holds at most `rank_rows` rows, these are ranked. Groups whose cut is row 0 are left
-    out.
+    """{group: (order key at the cut, rows of that key before the cut, rows of that key)}.
+
+    The cut is row number floor(fraction · rows of the group). `levels` are columns that coarsen
+    the order, each finer than the one before. For each level one job counts rows per value
+    (combined on the map side) and one row per group comes back: the value that holds the cut.
+    The next job reads that value only. Where more than `rank_rows` keys are left after all
+    levels, ever longer prefixes of the last order column follow. Then the keys, counted, are
+    ranked. Groups whose cut is row 0 are left out.
     """
     rows = df.withColumn("_group", F.lit(0) if by is None else F.col(by)).where(F.col("_group").isNotNull())
-    needs = None
+    needs, left = None, None
     for level in levels:
-        counts = rows.groupBy("_group", F.col(level).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-        group = Window.partitionBy("_group")
-        need = F.floor(F.sum("_n").over(group) * F.lit(fraction)) if needs is None else _per_group(needs)
-        upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
-        cuts = (counts.withColumns({"_need": need, "_upto": upto})
-                .where((F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n")))
-                .select("_group", "_value", "_n", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"))).collect()
-        if not cuts:
+        rows, needs, left = _narrow(rows, F.col(level), needs, fraction)
+        if not needs:
             return {}
-        needs = {c["_group"]: c["_need"] for c in cuts}
-        rows = rows.where(reduce(lambda a, b: a | b, [
-            (F.col("_group") == c["_group"]) & (F.col(level) == c["_value"]) for c in cuts]))
-        if max(c["_n"] for c in cuts) <= rank_rows:
+        if left <= rank_rows:
+            break
+    last = order[-1]
+    while left > rank_rows and isinstance(df.schema[last].dataType, T.StringType):
+        ends = rows.groupBy("_group").agg(F.min(last).alias("low"), F.max(last).alias("high")).collect()
+        if all(r["low"] == r["high"] for r in ends):
             break
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*order)))
-    found = ranked.where(F.col("_rank") == _per_group(needs)).select("_group", *order).collect()
-    return {r["_group"]: tuple(r[c] for c in order) for r in found}
+        shared = {r["_group"]: len(os.path.commonprefix([r["low"], r["high"]])) for r in ends}
+        rows, needs, left = _narrow(rows, F.substr(F.col(last), F.lit(1), _per_group(shared) + 2), needs, fraction)
+    counts = rows.groupBy("_group", *order).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    need = _per_group(needs)
+    found = (counts.withColumn("_upto", upto).where((need <= F.col("_upto")) & (need > F.col("_upto") - F.col("_n")))
+             .select("_group", *order, "_n", (need - F.col("_upto") + F.col("_n")).alias("_quota")).collect())
+    return {r["_group"]: (tuple(r[c] for c in order), r["_quota"], r["_n"]) for r in found}
+
+
+def _narrow(rows, value, needs, fraction):
+    """Rows whose value holds the cut, what the cut needs of them, and the most rows of a group."""
+    valued = rows.withColumn("_value", value)
+    counts = valued.groupBy("_group", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy("_group")
+    need = F.floor(F.sum("_n").over(group) * F.lit(fraction)) if needs is None else _per_group(needs)
+    upto = F.sum("_n").over(group.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    cuts = (counts.withColumns({"_need": need, "_upto": upto})
+            .where((F.col("_need") <= F.col("_upto")) & (F.col("_need") > F.col("_upto") - F.col("_n")))
+            .select("_group", "_value", "_n", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"))).collect()
+    if not cuts:
+        return rows, {}, 0
+    inside = reduce(lambda a, b: a | b, [(F.col("_group") == c["_group"]) & (F.col("_value") == c["_value"]) for c in cuts])
+    return valued.where(inside).drop("_value"), {c["_group"]: c["_need"] for c in cuts}, max(c["_n"] for c in cuts)
 
 
 def _per_group(values):
@@ -45,19 +64,34 @@ def _per_group(values):
     return F.coalesce(*[F.when(F.col("_group") == g, F.lit(v)) for g, v in values.items()])
 
 
-def _inside(columns, cut):
-    """columns <= cut, in lexicographic order."""
+def _before(columns, cut):
+    """columns < cut, in lexicographic order."""
     first, rest = columns[0], columns[1:]
-    if not rest:
-        return first <= cut[0]
-    return (first < cut[0]) | ((first == cut[0]) & _inside(rest, cut[1:]))
+    return first < cut[0] if not rest else (first < cut[0]) | ((first == cut[0]) & _before(rest, cut[1:]))
 
 
-def key_levels(df, key):
-    """Columns that coarsen a key step by step: ranges of numbers, prefixes of text."""
-    if isinstance(df.schema[key].dataType, T.NumericType):
-        return {f"_range{bits}": F.floor(F.col(key) / F.lit(2 ** bits)) for bits in (40, 20)}
-    return {f"_start{n}": F.substring(F.col(key).cast("string"), 1, n) for n in (4, 8, 16)}
+def _labelled(df, label, keys, cuts):
+    """Add `split`: train before each group's cut; of rows that share the key at a cut, as many as it needs.
+
+    Where keys repeat at a cut, those rows alone are numbered; they are in no order, so which of
+    them are train follows their other columns.
+    """
+    of = lambda group: F.lit(True) if label is None else F.col(label) == group
+    either = lambda conditions: reduce(lambda a, b: a | b, conditions, F.lit(False))
+    before = either([of(g) & _before(keys, cut) for g, (cut, _, _) in cuts.items()])
+    at = {g: of(g) & reduce(lambda a, b: a & b, [k == v for k, v in zip(keys, cut)]) for g, (cut, _, _) in cuts.items()}
+    known = F.lit(True) if label is None else F.col(label).isNotNull()
+    named = lambda train: F.when(known, F.when(train, "train").otherwise("test"))
+    shared = [g for g, (_, quota, copies) in cuts.items() if quota < copies]
+    plain = before | either([at[g] for g in cuts if g not in shared])
+    if not shared:
+        return df.withColumn("split", named(plain))
+    tied = F.coalesce(either([at[g] for g in shared]), F.lit(False))
+    quota = F.coalesce(*[F.when(of(g), F.lit(cuts[g][1])) for g in shared])
+    order = Window.partitionBy(F.lit(0) if label is None else F.col(label)).orderBy(F.xxhash64(*df.columns))
+    numbered = df.where(tied).withColumn("_number", F.row_number().over(order))
+    return df.where(~tied).withColumn("split", named(plain)).unionByName(
+        numbered.withColumn("split", named(F.col("_number") <= quota)).drop("_number"))
 
 
 def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42, rank_rows=RANK_ROWS):
@@ -65,30 +99,28 @@ def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42,
 
     Rows are ordered by a seeded hash of the key, so the split is the same on every run and
     cluster. The hash is uniform: four digits leave 1/65536 of a class, eight leave next to
-    nothing. The input is read once per step.
+    nothing. The input is read once per step: pass a stored table.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     keys = df.select(label, F.col(key).alias("_key"), digest.alias("_hash")) \
         .withColumns({f"_start{n}": F.substring("_hash", 1, n) for n in (4, 8)})
     cuts = rank_cut(keys, ["_hash", "_key"], ["_start4", "_start8"], fraction, label, rank_rows)
-    train = F.lit(False)
-    for value, cut in cuts.items():
-        train = train | ((F.col(label) == value) & _inside([digest, F.col(key)], cut))
-    return df.withColumn("split", F.when(F.col(label).isNotNull(), F.when(train, "train").otherwise("test")))
+    return _labelled(df, label, [digest, F.col(key)], cuts)
 
 
 def time_split(windows, fraction=0.8, ts="ts", key="play_id", rank_rows=RANK_ROWS):
     """Add `split`: the first floor(fraction · n) rows in (time, key) order are 'train'.
 
     The cut is searched by day, second and microsecond, and among rows of one microsecond by
-    key ranges, until few enough rows are left to rank. The input is read once per step: pass
-    a stored table.
+    ranges or prefixes of the key, until few enough rows are left to rank. The input is read
+    once per step: pass a stored table.
     """
     at = micros(windows, ts)
     keys = windows.select(at.alias("_at"), F.col(key).alias("_key")).withColumns({
         "_day": F.floor(F.col("_at") / 86_400_000_000), "_second": F.floor(F.col("_at") / 1_000_000)})
-    by_key = key_levels(keys, "_key")
-    cut = rank_cut(keys.withColumns(by_key), ["_at", "_key"], ["_day", "_second", "_at", *by_key], fraction,
-                   rank_rows=rank_rows).get(0)
-    train = F.lit(False) if cut is None else _inside([at, F.col(key)], cut)
-    return windows.withColumn("split", F.when(train, "train").otherwise("test"))
+    ranges = {}
+    if isinstance(windows.schema[key].dataType, T.NumericType):
+        ranges = {f"_range{bits}": F.floor(F.col("_key") / F.lit(2 ** bits)) for bits in (40, 20)}
+    cuts = rank_cut(keys.withColumns(ranges) if ranges else keys, ["_at", "_key"], ["_day", "_second", "_at", *ranges],
+                    fraction, rank_rows=rank_rows)
+    return _labelled(windows, None, [at, F.col(key)], cuts)

@@ -4,9 +4,7 @@ Each reads plays once and shuffles only partial aggregates. Top-N lists come fro
 `orderBy().limit()`, which keeps N rows per task, never from a window over all groups.
 """
 
-from functools import reduce
-from itertools import combinations_with_replacement
-from math import fsum, sqrt
+from itertools import combinations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -21,6 +19,11 @@ def row_count():
     return F.count(F.lit(1))
 
 
+def _plays(times):
+    """Plays behind rows that stand for `times` plays each, or for one."""
+    return row_count() if times is None else F.sum(times)
+
+
 def class_distribution(plays, label="skipped"):
     """Count, share in percent and listen : skip ratio, one row per class."""
     counts = plays.where(F.col(label).isNotNull()).groupBy(label).agg(row_count().alias("plays"))
@@ -36,10 +39,12 @@ def tod_skip_rate(plays):
     """Skip rate per time of day against the overall rate, all four parts in fixed order."""
     spark = plays.sparkSession
     parts = spark.createDataFrame(list(enumerate(TIME_OF_DAY)), "position int, time_of_day string")
-    rates = plays.groupBy("time_of_day").agg(
-        (F.avg("skipped") * 100).alias("rate"), F.count("skipped").alias("plays"))
-    overall = plays.agg((F.avg("skipped") * 100).alias("overall")).scalar()
-    diff = F.col("rate") - overall
+    counts = plays.groupBy("time_of_day").agg(F.sum("skipped").alias("skips"), F.count("skipped").alias("plays"))
+    # At most five rows reach this window.
+    every = Window.partitionBy()
+    rates = counts.withColumns({"rate": F.try_divide("skips", "plays") * 100,
+                                "overall": F.try_divide(F.sum("skips").over(every), F.sum("plays").over(every)) * 100})
+    diff = F.col("rate") - F.col("overall")
     return (parts.join(rates, "time_of_day", "left")
             .select("position", "time_of_day",
                     F.round("rate", 4).alias("skip_rate"),
@@ -87,14 +92,22 @@ def kpi_summary(plays):
     return totals.unpivot([], ["Total Songs", "Total Skips", "Skip Rate"], "Metric", "Value")
 
 
-def exploded_genres(plays, tags="genres_list"):
-    """One row per play and genre; plays without a genre are left out."""
-    return plays.withColumn("genre", F.explode_outer(tags)).where(F.col("genre").isNotNull())
+def track_counts(plays, key="track_id"):
+    """Plays per track and class, combined on the map side: what joins and explodes start from."""
+    return plays.groupBy(key, "skipped").agg(row_count().alias("plays"))
+
 
+def exploded_genres(counts, tags="genres_list"):
+    """One row per counted row and genre; rows without a genre are left out."""
+    return counts.withColumn("genre", F.explode_outer(tags)).where(F.col("genre").isNotNull())
 
-def genre_share(plays, n=10, tags="genres_list"):
-    """Top-n genre tags of listened and of skipped plays, with their share of that class' tags."""
-    per_class = exploded_genres(plays, tags).groupBy("skipped", "genre").agg(row_count().alias("plays"))
+
+def genre_share(counts, n=10, tags="genres_list", times=None):
+    """Top-n genre tags of listened and of skipped plays, with their share of that class' tags.
+
+    Rows are plays, or counted rows (see `track_counts`) with `times` plays each.
+    """
+    per_class = exploded_genres(counts, tags).groupBy("skipped", "genre").agg(_plays(times).alias("plays"))
     totals = per_class.groupBy("skipped").agg(F.sum("plays").alias("total"))
     order = Window.partitionBy("skipped").orderBy(F.desc("plays"), "genre")
     return (per_class.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n)
@@ -103,33 +116,36 @@ def genre_share(plays, n=10, tags="genres_list"):
                     F.round(F.col("plays") / F.col("total") * 100, 1).alias("percent")))
 
 
-def value_counts(df, col, n=None):
-    """Frequency of each value, most frequent first."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(row_count().alias("n")).orderBy(F.desc("n"), col)
+def value_counts(df, col, n=None, times=None):
+    """Frequency of each value, most frequent first; `times` names a column of repeats."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(_plays(times).alias("n")).orderBy(F.desc("n"), col)
     return counts if n is None else counts.limit(n)
 
 
-def top_genres(plays, n=20, tags="genres_list"):
-    """The n most frequent genre tags."""
-    return value_counts(exploded_genres(plays, tags).select("genre"), "genre", n)
+def top_genres(counts, n=20, tags="genres_list", times=None):
+    """The n most frequent genre tags of plays, or of counted rows with `times` plays each."""
+    return value_counts(exploded_genres(counts, tags), "genre", n, times)
 
 
 def category_report(plays, col, default="Other"):
     """Frequency of a derived category with the number of categories and of default rows."""
     counts = plays.groupBy(col).agg(row_count().alias("plays"))
-    every = Window.partitionBy()
-    return counts.select(
-        col, "plays",
-        F.count(col).over(every).alias("categories"),
-        F.coalesce(F.sum(F.when(F.col(col) == default, F.col("plays"))).over(every), F.lit(0)).alias("default_plays"))
+    totals = counts.agg(F.count(col).alias("categories"),
+                        F.coalesce(F.sum(F.when(F.col(col) == default, F.col("plays"))), F.lit(0)).alias("default_plays"))
+    packed = totals.select(F.struct("categories", "default_plays")).scalar()
+    return counts.withColumn("_totals", packed).select(col, "plays", "_totals.categories", "_totals.default_plays")
+
 
+def wide_stats(plays, keys, top_n=10, times=None):
+    """Skipped and completed counts of the union of top-n skipped and top-n completed keys.
 
-def wide_stats(plays, keys, top_n=10):
-    """Skipped and completed counts of the union of top-n skipped and top-n completed keys."""
+    `times` names a column that says how many plays a row stands for.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    n = F.lit(1).cast("bigint") if times is None else F.col(times)
     stats = plays.dropna(subset=keys).groupBy(*keys).agg(
-        F.count_if(F.col("skipped") == 1).alias("Skipped_Count"),
-        F.count_if(F.col("skipped") == 0).alias("Completed_Count"))
+        F.coalesce(F.sum(F.when(F.col("skipped") == 1, n)), F.lit(0)).alias("Skipped_Count"),
+        F.coalesce(F.sum(F.when(F.col("skipped") == 0, n)), F.lit(0)).alias("Completed_Count"))
     top = lambda c: stats.where(F.col(c) > 0).orderBy(F.desc(c), *keys).limit(top_n)
     return (top("Skipped_Count").union(top("Completed_Count")).distinct()
             .orderBy(F.desc("Completed_Count"), F.desc("Skipped_Count"), *keys))
@@ -157,47 +173,24 @@ def frequent_only(counts, q=0.25, col="play_count"):
 def corr_long(df, cols=CORRELATED, deletion="pairwise", digits=2):
     """Pearson correlation of every pair of columns, as (Variable1, Variable2, Correlation).
 
-    `pairwise` uses each pair's complete rows, `listwise` only rows complete in all columns.
-    One job takes sums and cross products per pattern of missing columns, which is a handful
-    of groups; a pair then adds up the patterns that hold both its columns. A constant column
-    correlates with nothing (NULL).
+    `pairwise` uses each pair's complete rows, `listwise` only rows complete in all columns. One
+    lazy aggregate works out every pair; a constant column correlates with nothing (NULL).
     """
     data = df.select(*[to_number(F.col(c)).alias(c) for c in cols])
     if deletion == "listwise":
         data = data.dropna()
-    pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    known = reduce(lambda a, b: a + b, [F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)])
-    sums = data.groupBy(known.alias("known")).agg(
-        row_count().alias("n"),
-        *[f(c).alias(f"{f.__name__}_{i}") for f in (F.sum, F.min, F.max) for i, c in enumerate(cols)],
-        *[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"cross_{i}_{j}") for i, j in pairs])
-
-    # One row per pattern of missing columns comes back.
-    groups = sums.collect()
-    cells = []
-    for i, j in pairs:
-        r = _pearson([g for g in groups if g["known"] >> i & 1 and g["known"] >> j & 1], i, j)
-        cells.append((cols[i], cols[j], r))
-        if i != j:
-            cells.append((cols[j], cols[i], r))
-    table = df.sparkSession.createDataFrame(cells, "Variable1 string, Variable2 string, Correlation double")
+    pairs = list(combinations(cols, 2))
+    varies = lambda c: F.when(F.max(c) > F.min(c), 1.0)
+    # Moments about the mean, each over the rows complete in both columns; without a NULL one variance serves all pairs.
+    known = lambda a, b: F.col(a) if deletion == "listwise" else F.when(F.col(b).isNotNull(), F.col(a))
+    pearson = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(known(a, b)) * F.stddev_pop(known(b, a)))
+    sums = data.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs], *[varies(c).alias(f"{c}|{c}") for c in cols])
+    cell = lambda a, b, name: F.struct(F.lit(a).alias("Variable1"), F.lit(b).alias("Variable2"), F.col(name).alias("Correlation"))
+    cells = [cell(a, b, f"{a}|{b}") for a, b in pairs] + [cell(b, a, f"{a}|{b}") for a, b in pairs]
+    table = sums.select(F.inline(F.array(*cells, *[cell(c, c, f"{c}|{c}") for c in cols])))
     return table.withColumn("Correlation", F.round("Correlation", digits))
 
 
-def _pearson(groups, i, j):
-    """Correlation of columns i and j out of the sums of the groups that hold both."""
-    varies = lambda k: groups and max(g[f"max_{k}"] for g in groups) > min(g[f"min_{k}"] for g in groups)
-    if not (varies(i) and varies(j)):
-        return None
-    if i == j:
-        return 1.0
-    n = sum(g["n"] for g in groups)
-    total = lambda name: fsum(g[name] for g in groups)
-    x, y = total(f"sum_{i}"), total(f"sum_{j}")
-    spread = (n * total(f"cross_{i}_{i}") - x * x) * (n * total(f"cross_{j}_{j}") - y * y)
-    return (n * total(f"cross_{i}_{j}") - x * y) / sqrt(spread) if spread > 0 else None
-
-
 def corr_matrix(df, cols=CORRELATED):
     """List-wise Pearson matrix as a driver-side array (at most len(cols)² numbers)."""
     data = df.select(*[to_number(F.col(c)).alias(c) for c in cols]).dropna()

@@ -14,8 +14,9 @@ def unique_library(library):
 
 
 def unique_lyrics(lyrics):
-    """First text per track address."""
-    return first_per_key(lyrics.select("track_uri", "lyrics", "source_no"), ["track_uri"], ["source_no", "lyrics"]).drop("source_no")
+    """First text per track address; a row without a text counts only where no other has one."""
+    texts = lyrics.select("track_uri", "lyrics", "source_no").withColumn("_none", F.col("lyrics").isNull())
+    return first_per_key(texts, ["track_uri"], ["_none", "source_no", "lyrics"]).drop("_none", "source_no")
 
 
 def enrich_plays(plays, library, lyrics, with_text=True):

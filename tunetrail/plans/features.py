@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tunetrail.functions.genres import consolidate, dominant_genre, parse_list
 from tunetrail.functions.time import with_time_features
 from tunetrail.operators.features import assemble, genre_onehot, label_encode, tod_dummies, zscore_apply, zscore_fit
-from tunetrail.operators.lyrics import drop_stop_words, tfidf_model, tokenize, vocabulary
+from tunetrail.operators.lyrics import counted_lyrics, tfidf_model, tokens_of, vocabulary
 from tunetrail.schema import SCALED_AUDIO, TREE_FEATURES
 
 
@@ -21,13 +21,13 @@ def lyric_vectors(plays, lyrics, stop_words=(), key="track_id", cap=100, min_df=
     weighted by the plays of its track, and only the finished vectors are joined to plays.
     """
     counts = plays.groupBy(key).agg(F.count(F.lit(1)).alias("_plays"))
-    tokens = drop_stop_words(tokenize(lyrics.where(F.col("lyrics").isNotNull())), stop_words).select(key, "tokens")
-    model, words = tfidf_model(vocabulary(tokens.join(counts, key), min_df, max_df, cap, weight="_plays"))
-    return model.transform(tokens).select(key, "lyric_features"), words
+    terms = counted_lyrics(lyrics.where(F.col("lyrics").isNotNull()), key, stop_words=stop_words)
+    model, words = tfidf_model(vocabulary(terms.join(counts, key), min_df, max_df, cap, weight="_plays"))
+    return model.transform(terms.select(key, tokens_of().alias("tokens"))).select(key, "lyric_features"), words
 
 
 def snapshot_features(plays, lyrics, split="split", stop_words=(), fit_on="train", top_genres=20, key="track_id", **limits):
-    """Vectors for the snapshot models: `with_lyrics` and `audio_only`, with their column names.
+    """Vectors for the snapshot models: `with_lyrics` (given lyrics) and `audio_only`, with their column names.
 
     `plays` carries the columns of `add_features` and a `split` column; `lyrics` holds one
     text per track. Scaling, genres and vocabulary are fitted on the train rows, or on all
@@ -40,10 +40,11 @@ def snapshot_features(plays, lyrics, split="split", stop_words=(), fit_on="train
     day_names = [c for c in flagged.columns if c.startswith("time_of_day_")]
     rest = day_names + ["is_weekend"] + genre_names
 
+    audio = assemble(flagged, SCALED_AUDIO + rest, "audio_only")
+    if lyrics is None:
+        return audio, {"audio_only": SCALED_AUDIO + rest}
     vectors, words = lyric_vectors(fit_rows, lyrics, stop_words, key, **limits)
-    joined = flagged.join(vectors, key)
-    both = assemble(joined, SCALED_AUDIO + ["lyric_features"] + rest, "with_lyrics")
-    both = assemble(both, SCALED_AUDIO + rest, "audio_only")
+    both = assemble(audio.join(vectors, key), SCALED_AUDIO + ["lyric_features"] + rest, "with_lyrics")
     return both, {"with_lyrics": SCALED_AUDIO + [f"lyric_{w}" for w in words] + rest, "audio_only": SCALED_AUDIO + rest}
 
 

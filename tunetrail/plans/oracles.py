@@ -9,7 +9,6 @@ from functools import lru_cache
 
 import pyspark
 
-from tunetrail.operators.lyrics import EXTRA_STOP_WORDS
 from tunetrail.plans.queries import GAP
 from tunetrail.schema import (CORRELATED, DEFAULT_MOOD, GENRE_CONSOLIDATION, GENRE_PRIORITY, MOOD_FEATURES, MOOD_LABELS,
                               SCALED_AUDIO)
@@ -105,6 +104,18 @@ numbered AS (
 kept AS (
   SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id, session_no) AS session_plays FROM numbered) WHERE session_plays >= 3)"""
 
+ROUGH = """
+rough AS (
+  SELECT * REPLACE (CASE WHEN play_id % 5 = 0 THEN 1 WHEN play_id % 11 = 0 THEN NULL ELSE user_id END AS user_id,
+                    CASE WHEN play_id % 37 = 0 THEN NULL
+                         WHEN play_id % 5 = 0 THEN TIMESTAMP '2024-01-10 10:00:00' + to_seconds((play_id * 7919) % 3600)
+                         ELSE ts END AS ts) FROM event_plays)"""
+
+
+def rough(gap):
+    return SESSIONS.replace("FROM event_plays", "FROM rough WHERE ts IS NOT NULL").replace(f"> {GAP} ", f"> {gap} ")
+
+
 WINDOWS = f"""
 tagged AS (
   SELECT k.*, l.energy, l.valence, l.popularity,
@@ -131,7 +142,7 @@ def with_(*parts):
 @lru_cache(maxsize=None)
 def stop_list():
     """Language lists shipped in Spark's jar plus the extra words, lower-cased, unaccented, tokenised."""
-    words = list(EXTRA_STOP_WORDS)
+    words = ["die", "der", "und", "les", "des", "une", "Été"]
     home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
     jar = glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar"))[0]
     with zipfile.ZipFile(jar) as archive:
@@ -298,6 +309,34 @@ SELECT page_id, CAST(n_br AS INTEGER) AS n_br,
             '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '') END AS lyrics FROM texts"""
 
 
+def window_vectors(with_lyrics):
+    """Flattened windows: flags, scaled audio, time parts, top genres, then three numbers of the lyrics."""
+    z = lambda c: f"CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END"
+    audio = ["danceability", "energy", "valence", "acousticness", "liveness", "instrumentalness", "speechiness", "popularity",
+             "tempo", "loudness"]
+    parts = [f"CASE WHEN time_of_day = '{v}' THEN 1 ELSE 0 END" for v in ("Evening", "Morning", "Night")]
+    numbers = ["CASE WHEN lower(explicit) IN ('true', '1', '1.0') THEN 1 ELSE 0 END", *map(z, audio), "key", "mode",
+               "time_signature", "hour", "day_of_week", "month", "is_weekend", *parts]
+    cells = "[" + ", ".join(f"CAST({n} AS DOUBLE)" for n in numbers) + "]"
+    texts, join = "", ""
+    if with_lyrics:
+        texts = " || [CAST(length(text) % 7 AS DOUBLE), CAST(length(text) % 11 AS DOUBLE), CAST(length(text) % 13 AS DOUBLE)]"
+        join = " JOIN documents ON doc_id = track_id"
+    return f"""{with_(EVENT_PLAYS, LIBRARY, CLEAN_EVENTS)},
+        c AS (SELECT genre, count(*) AS n FROM (SELECT unnest(tags) AS genre FROM clean_events) GROUP BY genre),
+        top AS (SELECT list(genre ORDER BY n DESC, genre) AS names FROM (SELECT * FROM c ORDER BY n DESC, genre LIMIT 20)),
+        vectored AS (SELECT play_id, track_id, user_id, ts, skipped, {cells}
+                     || list_transform(names, lambda g: CASE WHEN list_contains(tags, g) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS v
+                     FROM clean_events, top),
+        plays AS (SELECT n.play_id, n.user_id, n.ts, n.skipped, v{texts} AS v FROM vectored n{join}),
+        {SESSIONS.replace("FROM event_plays", "FROM plays").strip()},
+        w AS (SELECT play_id, skipped AS target, flatten(list(v) OVER w) AS v, count(*) OVER w AS n FROM kept
+              WINDOW w AS (PARTITION BY user_id, session_no ORDER BY ts, play_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+        SELECT play_id, target, CAST(len(v) AS INTEGER) AS n_values,
+               md5(array_to_string(list_transform(v, lambda x: CAST(CAST(round(x, 3) AS DECIMAL(12,3)) AS VARCHAR)), '|')) AS vector_md5
+        FROM w WHERE n = 5"""
+
+
 @lru_cache(maxsize=None)
 def oracles():
     sql = {}
@@ -340,6 +379,15 @@ def oracles():
         coalesce(reason_start, 'unknown') AS reason_start, 'unknown' AS reason_end, skipped, popularity, round(tempo, 4 + 2) AS tempo,
         round(loudness, 6) AS loudness, round(energy, 6) AS energy, md5(lyrics) AS lyrics_md5
         FROM imputed WHERE genres IS NOT NULL AND popularity IS NOT NULL AND lyrics IS NOT NULL"""
+    sql["conformed_plays"] = f"""{with_(EVENT_PLAYS)} SELECT CAST(play_id AS VARCHAR) AS play_id,
+        CASE WHEN play_id % 11 <> 0 THEN CAST(user_id AS VARCHAR) ELSE '' END AS user_id,
+        CASE WHEN play_id % 13 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ts, CAST(track_id AS VARCHAR) AS track_id,
+        'uri:' || track_id AS track_uri, 'Track ' || track_id AS track_name, 'Someone' AS artist,
+        CASE WHEN play_id % 3 = 2 THEN 1 ELSE skipped END AS skipped,
+        CASE WHEN play_id % 7 <> 0 THEN play_id * 10 END AS ms_played, NULL::VARCHAR AS platform FROM event_plays"""
+    sql["conformed_library"] = f"""{with_(LIBRARY)} SELECT CAST(track_id AS VARCHAR) AS track_id,
+        CASE WHEN track_id % 9 <> 0 THEN round(tempo, 4) END AS tempo, popularity, genres, explicit,
+        CASE WHEN track_id % 4 <> 0 THEN key END AS key FROM library"""
     sql["genre_imputation"] = f"""{with_(LIBRARY, LOOKUPS)} SELECT track_id, artist, track_name, {IMPUTED} AS genres
         FROM library LEFT JOIN lookups USING (artist) JOIN part ON p_partkey = track_id"""
     sql["impute_candidate_tracks"] = f"""{with_(*full)} SELECT 'track:' || track_id AS track_uri, play_id, artist, track_name
@@ -368,9 +416,15 @@ def oracles():
         (SELECT count(*) FROM m WHERE dominant_genre = 'Other') AS default_plays FROM m GROUP BY dominant_genre"""
     sql["wide_artists"] = wide("artist", "clean_orders", 10, orders)
     sql["wide_songs"] = wide("track_name, artist", "clean_orders", 10, orders)
-    sql["wide_genres"] = wide("genre", "(SELECT skipped, unnest(tags) AS genre FROM clean_orders)", 5, orders)
+    sql["wide_genres"] = wide("genre", "(SELECT skipped, unnest(tags) AS genre FROM clean_orders)", 10, orders)
 
     sql["sessions"] = sql["heavy_listener_sessions"] = SESSION_ROWS
+    sql["rough_sessions"] = sql["rough_heavy_sessions"] = f"""{with_(EVENT_PLAYS, ROUGH, rough(20))}
+        SELECT play_id, user_id, session_no, session_plays, round(diff_minutes, 4) AS diff_minutes FROM kept"""
+    sql["rough_windows"] = f"""{with_(EVENT_PLAYS, ROUGH, rough(20))}, w AS (
+        SELECT play_id, user_id, skipped AS target, list(track_id) OVER w AS tracks, count(*) OVER w AS n FROM kept
+        WINDOW w AS (PARTITION BY user_id, session_no ORDER BY ts, play_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
+        SELECT play_id, user_id, target, array_to_string(tracks, '|') AS tracks FROM w WHERE n = 5"""
     sql["session_summary"] = f"""{with_(EVENT_SESSIONS)} SELECT (SELECT count(*) FROM event_plays) AS rows_before, count(*) AS rows_kept,
         count(DISTINCT (user_id, session_no)) AS sessions FROM kept"""
     sql["seq_windows"] = sql["heavy_listener_windows"] = WINDOW_ROWS
@@ -378,6 +432,8 @@ def oracles():
     sql["chronological_split"] = f"""{with_(EVENT_WINDOWS)} SELECT play_id, target,
         CASE WHEN row_number() OVER (ORDER BY ts, play_id) <= floor((SELECT count(*) FROM full_windows) * 0.8) THEN 'train' ELSE 'test' END AS split FROM full_windows"""
     sql["window_explain"] = explain()
+    sql["window_vectors"] = window_vectors(False)
+    sql["window_vectors_with_lyrics"] = window_vectors(True)
 
     sql["artist_keys"] = f"{with_(PAGE_NAMES)} SELECT track_id, {ARTIST_KEY} AS artist_key FROM names"
     sql["title_keys"] = f"""{with_(PAGE_NAMES)} SELECT track_id, {TITLE_KEY} AS title_key,
@@ -433,5 +489,5 @@ def oracles():
     sql["genre_onehot"] = f"""{with_(EVENT_PLAYS, LIBRARY, CLEAN_EVENTS)},
         c AS (SELECT genre, count(*) AS n FROM (SELECT unnest(tags) AS genre FROM clean_events) GROUP BY genre)
         SELECT play_id, 'genre_' || replace(genre, ' ', '_') AS "column", CASE WHEN list_contains(tags, genre) THEN 1 ELSE 0 END AS flag
-        FROM clean_events, (SELECT genre FROM c ORDER BY n DESC, genre LIMIT 6)"""
+        FROM clean_events, (SELECT genre FROM c ORDER BY n DESC, genre LIMIT 20)"""
     return sql

@@ -1,6 +1,6 @@
 """Named queries over the test tables: name → (spark, sf_dir) → DataFrame."""
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tunetrail.functions.genres import consolidate, dominant_genre, parse_list
@@ -10,15 +10,16 @@ from tunetrail.functions.values import bin3, bools_to_int, remap, to_flag, to_nu
 from tunetrail.operators import evaluate, features, lyrics, stats
 from tunetrail.operators.dedupe import duplicate_count, first_per_key
 from tunetrail.operators.impute import impute_candidates, impute_genres
+from tunetrail.operators.models import flatten_windows
 from tunetrail.operators.sessions import sequence_windows, sessionize
 from tunetrail.operators.split import stratified_split, time_split
 from tunetrail.operators.vibe import vibe_top_k, vibe_tracks
 from tunetrail.plans import testviews as views, training
-from tunetrail.plans.clean import finish_clean, unique_library
-from tunetrail.schema import AUDIO_CORE, CORRELATED, FILL_VALUES, MOOD_FEATURES, SCALED_AUDIO
+from tunetrail.plans.clean import build_clean_plays, enrich_plays, unique_library
+from tunetrail.schema import CORRELATED, FILL_VALUES, MOOD_FEATURES, SCALED_AUDIO
 from tunetrail.session import checkpoint
 from tunetrail.sources.pages import extract_page_lyrics
-from tunetrail.sources.readers import enrichment_worklist, stack
+from tunetrail.sources.readers import conform_library, conform_plays, enrichment_worklist, stack
 
 # Gap of the test plays: users are sparse, a 20-minute gap leaves no long sessions.
 GAP = 720
@@ -65,12 +66,12 @@ def hour_extremes(spark, sf):
 
 @query
 def kpi_summary(spark, sf):
-    return stats.kpi_summary(views.order_plays(spark, sf))
+    return stats.kpi_summary(views.line_plays(spark, sf))
 
 
 @query
 def class_distribution(spark, sf):
-    return stats.class_distribution(views.order_plays(spark, sf))
+    return stats.class_distribution(views.line_plays(spark, sf))
 
 
 @query
@@ -127,11 +128,10 @@ def first_plays(spark, sf):
 
 def enriched_plays(spark, sf):
     """History ⟕ deduplicated library files ⟕ lyrics."""
-    library = unique_library(stack(views.library_files(spark, sf))).drop("source_no")
-    return (views.order_plays(spark, sf).withColumns({
+    library = stack(views.library_files(spark, sf)).drop("track_name", "artist")
+    plays = named_plays(spark, sf).withColumns({
         "reason_start": F.when(F.col("skipped") == 1, "clickrow"), "reason_end": F.lit(None).cast("string")})
-        .join(library, "track_id", "left")
-        .join(views.lyrics(spark, sf).select("track_id", "lyrics"), "track_id", "left"))
+    return enrich_plays(plays, library, views.lyric_files(spark, sf))
 
 
 def imputed_plays(spark, sf):
@@ -139,17 +139,33 @@ def imputed_plays(spark, sf):
     return impute_genres(enriched_plays(spark, sf), empties, rules, nulls)
 
 
-CORE = ["track_name", "artist", "genres"] + AUDIO_CORE + ["lyrics"]
-
-
 @query
 def clean_plays(spark, sf):
-    df = finish_clean(imputed_plays(spark, sf), CORE)
+    """The library's own path, over files with repeated and missing lyrics."""
+    empties, rules, nulls = views.genre_lookups(spark, sf)
+    plays = named_plays(spark, sf).withColumns({
+        "reason_start": F.when(F.col("skipped") == 1, "clickrow"), "reason_end": F.lit(None).cast("string")})
+    library = stack(views.library_files(spark, sf)).drop("track_name", "artist")
+    df = build_clean_plays(plays, library, views.lyric_files(spark, sf), empties, rules, nulls)
     return rounded(df, ["tempo", "loudness", "energy"]).select(
         "play_id", "user_id", "track_id", "track_name", "artist", "genres", "explicit", "reason_start", "reason_end",
         "skipped", "popularity", "tempo", "loudness", "energy", F.md5("lyrics").alias("lyrics_md5"))
 
 
+@query
+def conformed_plays(spark, sf):
+    """Text rows under export names through the conforming step of the play reader."""
+    return conform_plays(views.exported_plays(spark, sf)).select(
+        "play_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "track_id", "track_uri", "track_name",
+        "artist", "skipped", "ms_played", "platform")
+
+
+@query
+def conformed_library(spark, sf):
+    return conform_library(views.exported_library(spark, sf)).select(
+        "track_id", F.round("tempo", 4).alias("tempo"), "popularity", "genres", "explicit", "key")
+
+
 @query
 def genre_imputation(spark, sf):
     empties, rules, nulls = views.genre_lookups(spark, sf)
@@ -159,8 +175,7 @@ def genre_imputation(spark, sf):
 
 @query
 def impute_candidate_tracks(spark, sf):
-    gaps = enriched_plays(spark, sf).withColumn("track_uri", F.concat(F.lit("track:"), F.col("track_id").cast("string")))
-    return impute_candidates(gaps).select("track_uri", "play_id", "artist", "track_name")
+    return impute_candidates(enriched_plays(spark, sf)).select("track_uri", "play_id", "artist", "track_name")
 
 
 @query
@@ -198,18 +213,18 @@ def genre_parse(spark, sf):
 
 @query
 def genre_top20(spark, sf):
-    return stats.top_genres(views.clean_order_plays(spark, sf))
+    return stats.top_genres(views.counted_tracks(spark, sf), times="plays")
 
 
 @query
 def genre_onehot(spark, sf):
-    flagged, names = features.genre_onehot(views.clean_event_plays(spark, sf), 6)
+    flagged, names = features.genre_onehot(views.clean_event_plays(spark, sf))
     return flagged.select("play_id", *names).unpivot("play_id", names, "column", "flag")
 
 
 @query
 def genre_share_top10(spark, sf):
-    return stats.genre_share(views.clean_order_plays(spark, sf))
+    return stats.genre_share(views.counted_tracks(spark, sf), times="plays")
 
 
 def with_dominant(spark, sf):
@@ -231,32 +246,45 @@ def dominant_genre_report(spark, sf):
 
 @query
 def wide_artists(spark, sf):
-    return stats.wide_stats(views.clean_order_plays(spark, sf), "artist")
+    return stats.wide_stats(views.counted_tracks(spark, sf), "artist", times="plays")
 
 
 @query
 def wide_songs(spark, sf):
-    return stats.wide_stats(views.clean_order_plays(spark, sf), ["track_name", "artist"])
+    return stats.wide_stats(views.counted_tracks(spark, sf), ["track_name", "artist"], times="plays")
 
 
 @query
 def wide_genres(spark, sf):
-    return stats.wide_stats(stats.exploded_genres(views.clean_order_plays(spark, sf)), "genre", 5)
+    return stats.wide_stats(stats.exploded_genres(views.counted_tracks(spark, sf)), "genre", times="plays")
 
 
 # ---- sessions ------------------------------------------------------------------------
 
+def session_rows(found):
+    return found.select("play_id", "user_id", "session_no", "session_plays", F.round("diff_minutes", 4).alias("diff_minutes"))
+
+
 @query
 def sessions(spark, sf):
-    return sessionize(views.event_plays(spark, sf), GAP).select(
-        "play_id", "user_id", "session_no", "session_plays", F.round("diff_minutes", 4).alias("diff_minutes"))
+    return session_rows(sessionize(views.event_plays(spark, sf), GAP))
 
 
 @query
 def heavy_listener_sessions(spark, sf):
     """The same sessions through the bucketed path of heavy listeners."""
-    return sessionize(views.event_plays(spark, sf), GAP, hot_rows=10, bucket_minutes=1440).select(
-        "play_id", "user_id", "session_no", "session_plays", F.round("diff_minutes", 4).alias("diff_minutes"))
+    return session_rows(sessionize(views.event_plays(spark, sf), GAP, hot_rows=10))
+
+
+@query
+def rough_sessions(spark, sf):
+    """Plays without a time or a listener, and one busy hour."""
+    return session_rows(sessionize(views.rough_event_plays(spark, sf), 20))
+
+
+@query
+def rough_heavy_sessions(spark, sf):
+    return session_rows(sessionize(views.rough_event_plays(spark, sf), 20, hot_rows=100))
 
 
 @query
@@ -285,11 +313,17 @@ def seq_windows(spark, sf):
 
 @query
 def heavy_listener_windows(spark, sf):
-    return event_windows(spark, sf, hot_rows=10, bucket_minutes=1440).select(
+    return event_windows(spark, sf, hot_rows=10).select(
         "play_id", "user_id", "target", joined_steps("energy", 4).alias("energy"),
         joined_steps("popularity").alias("popularity"))
 
 
+@query
+def rough_windows(spark, sf):
+    found = sessionize(views.rough_event_plays(spark, sf), 20, hot_rows=100)
+    return sequence_windows(found, ["track_id"]).select("play_id", "user_id", "target", joined_steps("track_id").alias("tracks"))
+
+
 @query
 def seq_genres(spark, sf):
     return event_windows(spark, sf).select("play_id", joined_steps("primary_genre").alias("genres"))
@@ -351,52 +385,53 @@ def page_lyrics(spark, sf):
 
 def stop_words(spark):
     words = lyrics.language_stop_words("english") + lyrics.language_stop_words("spanish")
-    return lyrics.analysed_words(spark, list(words) + lyrics.EXTRA_STOP_WORDS)
+    return lyrics.analysed_words(spark, list(words) + views.EXTRA_STOP_WORDS)
 
 
-def lyric_tokens(spark, sf):
-    return lyrics.drop_stop_words(lyrics.tokenize(views.lyrics(spark, sf)), stop_words(spark))
+def lyric_terms(spark, sf):
+    return lyrics.counted_lyrics(views.lyrics(spark, sf), "track_id", stop_words=stop_words(spark))
 
 
 @query
 def tokens_clean(spark, sf):
-    return lyric_tokens(spark, sf).select(
-        "track_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+    tokens = lyrics.drop_stop_words(lyrics.tokenize(views.lyrics(spark, sf)), stop_words(spark))
+    return tokens.select("track_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
 @query
 def vocab_top100(spark, sf):
-    return lyrics.vocabulary(lyric_tokens(spark, sf)).select("token", "position", "df", "total")
+    return lyrics.vocabulary(lyric_terms(spark, sf)).select("token", "position", "df", "total")
 
 
 @query
 def played_vocab_top100(spark, sf):
     """Vocabulary over plays: a track's lyrics count once per play, but are tokenised once."""
     plays = views.order_plays(spark, sf).groupBy("track_id").agg(F.count(F.lit(1)).alias("plays"))
-    docs = lyric_tokens(spark, sf).join(plays, "track_id")
+    docs = lyric_terms(spark, sf).join(plays, "track_id")
     return lyrics.vocabulary(docs, weight="plays").select("token", "position", "df", "total")
 
 
 @query
 def lyrics_tfidf(spark, sf):
-    docs = lyric_tokens(spark, sf)
+    docs = lyric_terms(spark, sf)
     return rounded(lyrics.tfidf(docs, lyrics.vocabulary(docs), "track_id"), ["weight"])
 
 
 @query
 def token_weight_top50(spark, sf):
-    docs = lyric_tokens(spark, sf)
+    docs = lyric_terms(spark, sf)
     return rounded(lyrics.token_totals(lyrics.tfidf(docs, lyrics.vocabulary(docs), "track_id")), ["weight"], 4)
 
 
 @query
 def tfidf_vectors(spark, sf):
     """The Spark ML form of the weights, read back as rows."""
-    docs = lyric_tokens(spark, sf)
+    docs = lyric_terms(spark, sf)
     stages, names = lyrics.tfidf_model(lyrics.vocabulary(docs))
     words = F.array(*[F.lit(n) for n in names])
     cells = F.transform(vector_to_array("lyric_features"), lambda v, i: F.struct(F.get(words, i).alias("token"), v.alias("weight")))
-    return rounded(lyrics.unfold(stages.transform(docs).withColumn("cells", F.filter(cells, lambda c: c["weight"] != 0)),
+    vectors = stages.transform(docs.select("track_id", lyrics.tokens_of().alias("tokens")))
+    return rounded(lyrics.unfold(vectors.withColumn("cells", F.filter(cells, lambda c: c["weight"] != 0)),
                                  "cells", "track_id"), ["weight"])
 
 
@@ -460,7 +495,7 @@ def strat_split(spark, sf):
 
 @query
 def class_weights(spark, sf):
-    plays = views.order_plays(spark, sf)
+    plays = views.line_plays(spark, sf)
     balanced = features.class_weights(plays).withColumnRenamed("weight", "balanced")
     positive = features.class_weights(plays, mode="positive").withColumnRenamed("weight", "positive")
     return rounded(balanced.join(positive, "skipped"), ["balanced", "positive"])
@@ -468,7 +503,7 @@ def class_weights(spark, sf):
 
 @query
 def class_ratio(spark, sf):
-    return rounded(features.class_ratio(views.order_plays(spark, sf)), ["ratio"])
+    return rounded(features.class_ratio(views.line_plays(spark, sf)), ["ratio"])
 
 
 def rule_scored(spark, sf):
@@ -498,11 +533,11 @@ def scoreboard(spark, sf):
 
 # ---- models (rows only: fitted parameters are not expressible in SQL) ----------------
 
-def prepared(spark, sf):
+def prepared(spark, sf, with_lyrics=True):
     """Plays of the tracks that have lyrics, as model inputs."""
     texts = views.lyrics(spark, sf)
     plays = views.clean_order_plays(spark, sf).join(texts.select("track_id"), "track_id", "left_semi")
-    return training.prepare_snapshot(plays, texts, stop_words(spark))
+    return training.prepare_snapshot(plays, texts if with_lyrics else None, stop_words(spark) if with_lyrics else ())
 
 
 SMALL_MODELS = {
@@ -526,7 +561,7 @@ def model_coefficients(spark, sf):
 
 @query
 def model_importances(spark, sf):
-    train, _, names = prepared(spark, sf)
+    train, _, names = prepared(spark, sf, with_lyrics=False)
     model, _, vector = training.fit_snapshot_models(train, {"m": SMALL_MODELS["boosted trees"]})["m"]
     return evaluate.importance_table(spark, model, names[vector], 15)
 
@@ -544,6 +579,32 @@ def wordcloud(spark, sf):
                               stop_words=stop_words(spark), grid={"l1_ratio": [0.5], "C": [1.0]})
 
 
+def track_vectors(spark, sf):
+    """Three simple lyric numbers per track, in place of fitted token weights."""
+    texts = views.lyrics(spark, sf)
+    n = F.length("lyrics")
+    return texts.select("track_id", array_to_vector(F.array(
+        (n % 7).cast("double"), (n % 11).cast("double"), (n % 13).cast("double"))).alias("lyric_features"))
+
+
+def vector_text(windows, names):
+    """A flattened window as text: three decimals of every number."""
+    vectors = flatten_windows(windows, names).withColumn("values", vector_to_array("features"))
+    shown = F.transform("values", lambda v: (F.round(v, 3) + 0.0).cast("decimal(12,3)").cast("string"))
+    return vectors.select("play_id", "target", F.size("values").alias("n_values"), F.md5(F.array_join(shown, "|")).alias("vector_md5"))
+
+
+@query
+def window_vectors(spark, sf):
+    """Every numeric column of the last five plays, flattened."""
+    return vector_text(*training.sequence_table(views.clean_event_plays(spark, sf), GAP))
+
+
+@query
+def window_vectors_with_lyrics(spark, sf):
+    return vector_text(*training.sequence_table(views.clean_event_plays(spark, sf), GAP, lyric_vectors=track_vectors(spark, sf)))
+
+
 @query
 def sequence_confident_skips(spark, sf):
     plays = views.clean_event_plays(spark, sf)

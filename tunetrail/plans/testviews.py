@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from tunetrail.functions.genres import parse_list
 from tunetrail.functions.time import with_time_features
+from tunetrail.operators.stats import track_counts
+
+# Extra stop words of the test corpus.
+EXTRA_STOP_WORDS = ["die", "der", "und", "les", "des", "une", "Été"]
 
 
 def table(spark, sf_dir, name):
@@ -32,6 +36,22 @@ def order_plays(spark, sf_dir):
         (F.col("l_returnflag") == "R").cast("int").alias("skipped"))
 
 
+def line_plays(spark, sf_dir):
+    """The same plays without their listener, and so without a join."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("track_id"), (F.col("l_returnflag") == "R").cast("int").alias("skipped"))
+
+
+def rough_event_plays(spark, sf_dir):
+    """Timed plays with gaps: some without a time, some without a listener, a fifth in one listener's busy hour."""
+    plays = event_plays(spark, sf_dir)
+    i = F.col("play_id")
+    busy = F.timestamp_add("SECOND", (i * 7919) % 3600, F.lit("2024-01-10 10:00:00").cast("timestamp_ntz"))
+    return plays.withColumns({
+        "user_id": F.when(i % 5 == 0, F.lit(1)).when(i % 11 == 0, F.lit(None)).otherwise(F.col("user_id")),
+        "ts": F.when(i % 37 == 0, F.lit(None)).when(i % 5 == 0, busy).otherwise(F.col("ts"))})
+
+
 def genre_text():
     k, kind, words = F.col("p_partkey") % 10, F.lower("p_type"), F.split("p_name", " ")
     return (F.when(k == 0, "[]").when(k == 1, None).when(k == 2, kind)
@@ -73,6 +93,40 @@ def lyrics(spark, sf_dir):
         F.col("doc_id").alias("track_id"), F.col("text").alias("lyrics"), "lang")
 
 
+def lyric_files(spark, sf_dir):
+    """Lyrics of two files: every third track has a row without a text first, every fourth a later text too."""
+    texts = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("track:"), F.col("doc_id").cast("string")).alias("track_uri"), F.col("text").alias("lyrics"),
+        F.lit(0).alias("source_no"))
+    gaps = texts.where("doc_id % 3 = 0").withColumn("lyrics", F.lit(None).cast("string"))
+    later = texts.where("doc_id % 4 = 0").withColumns({"lyrics": F.lit("!"), "source_no": F.lit(1)})
+    return gaps.unionByName(texts).unionByName(later).drop("doc_id")
+
+
+def exported_plays(spark, sf_dir):
+    """Timed plays as an export file holds them: text under vendor names, some values unreadable."""
+    i = F.col("play_id")
+    text = lambda c: c.cast("string")
+    return event_plays(spark, sf_dir).select(
+        text(i).alias("play_id"), F.when(i % 11 != 0, text(F.col("user_id"))).alias("user_id"),
+        F.when(i % 13 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("ts"),
+        text(F.col("track_id")).alias("track_id"), F.concat(F.lit("uri:"), text(F.col("track_id"))).alias("vendor_track_uri"),
+        F.concat(F.lit("Track "), text(F.col("track_id"))).alias("master_metadata_track_name"),
+        F.lit("Someone").alias("master_metadata_album_artist_name"),
+        F.when(i % 3 == 0, F.when(F.col("skipped") == 1, "True").otherwise(" FALSE "))
+        .when(i % 3 == 1, text(F.col("skipped"))).otherwise("1.0").alias("skipped"),
+        F.when(i % 7 == 0, "long").otherwise(text(i * 10)).alias("ms_played"), F.lit("x").alias("unused"))
+
+
+def exported_library(spark, sf_dir):
+    """The library as text, some values unreadable."""
+    i = F.col("track_id")
+    return audio_library(spark, sf_dir).select(
+        i.cast("string").alias("track_id"), F.when(i % 9 == 0, "fast").otherwise(F.col("tempo").cast("string")).alias("tempo"),
+        F.concat(F.col("popularity").cast("string"), F.lit(".0")).alias("popularity"), "genres", "explicit",
+        F.when(i % 4 == 0, "").otherwise(F.col("key").cast("string")).alias(" key "), F.lit("x").alias("unused"))
+
+
 def genre_lookups(spark, sf_dir):
     """Artist and track lookup tables, and title rules, derived from the parts."""
     parts = table(spark, sf_dir, "part")
@@ -101,5 +155,10 @@ def clean_event_plays(spark, sf_dir):
     return with_time_features(event_plays(spark, sf_dir).join(tagged_library(spark, sf_dir), "track_id"))
 
 
+def counted_tracks(spark, sf_dir):
+    """Plays per track and class with the track's features: counted before the join."""
+    return track_counts(line_plays(spark, sf_dir)).join(tagged_library(spark, sf_dir), "track_id")
+
+
 def clean_order_plays(spark, sf_dir):
     return with_time_features(order_plays(spark, sf_dir).join(tagged_library(spark, sf_dir), "track_id"))

@@ -1,18 +1,20 @@
 """Train and compare the skip classifiers."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tunetrail.functions.genres import dominant_genre
+from tunetrail.functions.values import bools_to_int, numeric_columns, to_flag
 from tunetrail.operators.evaluate import classification_metrics, compare_models, wordcloud_table
-from tunetrail.operators.features import with_class_weight, zscore_apply, zscore_fit
-from tunetrail.operators.lyrics import drop_stop_words, tfidf_model, tokenize, vocabulary
+from tunetrail.operators.features import genre_onehot, tod_dummies, with_class_weight, zscore_apply, zscore_fit
+from tunetrail.operators.lyrics import counted_lyrics, tfidf_model, tokens_of, vocabulary
 from tunetrail.operators.models import fit_boosted, fit_elastic_net, fit_sequence, fit_tree, flatten_windows
 from tunetrail.operators.sessions import sequence_windows, sessionize
 from tunetrail.operators.split import stratified_split, time_split
 from tunetrail.operators.stats import top_genres
 from tunetrail.plans.features import snapshot_features, tree_features
 from tunetrail.schema import (GRID_BOOSTED_AUDIO, GRID_BOOSTED_LYRICS, GRID_ELASTIC_AUDIO, GRID_ELASTIC_LYRICS,
-                              GRID_ELASTIC_WORDS, SCALED_AUDIO)
+                              GRID_ELASTIC_WORDS)
 from tunetrail.session import checkpoint
 
 # The four snapshot models: name → (vector column, kind, grid, folds, metric, sampled grid points).
@@ -24,11 +26,15 @@ SNAPSHOT_MODELS = {
 }
 
 
-def prepare_snapshot(plays, lyrics, stop_words=(), fit_on="train", seed=42, **limits):
-    """Split, features and class weights, stored once for all model fits."""
-    split = stratified_split(plays, seed=seed)
+def prepare_snapshot(plays, lyrics=None, stop_words=(), fit_on="train", seed=42, **limits):
+    """Split, features and class weights for all model fits.
+
+    The plays are stored once and the split, scaling, genres and vocabulary are fitted from that;
+    the vectors are stored once more. Without `lyrics` only the audio vectors are made.
+    """
+    split = stratified_split(checkpoint(plays), seed=seed)
     vectors, names = snapshot_features(split, lyrics, "split", stop_words, fit_on, **limits)
-    stored = checkpoint(vectors.select("play_id", "skipped", "split", "with_lyrics", "audio_only"))
+    stored = checkpoint(vectors.select("play_id", "skipped", "split", *names))
     train = stored.where("split = 'train'")
     train = with_class_weight(with_class_weight(train, mode="balanced", out="balanced"), mode="positive", out="positive")
     return train, stored.where("split = 'test'"), names
@@ -51,20 +57,37 @@ def score_models(fitted, test):
     return {name: classification_metrics(model.transform(test)) for name, (model, _, _) in fitted.items()}
 
 
-def sequence_table(plays, gap_minutes=20, min_plays=3, n_steps=5, n_genres=20, extra=(), **segments):
-    """Play windows with scaled audio, time parts and the primary genre of each step."""
-    scaled = zscore_apply(plays, zscore_fit(plays))
-    names = [r.genre for r in top_genres(plays, n_genres).collect()]
-    tagged = scaled.withColumn("primary_genre", dominant_genre(F.col("genres_list"), names))
-    features = SCALED_AUDIO + ["hour", "day_of_week", "month", "is_weekend"] + list(extra)
+# Numeric columns that say which play it is, not what it is like.
+NOT_FEATURES = ("play_id", "user_id", "track_id", "skipped", "ms_played", "source_no", "session_no", "session_plays")
+
+
+def sequence_table(plays, gap_minutes=20, min_plays=3, n_steps=5, n_genres=20, lyric_vectors=None, exclude=NOT_FEATURES,
+                   key="track_id", **segments):
+    """Play windows over every numeric column but those excluded, and the names of the features.
+
+    Audio columns are scaled; `explicit` becomes a flag; parts of the day and the most used genres
+    are flags too. With `lyric_vectors` (key, lyric_features), one row per track, the steps also
+    hold the vector of their track as an array; plays of other tracks are left out.
+    """
+    flagged, genre_names = genre_onehot(tod_dummies(zscore_apply(plays, zscore_fit(plays))), n_genres)
+    names = [g.genre for g in top_genres(plays, n_genres).collect()]
+    flags = {"explicit": to_flag(F.col("explicit"))} if "explicit" in plays.columns else {}
+    tagged = bools_to_int(flagged.withColumns(flags | {"primary_genre": dominant_genre(F.col("genres_list"), names)}))
+    features = numeric_columns(tagged, exclude)
+    extra = []
+    if lyric_vectors is not None:
+        vectors = lyric_vectors.select(key, vector_to_array("lyric_features").alias("lyric_features"))
+        tagged, extra = tagged.join(vectors, key), ["lyric_features"]
     sessions = sessionize(tagged, gap_minutes, min_plays, **segments)
-    return sequence_windows(sessions, features + ["primary_genre"], n_steps=n_steps), features
+    return sequence_windows(sessions, features + extra + ["primary_genre"], n_steps=n_steps), features + extra
 
 
 def fit_sequence_model(windows, features, n_steps=5, fraction=0.8, seed=42, hidden=(64,), max_iter=50):
     """Chronological split, network fit; returns (model, scored test windows)."""
     vectors = time_split(checkpoint(flatten_windows(windows, features)), fraction)
-    model = fit_sequence(vectors.where("split = 'train'"), n_steps * len(features), hidden, seed, max_iter=max_iter)
+    width = vectors.select(F.size(vector_to_array("features"))).head()
+    model = fit_sequence(vectors.where("split = 'train'"), width[0] if width else n_steps * len(features), hidden, seed,
+                         max_iter=max_iter)
     return model, model.transform(vectors.where("split = 'test'"))
 
 
@@ -78,9 +101,10 @@ def compare(fitted, test, sequence_scored=None):
 
 def fit_word_model(texts, label="skipped", key="play_id", stop_words=(), grid=None, folds=5, seed=42, strip_escapes=True, **limits):
     """Lyrics-only elastic net; returns (model, words)."""
-    tokens = drop_stop_words(tokenize(texts, strip_escapes=strip_escapes), stop_words)
-    stages, words = tfidf_model(vocabulary(tokens, **limits), output="features")
-    split = stratified_split(stages.transform(tokens).select(key, label, "features"), label, key, seed=seed)
+    terms = counted_lyrics(texts, key, stop_words=stop_words, strip_escapes=strip_escapes, keep=[label])
+    stages, words = tfidf_model(vocabulary(terms, **limits), output="features")
+    vectors = stages.transform(terms.withColumn("tokens", tokens_of())).select(key, label, "features")
+    split = stratified_split(vectors, label, key, seed=seed)
     train = checkpoint(with_class_weight(split.where("split = 'train'"), label))
     model, _ = fit_elastic_net(train, grid or GRID_ELASTIC_WORDS, folds, "accuracy", seed, label, key=key)
     return model, words

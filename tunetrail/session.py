@@ -1,7 +1,5 @@
 """Session settings and the one place that knows about checkpoints."""
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,14 +27,13 @@ def build_session(app="tunetrail", master=None, **conf):
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir."""
+    """Cut lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
+
+    Where that is unset, a folder in the warehouse is set, which driver and executors share.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tunetrail-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
         context.setCheckpointDir(folder)
     return df.checkpoint()

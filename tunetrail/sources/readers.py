@@ -1,12 +1,16 @@
-"""Readers for play history, audio library and lyrics files."""
+"""Readers for play history, audio library and lyrics files.
+
+Paths may be files, folders or patterns. Files of one pattern may have different headers: those
+with the same header are read together, and every column is matched by name.
+"""
 
 from functools import reduce
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from tunetrail.schema import LIBRARY, LYRICS, PLAYS
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
+CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"'}
 
 
 def canonical_name(name):
@@ -28,13 +32,54 @@ def _paths(paths):
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def _scan(spark, path, fmt, **options):
-    reader = spark.read.format(fmt)
-    return (reader.options(**CSV_OPTIONS, **options) if fmt == "csv" else reader).load(path)
+def _files(spark, paths):
+    """(path, encoded address) of the data files behind paths, folders and patterns, in the order given, then by name."""
+    java, found = spark._jvm.org.apache.hadoop.fs, []
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for path in _paths(paths):
+        pattern = java.Path(path)
+        files = pattern.getFileSystem(conf)
+        hits = files.globStatus(pattern)
+        if not hits:
+            raise FileNotFoundError(path)
+        for hit in hits:
+            inside = files.listStatus(hit.getPath()) if hit.isDirectory() else [hit]
+            found += sorted((f.getPath().toString(), f.getPath().toUri().toString()) for f in inside
+                            if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+    return found
+
+
+def _header(spark, file):
+    """First line of a text file, compressed or not."""
+    java = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    path = java.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = java.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        source = codec.createInputStream(stream) if codec else stream
+        return java.java.io.BufferedReader(java.java.io.InputStreamReader(source, "UTF-8")).readLine() or ""
+    finally:
+        stream.close()
+
+
+def _scan(spark, paths, fmt, **options):
+    """One table per header, with `source_no`: the position of the row's file among all files."""
+    files = _files(spark, paths)
+    groups = {}
+    for file, _ in files:
+        groups.setdefault(_header(spark, file) if fmt == "csv" else "", []).append(file)
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    numbers = spark.createDataFrame([(address, n) for n, (_, address) in enumerate(files)], "_file string, source_no int").select(
+        plain(F.col("_file")).alias("_file"), "source_no")
+    for group in groups.values():
+        reader = spark.read.format(fmt).options(**(CSV_OPTIONS | options if fmt == "csv" else {"mergeSchema": True}))
+        rows = reader.load(group)
+        yield rows.withColumn("_file", plain(F.col("_metadata.file_path"))).join(numbers, "_file").drop("_file")
 
 
 def _conform(df, schema, rename=None):
-    """Keep the declared columns that exist, under their own names, leniently cast."""
+    """Keep the declared columns that exist, under their own names, leniently cast, and `source_no`."""
     rename = rename or {}
     present = {rename.get(c, canonical_name(c)): c for c in df.columns}
     picked = []
@@ -52,51 +97,62 @@ def _conform(df, schema, rename=None):
         else:
             c = c.try_cast(field.dataType)
         picked.append(c.alias(field.name))
-    return df.select(*picked)
+    return df.select(*picked, *(["source_no"] if "source_no" in df.columns else []))
 
 
 def _is_text(df, name):
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
-def read_plays(spark, path, fmt="csv", rename=None):
-    """Listening history. Extra columns are dropped, missing ones are NULL, except these four."""
-    raw = _scan(spark, path, fmt)
+def conform_plays(raw, rename=None):
+    """Play rows under the names and types used here. Extra columns are dropped, missing ones are
+    NULL, except the four that every play needs. Without a play id, one is made of the row's
+    content, and repeats of a row are numbered.
+    """
     plays = _conform(raw, PLAYS, rename)
     lost = {"ts", "skipped", "track_name", "artist"} - set(plays.columns)
     if lost:
         raise ValueError(f"play history lacks {sorted(lost)}")
+    own_id = "play_id" in plays.columns
     missing = [f for f in PLAYS if f.name not in plays.columns]
     plays = plays.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
-    natural = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
-                                 ["user_id", "ts", "track_uri", "track_id", "track_name", "artist", "ms_played"]])
-    return (plays.withColumn("play_id", F.coalesce("play_id", F.sha2(natural, 256)))
+    natural = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+                                        ["user_id", "ts", "track_uri", "track_id", "track_name", "artist", "ms_played"]]), 256)
+    if not own_id:
+        repeat = F.row_number().over(Window.partitionBy("_natural").orderBy("_natural"))
+        plays = plays.withColumn("_natural", natural).withColumn("_repeat", repeat).withColumn(
+            "play_id", F.concat("_natural", F.when(F.col("_repeat") > 1, F.concat(F.lit("-"), F.col("_repeat").cast("string")))
+                                .otherwise("")))
+    return (plays.withColumn("play_id", F.coalesce("play_id", natural))
             .withColumn("user_id", F.coalesce("user_id", F.lit("")))
             .select(*[f.name for f in PLAYS]))
 
 
+def conform_library(raw, rename=None):
+    """Audio-feature rows under the names and types used here; without `track_id` an error."""
+    library = _conform(raw, LIBRARY, rename)
+    if "track_id" not in library.columns:
+        raise ValueError("an audio library file has no track_id")
+    return library
+
+
+def read_plays(spark, path, fmt="csv", rename=None):
+    """Listening history, see `conform_plays`."""
+    return conform_plays(stack([rows.drop("source_no") for rows in _scan(spark, path, fmt)]), rename)
+
+
 def read_library(spark, paths, fmt="csv", rename=None):
     """Stack audio-feature files that each hold some of the target columns.
 
-    `source_no` is the position of the file in `paths`: files given first win when
+    `source_no` is the position of the file among all files: those given first win when
     duplicates are dropped. A file without `track_id` is an error.
     """
-    parts = []
-    for number, path in enumerate(_paths(paths)):
-        part = _conform(_scan(spark, path, fmt), LIBRARY, rename)
-        if "track_id" not in part.columns:
-            raise ValueError(f"{path} has no track_id")
-        parts.append(part.withColumn("source_no", F.lit(number)))
-    return stack(parts)
+    return stack([conform_library(rows, rename) for rows in _scan(spark, paths, fmt)])
 
 
 def read_lyrics(spark, paths, fmt="csv", rename=None):
     """Stack lyrics files; texts may span lines."""
-    parts = []
-    for number, path in enumerate(_paths(paths)):
-        part = _conform(_scan(spark, path, fmt), LYRICS, rename)
-        parts.append(part.withColumn("source_no", F.lit(number)))
-    return stack(parts)
+    return stack([_conform(rows, LYRICS, rename) for rows in _scan(spark, paths, fmt, multiLine=True)])
 
 
 def stack(parts):
