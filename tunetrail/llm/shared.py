@@ -219,3 +219,22 @@ def owned(owner: np.ndarray, *columns: np.ndarray):
     starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
     for a, b in zip(starts, np.append(starts[1:], len(owner)) if len(owner) else []):
         yield int(owner[a]), [c[order[a:b]] for c in columns]
+
+
+def other_columns(df: DataFrame, *added: str) -> list[str]:
+    """Names of the columns that keep their place beside the added ones; names go without case."""
+    low = {a.lower() for a in added}
+    return [c for c in df.columns if c.lower() not in low]
+
+
+def quoted(names: list[str]) -> list:
+    """Columns by their exact names, dots included."""
+    return [F.col(f"`{n}`") for n in names]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it where the table has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

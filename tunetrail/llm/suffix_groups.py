@@ -6,10 +6,10 @@ order is emitted from left to right along the same pointers.
 
 `drop_substrings` finds repeated strings of a fixed length in a corpus. The smallest gram of each
 window anchors it; windows that share an anchor gram meet in one bucket as context strings, and one
-suffix array over all contexts of a bucket tells which windows recur. Its alphabet is content-cut
-tokens, so it is several times shorter than the text; where a context has no cut within a window the
-alphabet is bytes. Grams with very many occurrences skip the contexts: their windows are counted
-by a 96-bit hash, so that no task gets all documents that share a passage.
+suffix array over contexts of a bucket tells which windows recur. Its alphabet is content-cut
+tokens, so the array is many times shorter than the text; where a context lacks cuts the alphabet
+gets finer, down to bytes. Grams with very many occurrences skip the contexts: their windows are
+counted by a 96-bit hash, so that no task gets all documents that share a passage.
 """
 
 import hashlib
@@ -25,11 +25,11 @@ from tunetrail.llm.shared import (SPACE, binary_values, bucket_cuts, found, from
 #: Bytes of a repeated string, of an anchor gram.
 LENGTH, GRAM = 400, 48
 #: Occurrences from which a gram's windows are counted by hash.
-FREQUENT = 4096
+FREQUENT = 2048
 #: Bytes of contexts in one suffix array.
 ARRAY_BYTES = 1 << 20
-#: A cut follows a space byte with no space byte among this many before it.
-CALM = 7
+#: A cut follows a space byte with no other among so many bytes before it; -1: every byte is cut off.
+CALM = (11, 5, 0, -1)
 SPAN = "array<struct<start: long, end: long>>"
 
 
@@ -147,7 +147,8 @@ class Anchors:
         lo = np.maximum(lo, self.offsets[doc])
         hi = np.minimum(hi, self.offsets[doc + 1] - 1 - length) if len(x) else hi
         good = lo <= hi
-        self.x, self.lo, self.hi, self.doc, self.code = x[good], lo[good], hi[good], doc[good], code[good].astype(np.uint64)
+        self.x, self.lo, self.hi, self.doc = x[good], lo[good], hi[good], doc[good]
+        self.code = mix(code[good].astype(np.uint64), 21)  # minima are small: spread them over the buckets again
 
     def context(self, k: int) -> bytes:
         return self.data[self.lo[k]:self.hi[k] + self.length].tobytes()
@@ -171,8 +172,9 @@ class Anchors:
 
 GRAMS = "bucket int, part int, codes binary, counts binary"
 HITS = "part int, rare binary, frequent binary"
-CONTEXTS = "bucket int, part int, code long, digest binary, several boolean, context binary, codes binary, checks binary"
-ANSWER = "part int, digest binary, spans binary, codes binary, checks binary"
+CONTEXTS = ("bucket int, part int, code long, digest binary, several boolean, context binary, codes binary, checks binary,"
+            " grams binary")
+ANSWER = "part int, digest binary, spans binary, codes binary, checks binary, grams binary"
 
 
 ARROW = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
@@ -245,8 +247,10 @@ def _contexts(length, gram, buckets, shape):
             seen[code, digest] = row = {"bucket": (code * buckets) >> 64, "part": part, "digest": digest, "several": False,
                                         "code": code - (1 << 64) if code >> 63 else code, "context": context}
             rows.append(row)
-        chosen = np.flatnonzero(found(anchors.code, _hits(hits, "frequent"))[0])
+        frequent = _hits(hits, "frequent")
+        chosen = np.flatnonzero(found(anchors.code, frequent)[0])
         if len(chosen):
+            rows.append({"bucket": part % buckets, "part": part, "grams": frequent.tobytes()})
             _, code, check = anchors.windows(chosen)
             order = np.lexsort((check, code))
             code, check = code[order], check[order]
@@ -264,25 +268,39 @@ def _contexts(length, gram, buckets, shape):
     return run
 
 
-def cuts_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places after a space byte that has no other within CALM bytes before it, all inside its context."""
+def cuts_of(data: np.ndarray, offsets: np.ndarray, calm: int) -> np.ndarray:
+    """Cuts inside each context that its own bytes decide: `calm` + 1 bytes before a cut tell."""
+    if calm < 0:
+        inside = np.ones(len(data), bool)
+        inside[offsets[1:] - 1] = False
+        return np.flatnonzero(inside)
     space = np.concatenate([[0], np.cumsum(SPACE[data])])
     at = np.flatnonzero(SPACE[data]) + 1
-    first = offsets[np.searchsorted(offsets, at - 1, "right") - 1]
-    at = at[at - 1 - CALM >= first]
-    calm = space[at - 1] == space[at - 1 - CALM]
-    ends = set(offsets[1:].tolist())
-    return np.array([i for i in at[calm].tolist() if i not in ends], np.int64)
-
-
-def repeated_windows(contexts: list[bytes], length: int, by_bytes: bool) -> list[np.ndarray]:
+    owner = np.searchsorted(offsets, at - 1, "right") - 1
+    good = (at - 1 - calm >= offsets[owner]) & (at < offsets[owner + 1] - 1)
+    at = at[good]
+    return at[space[at - 1] == space[at - 1 - calm]]
+
+
+def well_cut(data: np.ndarray, offsets: np.ndarray, length: int, calm: int) -> np.ndarray:
+    """For each context, whether every window of it has a cut that the window's own bytes decide."""
+    if calm < 0:
+        return np.ones(len(offsets) - 1, bool)
+    cut = cuts_of(data, offsets, calm)
+    marks = np.sort(np.concatenate([cut, offsets[:-1] + calm, offsets[1:] + 1 + calm]))
+    gap = np.diff(marks)
+    owner = np.searchsorted(offsets, marks[:-1] - calm, "right") - 1
+    widest = np.zeros(len(offsets) - 1, np.int64)
+    inside = marks[1:] <= offsets[np.minimum(owner + 1, len(offsets) - 1)] + 1 + calm
+    np.maximum.at(widest, owner[inside], gap[inside])
+    return widest <= length - calm - 2
+
+
+def repeated_windows(contexts: list[bytes], length: int, calm: int) -> list[np.ndarray]:
     """For each context a mask of its windows that occur in another one, from one suffix array."""
     data, offsets = joined(contexts)
     ends = offsets[1:] - 1
-    if by_bytes:
-        cut, calm = np.flatnonzero(~np.isin(np.arange(len(data)), ends)), 0
-    else:
-        cut, calm = cuts_of(data, offsets), CALM + 1
+    cut, calm = cuts_of(data, offsets, calm), calm + 1
     owner = np.searchsorted(offsets, cut, "right") - 1
     stop = np.minimum(np.append(cut[1:], len(data)), ends[owner])
     raw = data.tobytes()
@@ -333,12 +351,17 @@ def repeated_windows(contexts: list[bytes], length: int, by_bytes: bool) -> list
     return [repeated[a:b] for a, b in zip(first[:-1], first[1:])]
 
 
-def has_cuts(context: bytes, length: int) -> bool:
-    """Whether every window of the context has a cut that its own bytes decide."""
-    data = np.frombuffer(context, np.uint8)
-    cut = cuts_of(np.append(data, np.uint8(10)), np.array([0, len(data) + 1]))
-    reach = np.concatenate([[CALM], cut, [len(data) + 1]])
-    return bool(np.diff(reach).max() <= length - CALM - 2) if len(cut) else False
+def _batches(groups, size):
+    """Entries of whole groups, about `size` bytes of contexts at a time."""
+    batch, weight = [], 0
+    for group in groups:
+        batch += group
+        weight += sum(len(entry[1]) for entry in group)
+        if weight >= size:
+            yield batch
+            batch, weight = [], 0
+    if batch:
+        yield batch
 
 
 def _mark(length, shape):
@@ -353,28 +376,28 @@ def _mark(length, shape):
                 entry = groups.setdefault(code, {}).setdefault(digest, [context, [], False])
                 entry[1].append(part)
                 entry[2] |= several
-        arrays = {False: [], True: []}
+        left = []
         for entries in groups.values():
             for digest, (context, parts, several) in entries.items():
                 if several or len(parts) > 1:
                     spans = np.array([0, len(context) - length + 1], np.int32).tobytes()
                     rows += [{"part": p, "digest": digest, "spans": spans} for p in parts]
             if len(entries) > 1 and any(len(e[1]) == 1 and not e[2] for e in entries.values()):
-                plain = not all(has_cuts(e[0], length) for e in entries.values())
-                arrays[plain] += [(digest, *entry) for digest, entry in entries.items()] + [None]
-        for plain, listed in arrays.items():
-            batch, weight = [], 0
-            for item in [*listed, "end"]:
-                if item is not None and item != "end":
-                    batch.append(item)
-                    weight += len(item[1])
-                elif batch and (weight >= ARRAY_BYTES or item == "end"):
-                    for (digest, context, parts, several), mask in zip(
-                            batch, repeated_windows([x[1] for x in batch], length, plain)):
-                        if len(parts) == 1 and not several and mask.any():
-                            spans = np.column_stack(runs(mask)).astype(np.int32).tobytes()
-                            rows.append({"part": parts[0], "digest": digest, "spans": spans})
-                    batch, weight = [], 0
+                left.append([(digest, *entry) for digest, entry in entries.items()])
+        for calm in CALM:
+            if not left:
+                break
+            sizes = np.array([len(group) for group in left])
+            data, offsets = joined([entry[1] for group in left for entry in group])
+            fits = np.logical_and.reduceat(well_cut(data, offsets, length, calm), np.cumsum(sizes) - sizes)
+            for batch in _batches([group for group, fit in zip(left, fits) if fit], ARRAY_BYTES if calm >= 0 else ARRAY_BYTES // 8):
+                masks = repeated_windows([entry[1] for entry in batch], length, calm)
+                for (digest, context, parts, several), mask in zip(batch, masks):
+                    if len(parts) == 1 and not several and mask.any():
+                        spans = np.column_stack(runs(mask)).astype(np.int32).tobytes()
+                        rows.append({"part": parts[0], "digest": digest, "spans": spans})
+            left = [group for group, fit in zip(left, fits) if not fit]
+        rows += [{"part": p, "grams": g} for p, g in zip(columns[0], table["grams"].to_pylist()) if g]
         packed = [(p, from_planes(c, np.uint64), k) for p, c, k in zip(
             columns[0], table["codes"].to_pylist(), table["checks"].to_pylist()) if c]
         if packed:
@@ -418,7 +441,8 @@ def _cut_out(length, gram):
                 known = np.concatenate([c for c, _ in packed])
                 checks = np.concatenate([k for _, k in packed])
                 pairs = np.sort(mix(known, 11) ^ checks.astype(np.uint64))
-                at, code, check = anchors.windows(np.arange(len(anchors.x)))
+                grams = np.sort(np.concatenate([np.frombuffer(g, np.uint64) for g in answers["grams"].to_pylist() if g]))
+                at, code, check = anchors.windows(np.flatnonzero(found(anchors.code, grams)[0]))
                 hit = found(mix(code, 11) ^ check.astype(np.uint64), pairs)[0]
                 starts.append(np.column_stack([at[hit], at[hit] + 1]))
             if starts:
