@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunetrail.llm.shared import extended, stored
+from tunetrail.llm.shared import extended, free_name, other_columns, quoted, stored
 
 #: Bytes of distinct content that one table may hold.
 TABLE_BYTES = 48 << 20
@@ -51,7 +51,7 @@ class ContentTable:
         self.bytes += len(content) + ENTRY_BYTES
 
 
-def _fold(batches, budget, position):
+def _fold(batches, budget, position, names):
     """Add row, slot (first row with the content in this table), whether it is that first row, and digest."""
     table, row = ContentTable(), TaskContext.get().partitionId() << 40
     for batch in batches:
@@ -71,7 +71,7 @@ def _fold(batches, budget, position):
             digests.append(value[1])
             row += 1
         extra = [pa.array(rows, pa.int64()), pa.array(slots, pa.int64()), pa.array(digests, pa.string())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "_row", "_slot", "_sha"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
 
 def _settle(batches, budget):
@@ -90,7 +90,7 @@ def _settle(batches, budget):
             spilled[k] = kind is None
         content = pa.array([c.decode() if s else None for c, s in zip(contents, spilled)], pa.string())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), content, pa.array(classes, pa.int64())],
-                                         names=["_slot", "_code", "_content", "_class"])
+                                         names=["slot", "code", "content", "class"])
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -102,28 +102,31 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     with the largest id and equal text one is kept. Input columns with the name of an added one
     are replaced. Stores intermediate tables in the shared folder: runs jobs.
     """
-    names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    ready = docs.select(*names).withColumn("_code", F.xxhash64(F.coalesce(text, F.lit(""))))
-    schema = extended(ready, "_row long, _slot long, _sha string")
+    names = other_columns(docs, "keep_id", "group_size", "kept", "text_sha256")
+    plain = docs.select(*quoted(names))
+    code, row, slot, sha, found = (free_name(plain, n) for n in ("_code", "_row", "_slot", "_sha", "_found"))
+    ready = plain.withColumn(code, F.xxhash64(F.coalesce(text, F.lit(""))))
     position = names.index(text)
-    folded = stored(ready.mapInArrow(lambda batches: _fold(batches, table_bytes, position), schema), "folded")
-    pending = folded.where("_row = _slot").select("_slot", "_code", F.coalesce(text, F.lit("")).alias("_content"))
+    folded = stored(ready.mapInArrow(lambda batches: _fold(batches, table_bytes, position, (row, slot, sha)),
+                                     extended(ready, f"{row} long, {slot} long, {sha} string")), "folded")
+    pending = folded.where(F.col(row) == F.col(slot)).select(
+        F.col(slot).alias("slot"), F.col(code).alias("code"), F.coalesce(text, F.lit("")).alias("content"))
     settled, turn = None, 0
     while True:
-        size = pending.agg(F.sum(F.octet_length("_content") + ENTRY_BYTES)).first()[0]
+        size = pending.agg(F.sum(F.octet_length("content") + ENTRY_BYTES)).first()[0]
         if not size and settled is not None:
             break
-        dealt = pending.repartition(max(1, -(-2 * (size or 0) // table_bytes)), F.xxhash64("_code", F.lit(turn)))
+        dealt = pending.repartition(max(1, -(-2 * (size or 0) // table_bytes)), F.xxhash64("code", F.lit(turn)))
         result = stored(dealt.mapInArrow(lambda batches: _settle(batches, table_bytes),
-                                         "_slot long, _code long, _content string, _class long"), f"round{turn}")
-        done = result.where("_class is not null").select("_slot", "_class")
+                                         "slot long, code long, content string, class long"), f"round{turn}")
+        done = result.where("class is not null").select("slot", "class")
         settled = done if settled is None else settled.unionByName(done)
-        pending, turn = result.where("_class is null").select("_slot", "_code", "_content"), turn + 1
-    links = folded.select("_row", "_slot", F.col(doc_id).alias("_id")).join(settled, "_slot")
-    groups = links.groupBy("_class").agg(F.max(F.struct("_id", "_row")).alias("_best"),
-                                         F.count(F.lit(1)).alias("group_size"))
-    decided = links.join(groups, "_class").select(
-        "_row", F.col("_best._id").alias("keep_id"), "group_size",
-        (F.col("_best._row") == F.col("_row")).alias("kept"))
-    return folded.join(decided, "_row").select(*names, "keep_id", "group_size", "kept",
-                                               F.col("_sha").alias("text_sha256"))
+        pending, turn = result.where("class is null").select("slot", "code", "content"), turn + 1
+    best = F.max(F.struct(F.col(doc_id).alias("id"), F.col(row).alias("row"))).alias("best")
+    slots = folded.groupBy(F.col(slot).alias("slot")).agg(best, F.count(F.lit(1)).alias("n")).join(settled, "slot")
+    groups = slots.groupBy("class").agg(F.max("best").alias("best"), F.sum("n").alias("size"))
+    decided = slots.select("slot", "class").join(groups, "class").select(
+        F.col("slot").alias(slot), F.struct("best", "size").alias(found))
+    joined, group = folded.join(decided, slot), F.col(found)
+    return joined.select(*quoted(names), group["best"]["id"].alias("keep_id"), group["size"].alias("group_size"),
+                         (group["best"]["row"] == F.col(row)).alias("kept"), F.col(sha).alias("text_sha256"))
