@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tunetrail.llm import (block_anchors, edit_match, grace, line_crf, raking, simhash, suffix_groups, toxicity,
                            transcripts, warc)
-from tunetrail.llm.shared import scratch_folder
+from tunetrail.llm.shared import scratch_folder, stored
 
 
 def _table(spark, sf_dir, name, *columns):
@@ -59,7 +59,7 @@ def op7_grace(spark, sf_dir):
 def op8_warc(spark, sf_dir):
     path = f"{scratch_folder(spark)}/archives"
     warc.write_warc(_table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
-    records = warc.read_warc(spark, path, keep_payload=False)
+    records = stored(warc.read_warc(spark, path, keep_payload=False), "records")
     return warc.resolve_revisits(warc.transactions(records)).select("page_id", "payload_bytes", "payload_digest",
                                                                     "record_type", "refers_to")
 
