@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunetrail.llm.shared import extended
+from tunetrail.llm.shared import extended, free_name, other_columns, quoted
 
 #: Edits allowed for each character of an item, and the least length of a piece.
 RATE, PIECE = 0.1, 16
@@ -104,11 +104,11 @@ class Items:
         return out
 
 
-def _match(batches, position, items, rate, piece, kind):
+def _match(batches, position, items, rate, piece, kind, name):
     matcher = Items(items, rate, piece)
     for batch in batches:
         hits = [matcher.hits(text) if text else [] for text in batch.column(position).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], names=[*batch.schema.names, "_hits"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], names=[*batch.schema.names, name])
 
 
 def match_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, piece: int = PIECE,
@@ -122,10 +122,11 @@ def match_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    names = [c for c in docs.columns if c != "hits"]
+    names = other_columns(docs, "hits")
+    more = free_name(docs, "_hits")
     shape = T.StructType.fromDDL(f"h {HIT}")["h"].dataType
     kind = to_arrow_type(shape)
-    out = docs.select(*names, F.array().cast(shape).alias("hits"))
+    out = docs.select(*quoted(names), F.array().cast(shape).alias("hits"))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
@@ -133,7 +134,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate:
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         items = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        schema = extended(out, f"_hits {HIT}")
-        out = out.mapInArrow(lambda batches, items=items: _match(batches, position, items, rate, piece, kind), schema)
-        out = out.select(*names, F.concat("hits", "_hits").alias("hits"))
+        schema = extended(out, f"{more} {HIT}")
+        out = out.mapInArrow(lambda batches, items=items: _match(batches, position, items, rate, piece, kind, more), schema)
+        out = out.select(*quoted(names), F.concat("hits", more).alias("hits"))
     return out

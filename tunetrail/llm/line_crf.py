@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunetrail.llm.shared import (extended, fold, joined, labelled, mix, slices, sums_of, word_hashes,
-                                  word_spans)
+from tunetrail.llm.shared import (extended, fold, joined, labelled, mix, other_columns, quoted, slices, sums_of,
+                                  word_hashes, word_spans)
 
 #: Contracted values.
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -224,9 +224,9 @@ def score_quality(docs: DataFrame, model: LineCrf, text: str = "text", doc_id: s
     The score is a function of the text alone. NULL and empty texts count as one line of zero
     features. Input columns with the name of an added one are replaced.
     """
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    plain = docs.select(*names)
+    names = other_columns(docs, "held_out", "score", "predicted")
+    plain = docs.select(*quoted(names))
     position = names.index(text)
     scored = plain.mapInArrow(lambda batches: _score(batches, position, model), extended(plain, "score double"))
-    return scored.select(*names, (fold(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"), "score",
+    return scored.select(*quoted(names), (fold(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

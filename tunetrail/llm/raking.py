@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunetrail.llm.shared import stored
+from tunetrail.llm.shared import free_name, other_columns, quoted, stored
 
 #: Categories of a dimension that get a factor of their own; smaller ones share one.
 MOST = {"source": 256, "lang": 64, "topic": 64}
@@ -84,9 +84,10 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
     columns with the name of an added one are replaced. Runs jobs.
     """
     added = ("n_tokens", "weight", "probability", "sampled")
-    own_topic = "topic" in docs.columns
-    names = [c for c in docs.columns if c not in added and c != "topic"]
-    counted = docs.select(*names, *(["topic"] if own_topic else []), words(F.col(text)).alias("n_tokens"))
+    names = other_columns(docs, *added, "topic")
+    own_topic = next((c for c in docs.columns if c.lower() == "topic"), None)
+    counted = docs.select(*quoted(names), *([F.col(own_topic).alias("topic")] if own_topic else []),
+                          words(F.col(text)).alias("n_tokens"))
     if not own_topic:
         counted = counted.withColumn("topic", text_form(F.col(text), F.col("n_tokens")))
     label = lambda d: F.coalesce(F.col(d).cast("string"), F.lit(NONE))
@@ -113,12 +114,12 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
     scale = rate_scale(tokens, weights, rate) if rows else 0.0
     out, weight = counted, F.lit(1.0)
     for d, factor in zip(MOST, factors):
+        key, value = free_name(out, f"_key_{d}"), free_name(out, f"_factor_{d}")
         table = docs.sparkSession.createDataFrame(
-            [(c, float(f)) for c, f in zip(categories[d], factor)], f"_key_{d} string, _factor_{d} double")
+            [(c, float(f)) for c, f in zip(categories[d], factor)], f"{key} string, {value} double")
         name = label(d) if kept[d] is None else F.when(label(d).isin(kept[d]), label(d)).otherwise(OTHER)
-        out = out.join(F.broadcast(table), name == F.col(f"_key_{d}"), "left")
-        weight = weight * F.coalesce(F.col(f"_factor_{d}"), F.lit(0.0))
+        out = out.join(F.broadcast(table), name == F.col(key), "left")
+        weight = weight * F.coalesce(F.col(value), F.lit(0.0))
     draw = F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(seed)), 11) / F.lit(float(1 << 53))
     out = out.withColumn("weight", weight).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * scale))
-    return out.withColumn("sampled", draw < F.col("probability")).select(
-        *names, "topic", *added)
+    return out.withColumn("sampled", draw < F.col("probability")).select(*quoted(names), "topic", *added)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunetrail.llm.components import components
-from tunetrail.llm.shared import extended, stored
+from tunetrail.llm.shared import extended, free_name, other_columns, quoted, stored
 
 #: Contracted values.
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -47,11 +47,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(codes)).tobytes(), "big")
 
 
-def _fingerprints(batches, position, shingle):
+def _fingerprints(batches, position, shingle, name):
     for batch in batches:
         texts = batch.column(position).cast(pa.binary()).to_pylist()
         codes = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=[*batch.schema.names, "_code"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=[*batch.schema.names, name])
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -173,16 +173,16 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     columns with the name of an added one are replaced. Runs jobs; the fingerprinted rows and the
     links are stored in the shared folder.
     """
-    names = [c for c in docs.columns if c not in ("fingerprint", "component_id")]
-    plain = docs.select(*names)
-    schema = extended(plain, "_code long")
-    position = names.index(text)
-    coded = stored(plain.mapInArrow(lambda batches: _fingerprints(batches, position, shingle), schema), "fingerprints")
-    codes = coded.groupBy(F.col("_code").alias("code")).agg(F.min(doc_id).alias("least"))
+    names = other_columns(docs, "fingerprint", "component_id")
+    plain = docs.select(*quoted(names))
+    code, position = free_name(plain, "_code"), names.index(text)
+    coded = stored(plain.mapInArrow(lambda batches: _fingerprints(batches, position, shingle, code),
+                                    extended(plain, f"{code} long")), "fingerprints")
+    codes = coded.groupBy(F.col(code).alias("code")).agg(F.min(doc_id).alias("least"))
     roots = components(fingerprint_links(codes.select("code"), distance))
     rooted = codes.join(roots, codes["code"] == roots["u"], "left").select(
         "code", "least", F.coalesce("root", "code").alias("root"))
     names_of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(names_of, "root").select(F.col("code").alias("_code"), "component_id")
-    hexed = F.lower(F.lpad(F.hex("_code"), 16, "0"))
-    return coded.join(labels, "_code").select(*names, hexed.alias("fingerprint"), "component_id")
+    labels = rooted.join(names_of, "root").select(F.col("code").alias(code), "component_id")
+    hexed = F.lower(F.lpad(F.hex(code), 16, "0"))
+    return coded.join(labels, code).select(*quoted(names), hexed.alias("fingerprint"), "component_id")

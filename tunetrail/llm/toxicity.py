@@ -17,8 +17,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunetrail.llm.shared import (extended, fold, found, joined, labelled, mix, powers, prefix_sums, slices,
-                                  stored, sums_of, word_spans)
+from tunetrail.llm.shared import (extended, fold, found, free_name, joined, labelled, mix, other_columns, powers,
+                                  prefix_sums, quoted, slices, stored, sums_of, word_spans)
 
 #: Contracted values.
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -170,18 +170,18 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, least: int = 4, lea
     return Lexicon(codes, weights)
 
 
-def _dense(batches, position, lexicon):
+def _dense(batches, position, lexicon, out):
     for batch in batches:
         texts = [t or b"" for t in batch.column(position).cast(pa.binary()).to_pylist()]
         rows = lexicon.features(texts)
         values = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, FEATURES, dtype=np.int32), pa.array(rows.ravel()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "_features"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, out])
 
 
-def with_features(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
+def with_features(docs: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "features") -> DataFrame:
     position = docs.columns.index(text)
-    dense = docs.mapInArrow(lambda batches: _dense(batches, position, lexicon), extended(docs, "_features array<double>"))
-    return dense.withColumn("_features", array_to_vector("_features"))
+    dense = docs.mapInArrow(lambda batches: _dense(batches, position, lexicon, out), extended(docs, f"{out} array<double>"))
+    return dense.withColumn(out, array_to_vector(out))
 
 
 @dataclass
@@ -206,13 +206,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, documents: int = DOCUMENT
         half.alias("half"), part.alias("part")), "sample")
     lexicon = learn_lexicon(rows)
     halves = [with_features(rows.where(F.col("half") == 1 - k), learn_lexicon(rows.where(F.col("half") == k))) for k in (0, 1)]
-    dense = stored(halves[0].unionByName(halves[1]).select("doc_id", "label", "part", "_features").coalesce(4), "dense")
+    dense = stored(halves[0].unionByName(halves[1]).select("doc_id", "label", "part", "features").coalesce(4), "dense")
     fit, check = dense.where("part > 0").orderBy("doc_id"), dense.where("part = 0").orderBy("doc_id")
     prior = rows.agg(F.avg("label")).first()[0] or 0.0
     kinds = lambda df: df.select("label").distinct().count()
     if kinds(fit) < 2 or kinds(check) < 2:
         return ToxicityModel(lexicon, None, None, prior)
-    model = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2,
+    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2,
                           minInstancesPerNode=5, seed=5).fit(fit)
     raw = model.transform(check).select("label", vector_to_array("probability")[1].alias("raw"))
     return ToxicityModel(lexicon, model, IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw), prior)
@@ -224,14 +224,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", do
     The score is a function of the text alone; NULL and empty texts have zero features. Input
     columns with the name of an added one are replaced.
     """
-    names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    names = other_columns(docs, "held_out", "score", "predicted")
+    plain = docs.select(*quoted(names))
     if model.trees is None:
-        scored = docs.select(*names, F.lit(float(model.prior)).alias("score"))
+        scored = plain.withColumn("score", F.lit(float(model.prior)))
     else:
-        dense = with_features(docs.select(*names), model.lexicon, text)
-        wide = model.trees.setFeaturesCol("_features").setPredictionCol("_tree").setProbabilityCol("_share")
-        raw = wide.setRawPredictionCol("_margin").transform(dense).withColumn("_raw", vector_to_array("_share")[1])
-        scored = model.calibration.setFeaturesCol("_raw").setPredictionCol("score").transform(raw)
+        dense, tree, share, margin, raw = (free_name(plain, n) for n in ("_dense", "_tree", "_share", "_margin", "_raw"))
+        trees = model.trees.copy().setFeaturesCol(dense).setPredictionCol(tree).setProbabilityCol(share)
+        rated = trees.setRawPredictionCol(margin).transform(with_features(plain, model.lexicon, text, dense))
+        scored = model.calibration.copy().setFeaturesCol(raw).setPredictionCol("score").transform(
+            rated.withColumn(raw, vector_to_array(share)[1]))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
-    return scored.select(*names, (fold(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"), score.alias("score"),
+    return scored.select(*quoted(names), (fold(F.col(doc_id), MODULUS) == HELD_OUT).alias("held_out"), score.alias("score"),
                          (score >= THRESHOLD).cast("int").alias("predicted"))
