@@ -1,4 +1,4 @@
-"""Time parts and their labels."""
+"""Time parts and their labels. Hours of the labels and their texts are fixed values."""
 
 from pyspark.sql import functions as F, types as T
 

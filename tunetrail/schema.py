@@ -131,6 +131,8 @@ MOOD_LABELS = [
     ("Low", "Mid", "Low", "Mid", "🖤 Brooding"),
 ]
 
+# ---- page keys (fixed values) --------------------------------------------------------
+
 # Page-name rewrites applied to a lower-cased, de-accented artist name.
 ARTIST_ALIASES = {
     "beyonce": "beyonceknowles",
