@@ -145,6 +145,14 @@ def test_page_lyrics(spark):
     assert got == [text for _, text in pages]
 
 
+def test_second_plain_block_is_preferred(spark):
+    pages = [("<div class='a'>x<br>y<br>z</div><div>one</div><div id='t'>two &amp;<br><i>three</i></div>", "two &\nthree"),
+             ("<div class='a'>x<br>y</div><div>one</div>", "x\ny"), ("<div></div><div> </div><p>a<br>b</p>", ""), (None, None)]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "page_id int, html string")
+    got = [r.lyrics for r in extract_page_lyrics(df, prefer_plain=True).orderBy("page_id").collect()]
+    assert got == [text for _, text in pages]
+
+
 def test_unescape_without_references(spark):
     assert spark.range(1).select(unescape(F.lit("a & b")).alias("x")).head().x == "a & b"
 

@@ -442,6 +442,14 @@ def oracles():
     sql["plain_lyrics"] = "SELECT doc_id AS track_id, strip_accents(text) AS plain FROM documents"
     sql["repaired_lyrics"] = "SELECT doc_id AS track_id, md5(text) AS repaired, md5(text) AS untouched FROM documents"
     sql["page_lyrics"] = page_text()
+    entities = lambda t: f"replace(replace(replace(replace({t}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+    sql["page_lyrics_plain_first"] = f"""WITH blocks AS ({page_text()}),
+        bodies AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+            '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<nav\\b.*?</nav>', '', 'g') AS body FROM pages),
+        plain AS (SELECT page_id, list_filter(regexp_extract_all(body, '(?is)<div\\b[^>]*>.*?</div>'),
+            lambda d: NOT regexp_matches(d, '(?i)^<div\\b[^>]*\\bclass\\s*=')) AS divs FROM bodies)
+        SELECT page_id, md5(coalesce(regexp_replace({entities("regexp_replace(divs[2], '(<[^>]*>)+', chr(10), 'g')")},
+            '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), lyrics)) AS lyrics_md5 FROM plain JOIN blocks USING (page_id)"""
     sql["tokens_clean"] = f"{with_(tokens())} SELECT track_id, CAST(len(toks) AS INTEGER) AS n, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM doc_tokens"
     sql["vocab_top100"] = f"{with_(tokens(), VOCAB)} SELECT * FROM vocab"
     sql["played_vocab_top100"] = f"""{with_(tokens(), ORDER_PLAYS)},

@@ -383,6 +383,12 @@ def page_lyrics(spark, sf):
     return extract_page_lyrics(views.table(spark, sf, "pages")).select("page_id", "n_br", "lyrics")
 
 
+@query
+def page_lyrics_plain_first(spark, sf):
+    """The page rule that prefers the second class-less block."""
+    return extract_page_lyrics(views.table(spark, sf, "pages"), prefer_plain=True).select("page_id", F.md5("lyrics").alias("lyrics_md5"))
+
+
 def stop_words(spark):
     words = lyrics.language_stop_words("english") + lyrics.language_stop_words("spanish")
     return lyrics.analysed_words(spark, list(words) + views.EXTRA_STOP_WORDS)

@@ -29,11 +29,19 @@ def unescape(c):
         F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(decoded(p))), ""))
 
 
-def extract_page_lyrics(pages, html="html", block_tags=BLOCK_TAGS):
+def plain_block(body):
+    """Text of the second `div` without a class, text pieces on lines of their own; NULL with fewer."""
+    divs = F.regexp_extract_all(body, F.lit(r"(?is)<div\b[^>]*>.*?</div>"), F.lit(0))
+    plain = F.filter(divs, lambda d: ~d.rlike(r"(?i)^<div\b[^>]*\bclass\s*="))
+    return F.regexp_replace(F.get(plain, F.lit(1)), r"(<[^>]*>)+", "\n")
+
+
+def extract_page_lyrics(pages, html="html", block_tags=BLOCK_TAGS, prefer_plain=False):
     """Add `lyrics` and `n_br`: the text block with the most line breaks, first on ties.
 
     Every step works inside the row, so nothing is shuffled; pages whose blocks hold no
-    line break get NULL.
+    line break get NULL. With `prefer_plain` the second class-less `div` is taken where a page
+    has two of them.
     """
     body = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
     for tag in SKIPPED_TAGS:
@@ -47,6 +55,8 @@ def extract_page_lyrics(pages, html="html", block_tags=BLOCK_TAGS):
     text = F.regexp_replace("_best.block", r"(?i)<br\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
     found = best.withColumn("n_br", F.col("_best.n_br")).withColumn("_text", text)
-    lyrics = trim_all(unescape(F.col("_text")))
-    return (found.withColumn("lyrics", F.when(F.col("n_br") > 0, F.nullif(lyrics, F.lit(""))))
+    lyrics = F.when(F.col("n_br") > 0, F.nullif(trim_all(unescape(F.col("_text"))), F.lit("")))
+    if prefer_plain:
+        lyrics = F.coalesce(trim_all(unescape(plain_block(body))), lyrics)
+    return (found.withColumn("lyrics", lyrics)
             .drop("_best", "_text"))
