@@ -180,9 +180,11 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                                     extended(plain, f"{code} long")), "fingerprints")
     codes = coded.groupBy(F.col(code).alias("code")).agg(F.min(doc_id).alias("least"))
     roots = components(fingerprint_links(codes.select("code"), distance))
-    rooted = codes.join(roots, codes["code"] == roots["u"], "left").select(
-        "code", "least", F.coalesce("root", "code").alias("root"))
-    names_of = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(names_of, "root").select(F.col("code").alias(code), "component_id")
+    linked = roots.join(codes, roots["u"] == codes["code"]).select("code", "root", "least")
+    # Stored, so that the join below shuffles both sides and a hot group can be split.
+    least_of = stored(linked.groupBy("root").agg(F.min("least").alias("group_least")), "groups")
+    grouped = linked.join(least_of, "root").select("code", "group_least")
+    named = codes.join(grouped, "code", "left").select(
+        F.col("code").alias(code), F.coalesce("group_least", "least").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex(code), 16, "0"))
-    return coded.join(labels, code).select(*quoted(names), hexed.alias("fingerprint"), "component_id")
+    return coded.join(named, code).select(*quoted(names), hexed.alias("fingerprint"), "component_id")
