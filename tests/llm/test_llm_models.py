@@ -76,7 +76,7 @@ def test_toxicity_is_learned_and_held_out(spark, documents):
     texts, marks = toxic_corpus(800)
     docs = documents(texts)
     labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
-    model = toxicity.train_toxicity(docs, labels)
+    model = toxicity.train_toxicity(docs, labels, trees=6, depth=3)
     rows = toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted").collect()
     held = [r for r in rows if r.held_out]
     assert len(held) > 100 and np.mean([r.predicted == marks[r.doc_id] for r in held]) > 0.95
@@ -90,7 +90,8 @@ def test_toxicity_on_rough_rows_and_without_labels(spark, rough, documents):
     scored = toxicity.score_toxicity(rough, model)
     assert {r.score for r in scored.collect()} == {0.0} and scored.count() == rough.count()
     texts, marks = toxic_corpus(300)
-    full = toxicity.train_toxicity(documents(texts), spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int"))
+    full = toxicity.train_toxicity(documents(texts), spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int"),
+                                   trees=3, depth=2)
     rows = toxicity.score_toxicity(rough, full).collect()
     assert len(rows) == rough.count() and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score_toxicity(documents([]), full).count() == 0
@@ -166,7 +167,7 @@ def viterbi_by_hand(model, lines, blank):
     return best[0]
 
 
-@pytest.mark.parametrize("block", [1, 2, 256])
+@pytest.mark.parametrize("block", [2, 3, 256])
 def test_blocks_of_a_long_conversation_decode_like_one(spark, monkeypatch, block):
     rng = np.random.default_rng(block)
     share = lambda *shape: np.log(rng.dirichlet(np.ones(shape[-1]), shape[:-1]))
@@ -178,11 +179,7 @@ def test_blocks_of_a_long_conversation_decode_like_one(spark, monkeypatch, block
     found = [r for r in transcripts.format_chats(df, model).collect()]
     roles = [x for r in sorted((r for r in found if r.conv_id == 1), key=lambda r: r.block) for x in r.line_roles]
     lines, blank, _ = transcripts.lines_of(texts)
-    one = transcripts.RoleModel(model.start, model.move, model.emit)
-    # A blank line at the end of a block is seen by that block alone.
-    if block == 256:
-        value, states = viterbi_by_hand(one, lines, blank)
-        assert roles == [transcripts.ROLES[s // 2] for s in states]
-    assert len(roles) == len(lines)
+    _, states = viterbi_by_hand(model, lines, blank)
+    assert roles == [transcripts.ROLES[s // 2] for s in states]
     assert [r.n_lines for r in found if r.conv_id is None] == [1]
     assert transcripts.format_chats(df.limit(0), model).count() == 0

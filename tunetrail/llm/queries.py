@@ -80,6 +80,31 @@ QUERIES = {f.__name__: f for f in (
     op9_suffix_groups, op10_edit_match)}
 
 ORACLES = {
+    "op6_block_anchors": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, range(1, len(w) - 48) t(i)),
+             least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+             gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN least USING (h), range(50) r(k) WHERE m < doc_id),
+             word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+             kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+             lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op9_suffix_groups": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+             n AS (SELECT doc_id, b, length(b) // 2 AS n FROM d),
+             win AS (SELECT doc_id, i, md5(substr(b, 2 * i + 1, 800)) AS h FROM n, range(0, n - 399) t(i)),
+             twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+             hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win SEMI JOIN twice USING (h)),
+             run AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+             span AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM run GROUP BY doc_id, r),
+             piece AS (SELECT doc_id, a, z, coalesce(lag(z) OVER w, 0) AS from_byte FROM span WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+             head AS (SELECT doc_id, string_agg(substr(b, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a) AS t,
+                             max(z) AS last_byte, count(*) AS spans, sum(z - a) AS lost
+                      FROM piece JOIN n USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+               sha256(unhex(coalesce(t, '') || substr(b, 2 * coalesce(last_byte, 0) + 1))) AS kept_sha256
+        FROM n LEFT JOIN head USING (doc_id)""",
     "op7_grace": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
              g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)

@@ -45,9 +45,10 @@ def strip_marker(line: str) -> str:
 
 
 def lines_of(texts: list[str | None]) -> tuple[list[str], list[bool], list[int]]:
-    """Lines with text, whether a blank line precedes, and the row of each."""
-    lines, blank, rows, gap = [], [], [], False
+    """Lines with text, whether a blank line precedes in their row, and the row of each."""
+    lines, blank, rows = [], [], []
     for row, text in enumerate(texts):
+        gap = False
         for line in (text or "").split("\n"):
             if line.strip():
                 lines.append(line)
