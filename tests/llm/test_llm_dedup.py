@@ -27,7 +27,7 @@ def exact_by_hand(texts, ids):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("table_bytes", [700, 1 << 20])
+@pytest.mark.parametrize("table_bytes", [3000, 1 << 20])
 def test_exact_groups_equal_brute_force_at_any_table_size(spark, documents, table_bytes):
     rng = random.Random(3)
     texts = [rng.choice(["", None, "é", "hot", "hot", "hot"]) if rng.random() < 0.6 else f"text {rng.randint(0, 30)}" * 5
