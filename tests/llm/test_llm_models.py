@@ -143,6 +143,34 @@ def test_mixing_rough_and_empty_tables(rough, documents, monkeypatch):
     assert raking.mix_to_targets(many, rate=1.0).where("weight > 0").count() == 30
 
 
+def test_mixing_gives_every_source_its_own_weight(documents):
+    equal = documents(["a b c"] * 300, source=[f"s{i:03}" for i in range(300)])
+    assert all(abs(r.weight - 1) < 1e-6 for r in raking.mix_to_targets(equal).collect())
+    uneven = documents([f"{i} " + "w " * (1 + i % 7) for i in range(600)], source=[f"s{i % 300:03}" for i in range(600)],
+                       lang=["en", "de", "en", None, "de"] * 120)
+    rows = raking.mix_to_targets(uneven, {"source": {"s007": 1, "s299": 3}, "lang": {"en": 1, "de": 3}}).collect()
+    share = Counter()
+    for r in rows:
+        share[r.source] += r.weight * r.n_tokens
+    total = sum(share.values())
+    assert abs(share["s299"] / total - 0.75) < 1e-6 and abs(share["s007"] / total - 0.25) < 1e-6
+
+
+def test_mixing_by_table_equals_mixing_on_the_driver(documents, monkeypatch):
+    rng = random.Random(8)
+    n = 400
+    docs = documents([f"{i} " + "w " * rng.randint(1, 300) for i in range(n)], lang=[rng.choice(["en", "en", "de", None]) for _ in range(n)],
+                     source=[rng.choice(["hot"] * 9 + ["b", "c", "d"]) for _ in range(n)])
+    for targets in (None, {"source": {"b": 2, "hot": 1, "absent": 4}}):
+        want = {r.doc_id: r for r in raking.mix_to_targets(docs, targets).collect()}
+        with monkeypatch.context() as few:
+            few.setitem(raking.MOST, "source", 1)
+            got = {r.doc_id: r for r in raking.mix_to_targets(docs, targets).collect()}
+        assert got.keys() == want.keys()
+        for i, r in want.items():
+            assert abs(got[i].weight - r.weight) < 1e-6 * (1 + r.weight) and abs(got[i].probability - r.probability) < 1e-6
+
+
 def test_roles_are_recovered(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     lines = transcripts.as_transcripts(turns)

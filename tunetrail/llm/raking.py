@@ -1,8 +1,8 @@
 """Mix sources to target weights: iterative proportional fitting, then sampling by the fitted rates.
 
-One aggregate gives the tokens of every cell of source, language and topic. The cells are raked on
-the driver until each margin has its target share; the factors of the categories are all that goes
-back to the documents.
+One aggregate gives the tokens of every cell of source, language and topic. The cells are raked
+until each margin has its target share, every category by itself: on the driver where they are few,
+else as a table, with a sum and a join per dimension and round. Documents get the weight of their cell.
 """
 
 import numpy as np
@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tunetrail.llm.shared import free_name, other_columns, quoted, stored
 
-#: Categories of a dimension that get a factor of their own; smaller ones share one.
+#: Categories of a dimension, and cells, up to which the driver rakes; tables with more are raked by Spark.
 MOST = {"source": 256, "lang": 64, "topic": 64}
-OTHER, NONE = "(other)", "(none)"
+MOST_CELLS = 1 << 16
+NONE = "(none)"
 #: Longest texts by words, and the share of marks, that name the form of a text.
 LONG, SHORT, MARKS = 1500, 120, 0.06
 
@@ -71,6 +72,81 @@ def rate_scale(tokens: np.ndarray, weights: np.ndarray, rate: float) -> float:
     return high
 
 
+def rake_on_driver(cells: DataFrame, targets: dict | None, power: float, rate: float) -> tuple[DataFrame, float]:
+    """Cells with their weight, and the scale of the rate, from collected cells."""
+    rows = cells.orderBy(*MOST).collect()
+    tokens = np.array([r.tokens or 0 for r in rows], float)
+    categories = {d: sorted({r[d] for r in rows}) for d in MOST}
+    goals, codes = [], []
+    for d in MOST:
+        place = {c: k for k, c in enumerate(categories[d])}
+        codes.append(np.array([place[r[d]] for r in rows], np.int64))
+        margin = dict(zip(categories[d], np.bincount(codes[-1], tokens, len(place)).tolist()))
+        goal = (targets or {}).get(d) or tempered(margin, power)
+        present = {c: goal.get(c, 0.0) if margin[c] else 0.0 for c in categories[d]}
+        total = sum(present.values()) or 1.0
+        goals.append(np.array([present[c] / total for c in categories[d]]))
+    factors = rake(tokens, codes, goals) if tokens.sum() else [np.zeros(len(g)) for g in goals]
+    weights = np.prod([f[c] for f, c in zip(factors, codes)], axis=0) if rows else np.zeros(0)
+    table = cells.sparkSession.createDataFrame(
+        [(*(r[d] for d in MOST), float(w)) for r, w in zip(rows, weights)],
+        ", ".join(f"{d} string" for d in MOST) + ", weight double")
+    return table, rate_scale(tokens, weights, rate) if rows else 0.0
+
+
+def goal_table(cells: DataFrame, d: str, goal: dict[str, float] | None, power: float) -> DataFrame:
+    """(category, goal): target shares of the categories of `d` that have tokens; without any, tempered ones."""
+    margin = cells.groupBy(d).agg(F.sum("tokens").alias("m")).where("m > 0")
+    if goal:
+        given = cells.sparkSession.createDataFrame([(c, float(v)) for c, v in goal.items()], f"{d} string, goal double")
+        shares = margin.join(given, d, "left").select(d, F.coalesce("goal", F.lit(0.0)).alias("goal"))
+    else:
+        shares = margin.select(d, F.pow("m", F.lit(power)).alias("goal"))
+    shares = stored(shares, f"goal_{d}")
+    total = shares.agg(F.sum("goal")).first()[0] or 1.0
+    return shares.select(d, (F.col("goal") / total).alias("goal"))
+
+
+def rake_on_spark(cells: DataFrame, targets: dict | None, power: float, rate: float, rounds: int = 200,
+                  tolerance: float = 1e-9) -> tuple[DataFrame, float]:
+    """`rake_on_driver` for any number of categories; stores the cells once a round."""
+    cells = cells.select(*MOST, F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if not total:
+        return cells.select(*MOST, F.lit(0.0).alias("weight")), 0.0
+    goals = {d: goal_table(cells, d, (targets or {}).get(d), power) for d in MOST}
+    raked = cells.withColumn("weight", F.lit(1.0))
+    for _ in range(rounds):
+        raked = raked.withColumn("off", F.lit(0.0))
+        for d, goal in goals.items():
+            margin = raked.groupBy(d).agg((F.sum(F.col("tokens") * F.col("weight")) / total).alias("m"))
+            step = margin.join(goal, d, "left").select(
+                d, F.when(F.col("m") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("m")).otherwise(0.0).alias("by"),
+                F.abs(F.col("m") - F.coalesce("goal", F.lit(0.0))).alias("miss"))
+            raked = raked.join(step, d).select(*MOST, "tokens", (F.col("weight") * F.col("by")).alias("weight"),
+                                               F.greatest("off", "miss").alias("off"))
+        raked = stored(raked, "raked")
+        if raked.agg(F.max("off")).first()[0] <= tolerance:
+            break
+        raked = raked.drop("off")
+    return raked.select(*MOST, "weight"), table_rate_scale(raked, rate * total)
+
+
+def table_rate_scale(raked: DataFrame, goal: float) -> float:
+    """`rate_scale` of a table of cells: tangents of a concave function of the scale, from the left."""
+    goal = min(goal, float(raked.where("weight > 0").agg(F.sum("tokens")).first()[0] or 0))
+    scale = 0.0
+    while goal:
+        full = F.col("weight") * scale >= 1
+        sums = raked.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"),
+                         F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("weight"))).alias("free")).first()
+        following = (goal - sums.full) / sums.free if sums.free else scale
+        if following <= scale * (1 + 1e-12):
+            break
+        scale = following
+    return scale
+
+
 def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = 0.5,
                    rate: float = 0.5, seed: int = 17, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of `docs`, its topic, n_tokens, weight, probability and sampled.
@@ -92,34 +168,15 @@ def mix_to_targets(docs: DataFrame, targets: dict[str, dict[str, float]] | None
         counted = counted.withColumn("topic", text_form(F.col(text), F.col("n_tokens")))
     label = lambda d: F.coalesce(F.col(d).cast("string"), F.lit(NONE))
     cells = stored(counted.groupBy(*(label(d).alias(d) for d in MOST)).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    kept, shown = {}, cells
-    for d, most in MOST.items():
-        top = cells.groupBy(d).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), d).limit(most + 1).collect()
-        kept[d] = [r[d] for r in top[:most]] if len(top) > most else None
-        if kept[d] is not None:
-            shown = shown.withColumn(d, F.when(F.col(d).isin(kept[d]), F.col(d)).otherwise(OTHER))
-    rows = shown.groupBy(*MOST).agg(F.sum("tokens").alias("tokens")).orderBy(*MOST).collect()
-    tokens = np.array([r.tokens or 0 for r in rows], float)
-    categories = {d: sorted({r[d] for r in rows}) for d in MOST}
-    codes = [np.array([categories[d].index(r[d]) for r in rows], np.int64) for d in MOST]
-    goals = []
-    for d, code in zip(MOST, codes):
-        margin = dict(zip(categories[d], np.bincount(code, tokens, len(categories[d])).tolist()))
-        goal = (targets or {}).get(d) or tempered(margin, power)
-        present = {c: goal.get(c, 0.0) if margin[c] else 0.0 for c in categories[d]}
-        total = sum(present.values()) or 1.0
-        goals.append(np.array([present[c] / total for c in categories[d]]))
-    factors = rake(tokens, codes, goals) if tokens.sum() else [np.zeros(len(g)) for g in goals]
-    weights = np.prod([f[c] for f, c in zip(factors, codes)], axis=0) if rows else np.zeros(0)
-    scale = rate_scale(tokens, weights, rate) if rows else 0.0
-    out, weight = counted, F.lit(1.0)
-    for d, factor in zip(MOST, factors):
-        key, value = free_name(out, f"_key_{d}"), free_name(out, f"_factor_{d}")
-        table = docs.sparkSession.createDataFrame(
-            [(c, float(f)) for c, f in zip(categories[d], factor)], f"{key} string, {value} double")
-        name = label(d) if kept[d] is None else F.when(label(d).isin(kept[d]), label(d)).otherwise(OTHER)
-        out = out.join(F.broadcast(table), name == F.col(key), "left")
-        weight = weight * F.coalesce(F.col(value), F.lit(0.0))
+    few = all(cells.select(d).distinct().limit(most + 1).count() <= most for d, most in MOST.items())
+    few = few and cells.limit(MOST_CELLS + 1).count() <= MOST_CELLS
+    table, scale = (rake_on_driver if few else rake_on_spark)(cells, targets, power, rate)
+    keys = {d: free_name(counted, f"_key_{d}") for d in MOST}
+    value = free_name(counted, "_weight")
+    table = table.select(*(F.col(d).alias(k) for d, k in keys.items()), F.col("weight").alias(value))
+    match = [label(d) == F.col(k) for d, k in keys.items()]
+    out = counted.join(F.broadcast(table) if few else table, match, "left")
     draw = F.shiftrightunsigned(F.xxhash64(doc_id, text, F.lit(seed)), 11) / F.lit(float(1 << 53))
-    out = out.withColumn("weight", weight).withColumn("probability", F.least(F.lit(1.0), F.col("weight") * scale))
+    out = out.withColumn("weight", F.coalesce(F.col(value), F.lit(0.0)))
+    out = out.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * scale))
     return out.withColumn("sampled", draw < F.col("probability")).select(*quoted(names), "topic", *added)
