@@ -8,10 +8,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tunetrail.operators import evaluate, features, models
+from tunetrail.plans import training
 from tunetrail.plans.features import add_features
 from tunetrail.plans.training import (compare, fit_sequence_model, fit_skip_tree, fit_snapshot_models,
                                       prepare_snapshot, sequence_table, wordcloud)
-from tunetrail.schema import GRID_BOOSTED_LYRICS, SCALED_AUDIO
+from tunetrail.plans.queries import QUERIES
+from tunetrail.schema import (GRID_BOOSTED_AUDIO, GRID_BOOSTED_LYRICS, GRID_ELASTIC_AUDIO, GRID_ELASTIC_LYRICS,
+                              GRID_ELASTIC_WORDS, SCALED_AUDIO)
 
 
 @pytest.fixture(scope="module")
@@ -180,3 +183,42 @@ def test_sequence_model(listening):
     best = evaluate.confident_skips(scored, 0.0, 3).collect()
     assert [r.confidence for r in best] == sorted((r.confidence for r in best), reverse=True)
     assert {r.target for r in best} <= {1}
+
+
+@pytest.fixture()
+def asked(monkeypatch):
+    """What the queries ask to be fitted, in order; small models are fitted in their place."""
+    calls = []
+
+    def elastic(train, grid, folds, *rest, **options):
+        calls.append(("elastic", grid, folds, None))
+        return models.fit_elastic_net(train, {"l1_ratio": [0.5], "C": [1.0]}, folds, *rest, **options)
+
+    def boosted(train, grid, n_iter, folds, *rest, **options):
+        calls.append(("boosted", grid, folds, n_iter))
+        return models.fit_boosted(train, {"n_estimators": [2], "max_depth": [2]}, None, folds, *rest, **options)
+
+    def network(train, n_inputs, hidden, seed, max_iter):
+        calls.append(("network", n_inputs, hidden, max_iter))
+        return models.fit_sequence(train, n_inputs, (2,), seed, max_iter=2)
+
+    monkeypatch.setattr(training, "fit_elastic_net", elastic)
+    monkeypatch.setattr(training, "fit_boosted", boosted)
+    monkeypatch.setattr(training, "fit_sequence", network)
+    return calls
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_queries_tune_all_models_over_the_declared_grids(spark, asked):
+    board = QUERIES["model_scoreboard"](spark, SF).collect()
+    assert len(board) == 24 and len({r.model for r in board}) == 6
+    assert asked[:4] == [("elastic", GRID_ELASTIC_LYRICS, 5, None), ("boosted", GRID_BOOSTED_LYRICS, 3, 50),
+                         ("elastic", GRID_ELASTIC_AUDIO, 5, None), ("boosted", GRID_BOOSTED_AUDIO, 3, None)]
+    assert [a[0] for a in asked[4:]] == ["network", "network"] and asked[4][1] < asked[5][1]
+    del asked[:]
+    for name in ("model_coefficients", "model_importances", "wordcloud"):
+        QUERIES[name](spark, SF)
+    assert asked == [("elastic", GRID_ELASTIC_LYRICS, 5, None), ("boosted", GRID_BOOSTED_AUDIO, 3, None),
+                     ("elastic", GRID_ELASTIC_WORDS, 5, None)]

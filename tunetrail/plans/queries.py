@@ -16,6 +16,7 @@ from tunetrail.operators.split import stratified_split, time_split
 from tunetrail.operators.vibe import vibe_top_k, vibe_tracks
 from tunetrail.plans import testviews as views, training
 from tunetrail.plans.clean import build_clean_plays, enrich_plays, unique_library
+from tunetrail.plans.features import lyric_vectors
 from tunetrail.schema import CORRELATED, FILL_VALUES, MOOD_FEATURES, SCALED_AUDIO
 from tunetrail.session import checkpoint
 from tunetrail.sources.pages import extract_page_lyrics
@@ -546,29 +547,33 @@ def prepared(spark, sf, with_lyrics=True):
     return training.prepare_snapshot(plays, texts if with_lyrics else None, stop_words(spark) if with_lyrics else ())
 
 
-SMALL_MODELS = {
-    "elastic net + lyrics": ("with_lyrics", "elastic", {"l1_ratio": [0.5], "C": [1.0]}, 3, "roc_auc", None),
-    "boosted trees": ("audio_only", "boosted", {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1]}, 3, "accuracy", None),
-}
+def sequence_scores(spark, sf):
+    """{name: scored test windows} of the next-skip network, without and with lyrics."""
+    plays = views.clean_event_plays(spark, sf)
+    vectors, _ = lyric_vectors(plays, views.lyrics(spark, sf), stop_words(spark))
+    tables = {"play windows": None, "play windows + lyrics": checkpoint(vectors)}
+    return {name: training.fit_sequence_model(*training.sequence_table(plays, GAP, lyric_vectors=table))[1]
+            for name, table in tables.items()}
 
 
 @query
 def model_scoreboard(spark, sf):
+    """All six models over their declared grids; see the README for how long that takes."""
     train, test, _ = prepared(spark, sf)
-    return training.compare(training.fit_snapshot_models(train, SMALL_MODELS), test)
+    return training.compare(training.fit_snapshot_models(train), test, sequence_scores(spark, sf))
 
 
 @query
 def model_coefficients(spark, sf):
     train, _, names = prepared(spark, sf)
-    model, _, vector = training.fit_snapshot_models(train, {"m": SMALL_MODELS["elastic net + lyrics"]})["m"]
+    model, _, vector = training.fit_snapshot_models(train, {"m": training.SNAPSHOT_MODELS["elastic net + lyrics"]})["m"]
     return evaluate.coefficient_table(spark, model, names[vector], 15)
 
 
 @query
 def model_importances(spark, sf):
     train, _, names = prepared(spark, sf, with_lyrics=False)
-    model, _, vector = training.fit_snapshot_models(train, {"m": SMALL_MODELS["boosted trees"]})["m"]
+    model, _, vector = training.fit_snapshot_models(train, {"m": training.SNAPSHOT_MODELS["boosted trees"]})["m"]
     return evaluate.importance_table(spark, model, names[vector], 15)
 
 
@@ -582,7 +587,7 @@ def skip_tree(spark, sf):
 def wordcloud(spark, sf):
     labelled = views.table(spark, sf, "labels").select(F.col("doc_id").alias("track_id"), (1 - F.col("quality")).alias("skipped"))
     return training.wordcloud(views.lyrics(spark, sf).join(labelled, "track_id"), key="track_id",
-                              stop_words=stop_words(spark), grid={"l1_ratio": [0.5], "C": [1.0]})
+                              stop_words=stop_words(spark))
 
 
 def track_vectors(spark, sf):
