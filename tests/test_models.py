@@ -222,3 +222,14 @@ def test_queries_tune_all_models_over_the_declared_grids(spark, asked):
         QUERIES[name](spark, SF)
     assert asked == [("elastic", GRID_ELASTIC_LYRICS, 5, None), ("boosted", GRID_BOOSTED_AUDIO, 3, None),
                      ("elastic", GRID_ELASTIC_WORDS, 5, None)]
+
+
+def test_sequence_queries_use_the_defaults_and_real_lyrics(spark, asked, monkeypatch):
+    limits = []
+    confident = evaluate.confident_skips
+    monkeypatch.setattr(evaluate, "confident_skips", lambda scored, threshold=0.85, n=3: (
+        limits.append(threshold), confident(scored, threshold, n))[1])
+    for name in ("sequence_confident_skips", "sequence_confident_skips_with_lyrics"):
+        QUERIES[name](spark, SF).collect()
+    assert [a[2:] for a in asked] == [((64,), 50)] * 2 and limits == [0.85] * 2
+    assert asked[1][1] - asked[0][1] > 5 * 3

@@ -620,5 +620,15 @@ def window_vectors_with_lyrics(spark, sf):
 def sequence_confident_skips(spark, sf):
     plays = views.clean_event_plays(spark, sf)
     windows, names = training.sequence_table(plays, GAP)
-    _, scored = training.fit_sequence_model(windows, names, max_iter=15, hidden=(16,))
-    return evaluate.confident_skips(scored, 0.5, 10).select("play_id", "user_id", "confidence", "target")
+    _, scored = training.fit_sequence_model(windows, names)
+    return evaluate.confident_skips(scored, n=10).select("play_id", "user_id", "confidence", "target")
+
+
+@query
+def sequence_confident_skips_with_lyrics(spark, sf):
+    """The same with the lyric vector of each step's track; only tracks with lyrics."""
+    plays = views.clean_event_plays(spark, sf)
+    vectors, _ = lyric_vectors(plays, views.lyrics(spark, sf), stop_words(spark))
+    windows, names = training.sequence_table(plays, GAP, lyric_vectors=checkpoint(vectors))
+    _, scored = training.fit_sequence_model(windows, names)
+    return evaluate.confident_skips(scored, n=10).select("play_id", "user_id", "confidence", "target")
