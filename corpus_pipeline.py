@@ -7,7 +7,7 @@ mixing adds its weight columns. `run` writes every stage as Parquet and rereads
 from pyspark.sql import functions as F
 
 from tunetrail.llm import edit_match, grace, line_crf, raking, simhash
-from tunetrail.llm.shared import stored
+from tunetrail.llm.shared import free_name, stored
 
 
 def quality(spark, docs, sf_dir):
@@ -22,9 +22,9 @@ def exact_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """The document that names its group stays; rows without an id stay where their group has no id."""
-    groups = simhash.simhash_groups(docs)
-    return groups.where("doc_id = component_id OR component_id IS NULL").select(*docs.columns)
+    """One row of each group stays: the smallest id, then a hash of the text."""
+    kept = free_name(docs, "_kept")
+    return simhash.simhash_groups(docs, kept=kept).where(kept).select(*docs.columns)
 
 
 def decontamination(spark, docs, sf_dir):

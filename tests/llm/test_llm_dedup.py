@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tunetrail.llm import components as cc, grace, simhash
 
 
@@ -129,3 +130,18 @@ def test_components_of_a_chain_and_a_star(spark):
     assert found == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(50)} or found == (
         {i: 0 for i in range(1, 61)} | {1000 + i: 1000 for i in range(1, 50)})
     assert cc.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_row_of_each_group_is_kept(spark, documents):
+    base = " ".join(f"w{i}" for i in range(400))
+    code = simhash.fingerprint(base.encode())
+    near = next(t for t in (f"{base} e{k}" for k in range(999))
+                if 0 < (simhash.fingerprint(t.encode()) ^ code).bit_count() <= simhash.DISTANCE)
+    other = " ".join(f"v{i}" for i in range(400))
+    docs = documents([base, near, base, near, other, other, near, None, ""], [5, 5, 7, None, None, None, 5, 1, 1])
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 5), (True, 0)]
+    assert [r.text for r in kept if r.doc_id is None] == [other]
+    for ids in ([3, 8], [8, 3]):
+        found = simhash.simhash_groups(documents([base, near], ids)).collect()
+        assert [r.component_id for r in found] == [3, 3]

@@ -164,27 +164,39 @@ def fingerprint_links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
-                   distance: int = DISTANCE) -> DataFrame:
+                   distance: int = DISTANCE, kept: str | None = None) -> DataFrame:
     """All columns of `docs`, the fingerprint (16 hex digits) and the component_id of each row.
 
     component_id is the smallest id linked over any chain of fingerprints within `distance` bits;
     equal fingerprints link. NULL and empty texts have fingerprint zero and link like any other.
-    NULL ids take part and are never a component_id (NULL if a component has no other). Input
-    columns with the name of an added one are replaced. Runs jobs; the fingerprinted rows and the
-    links are stored in the shared folder.
+    NULL ids take part and are never a component_id (NULL if a component has no other). With the
+    name of a column in `kept`, it is added and true for one row of each component: the smallest
+    id, NULL last, then a hash of the text, then any. Input columns with the name of an added one
+    are replaced. Runs jobs; the fingerprinted rows and the links are stored in the shared folder.
     """
-    names = other_columns(docs, "fingerprint", "component_id")
+    names = other_columns(docs, "fingerprint", "component_id", *([kept] if kept else []))
     plain = docs.select(*quoted(names))
-    code, position = free_name(plain, "_code"), names.index(text)
-    coded = stored(plain.mapInArrow(lambda batches: _fingerprints(batches, position, shingle, code),
-                                    extended(plain, f"{code} long")), "fingerprints")
-    codes = coded.groupBy(F.col(code).alias("code")).agg(F.min(doc_id).alias("least"))
+    code, row, best, position = *(free_name(plain, n) for n in ("_code", "_row", "_best")), names.index(text)
+    coded = plain.mapInArrow(lambda batches: _fingerprints(batches, position, shingle, code),
+                             extended(plain, f"{code} long"))
+    if kept:
+        coded = coded.withColumn(row, F.monotonically_increasing_id())
+    coded = stored(coded, "fingerprints")
+    first = [F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"),
+                      F.col(row).alias("row"))] if kept else []
+    codes = coded.groupBy(F.col(code).alias("code")).agg(F.min(doc_id).alias("least"),
+                                                         *(F.min(f).alias("first") for f in first))
     roots = components(fingerprint_links(codes.select("code"), distance))
-    linked = roots.join(codes, roots["u"] == codes["code"]).select("code", "root", "least")
+    # A root is linked to, but has no row of its own.
+    roots = roots.unionByName(roots.select(F.col("root").alias("u"), "root")).distinct()
+    linked = roots.join(codes, roots["u"] == codes["code"]).drop("u")
     # Stored, so that the join below shuffles both sides and a hot group can be split.
-    least_of = stored(linked.groupBy("root").agg(F.min("least").alias("group_least")), "groups")
-    grouped = linked.join(least_of, "root").select("code", "group_least")
+    least_of = stored(linked.groupBy("root").agg(F.min("least").alias("group_least"),
+                                                 *(F.min("first").alias("group_first") for _ in first)), "groups")
+    grouped = linked.join(least_of, "root").drop("root", "least", "first")
     named = codes.join(grouped, "code", "left").select(
-        F.col("code").alias(code), F.coalesce("group_least", "least").alias("component_id"))
+        F.col("code").alias(code), F.coalesce("group_least", "least").alias("component_id"),
+        *(F.coalesce("group_first", "first")["row"].alias(best) for _ in first))
     hexed = F.lower(F.lpad(F.hex(code), 16, "0"))
-    return coded.join(named, code).select(*quoted(names), hexed.alias("fingerprint"), "component_id")
+    return coded.join(named, code).select(*quoted(names), hexed.alias("fingerprint"), "component_id",
+                                          *((F.col(row) == F.col(best)).alias(kept) for _ in first))
