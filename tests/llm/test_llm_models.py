@@ -171,6 +171,16 @@ def test_mixing_by_table_equals_mixing_on_the_driver(documents, monkeypatch):
             assert abs(got[i].weight - r.weight) < 1e-6 * (1 + r.weight) and abs(got[i].probability - r.probability) < 1e-6
 
 
+def test_role_counts_cross_blocks(spark, monkeypatch):
+    rows = [(c, 300 * c + k, f"{k} line.", ("user", "assistant")[k % 2]) for c in range(3) for k in range(40)]
+    lines = spark.createDataFrame(rows, "conv_id long, seq long, text string, role string")
+    whole = []
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(transcripts, "BLOCK", size)
+        whole.append(transcripts.fit_roles(lines))
+    assert np.allclose(whole[0].start, whole[1].start) and np.allclose(whole[0].move, whole[1].move)
+
+
 def test_roles_are_recovered(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     lines = transcripts.as_transcripts(turns)

@@ -13,8 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tunetrail.llm.shared import stored
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)
@@ -103,32 +106,51 @@ def in_blocks(lines: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Counts of (kind, state, value) in a labelled block; kinds: emissions 0-3, first states 4, moves 5."""
+    """Counts of (kind, state, value) in a labelled block, and its ends.
+
+    Kinds: emissions 0-3, moves 5; 6 and 7 are the states of the block's first and last line, -1
+    where that line has no label, with the block as value. A block without lines has no ends.
+    """
     table = _sorted_rows(table)
-    roles, counts, before = table["role"].to_pylist(), {}, None
+    roles, counts, before, states = table["role"].to_pylist(), {}, None, []
     lines, blank, rows = lines_of(table["text"].to_pylist())
     for k, (line, gap, row) in enumerate(zip(lines, blank, rows)):
         if roles[row] not in ROLES:
             before = None
+            states.append(-1)
             continue
         state = 2 * ROLES.index(roles[row]) + (k > 0 and rows[k - 1] == row)
         seen = [(kind, state, value) for kind, value in enumerate(observe(line, gap))]
-        if k == 0 and table["block"][0].as_py() == 0:
-            seen.append((4, state, 0))
         if before is not None:
             seen.append((5, before, state))
         for key in seen:
             counts[key] = counts.get(key, 0) + 1
         before = state
-    return pa.table({"kind": pa.array([k for k, _, _ in counts], pa.int32()),
+        states.append(state)
+    block = table["block"][0].as_py()
+    if states:
+        counts |= {(6, states[0], block): 1, (7, states[-1], block): 1}
+    conv = table["conv_id"][:1].combine_chunks()
+    return pa.table({"conv_id": pa.concat_arrays([conv] * len(counts)) if counts else conv[:0],
+                     "kind": pa.array([k for k, _, _ in counts], pa.int32()),
                      "state": pa.array([s for _, s, _ in counts], pa.int32()),
-                     "value": pa.array([v for _, _, v in counts], pa.int32()), "n": pa.array(list(counts.values()), pa.int64())})
+                     "value": pa.array([v for _, _, v in counts], pa.int64()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
 def fit_roles(lines: DataFrame) -> RoleModel:
     """Smoothed shares of all labelled lines (conv_id, seq, text, role). Runs a job; collects counts only."""
     rows, _ = in_blocks(lines.select("conv_id", "seq", "text", "role"))
-    counts = (rows.groupBy("conv_id", "block").applyInArrow(_count, "kind int, state int, value int, n long")
+    shape = T.StructType([rows.schema["conv_id"], *T.StructType.fromDDL("kind int, state int, value long, n long")])
+    found = stored(rows.groupBy("conv_id", "block").applyInArrow(_count, shape), "counts")
+    end = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("state")))
+    blocks = found.where("kind >= 6").groupBy("conv_id", F.col("value").alias("block")).agg(
+        end(6).alias("first"), end(7).alias("last"))
+    before = F.lag("last").over(Window.partitionBy("conv_id").orderBy("block"))
+    edges = blocks.withColumn("before", before).where("first >= 0 AND coalesce(before, 0) >= 0").select(
+        F.when(F.col("before").isNull(), 4).otherwise(5).alias("kind"),
+        F.coalesce("before", "first").alias("state"),
+        F.when(F.col("before").isNull(), 0).otherwise(F.col("first")).cast("long").alias("value"), F.lit(1).cast("long").alias("n"))
+    counts = (found.where("kind < 6").select("kind", "state", "value", "n").unionByName(edges)
               .groupBy("kind", "state", "value").agg(F.sum("n").alias("n")).collect())
     tables = [np.full((STATES, size), 0.5) for size in SIZES] + [np.full((STATES, 1), 0.5), np.full((STATES, STATES), 0.5)]
     for r in counts:
