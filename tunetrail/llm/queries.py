@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tunetrail.llm import (block_anchors, edit_match, grace, line_crf, raking, simhash, suffix_groups, toxicity,
-                           transcripts, warc)
+from tunetrail.llm import (block_anchors, edit_match, grace, line_crf, periodic, raking, simhash, suffix_groups,
+                           toxicity, transcripts, warc)
 from tunetrail.llm.shared import scratch_folder, stored
 
 
@@ -75,9 +75,36 @@ def op10_edit_match(spark, sf_dir):
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def planted_periods(docs):
+    """Texts (doc_id, text) where a tenth of the documents get a periodic tail, as the contract of op13 has it."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("h div 10")
+    chosen = docs.withColumn("h", code).withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn(
+        "n", F.size("words"))
+    start = F.when(F.col("n") > 0, g % F.col("n"))
+    chosen = chosen.withColumn("a", start).withColumn(
+        "p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + g % 8)))
+    changed = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.element_at("words", (F.col("a") + (i - F.col("a")) % F.col("p") + 1).cast("int"))))
+    return chosen.select("doc_id", F.when(F.col("n") > 0, F.concat_ws(" ", changed)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark, sf_dir):
+    found = periodic.periodic_runs(planted_periods(_texts(spark, sf_dir)))
+    best = F.reduce("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"),
+                    lambda a, b: F.when(a.isNull() | (b["length"] > a["length"]), b).otherwise(a))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_line_crf, op3_raking, op4_transcripts, op5_toxicity, op6_block_anchors, op7_grace, op8_warc,
-    op9_suffix_groups, op10_edit_match)}
+    op9_suffix_groups, op10_edit_match, op13_periodic)}
 
 ORACLES = {
     "op6_block_anchors": r"""
@@ -105,6 +132,31 @@ ORACLES = {
         SELECT doc_id, n AS n_bytes, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
                sha256(unhex(coalesce(t, '') || substr(b, 2 * coalesce(last_byte, 0) + 1))) AS kept_sha256
         FROM n LEFT JOIN head USING (doc_id)""",
+    "op13_periodic": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                          xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                              lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                  lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS h FROM documents),
+             s AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+             e AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM s),
+             t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+                          list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM e),
+             word AS (SELECT doc_id, n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM t),
+             gram AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 6], ' ')) AS h FROM t, range(0, n - 5) r(i)),
+             gap AS (SELECT DISTINCT l.doc_id, r.i - l.i AS q FROM gram l JOIN gram r USING (doc_id, h) WHERE r.i > l.i),
+             same AS (SELECT l.doc_id, l.i, gap.q FROM gap JOIN word l USING (doc_id) JOIN word r ON r.doc_id = l.doc_id AND r.i = l.i + gap.q AND r.x = l.x),
+             part AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+             wide AS (SELECT doc_id, q, min(i) AS a, max(i) + q + 1 AS z FROM part GROUP BY doc_id, q, k HAVING max(i) + q + 1 - min(i) >= greatest(12, 2 * q)),
+             run AS (SELECT * FROM wide l WHERE NOT EXISTS (SELECT 1 FROM wide s WHERE s.doc_id = l.doc_id AND s.q < l.q AND s.a <= l.a AND s.z >= l.z)),
+             runs AS (SELECT doc_id, count(*) AS n_runs, arg_max(a, (z - a, -a, -q)) AS start, arg_max(z - a, (z - a, -a, -q)) AS length,
+                             arg_max(q, (z - a, -a, -q)) AS period, string_agg(a || ',' || (z - a) || ',' || q || chr(10), '' ORDER BY a, q) AS lines
+                      FROM run GROUP BY doc_id),
+             gone AS (SELECT DISTINCT doc_id, i FROM run, range(a + q, z) r(i)),
+             kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS c FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+               CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+        FROM t LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op7_grace": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
              g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
