@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tunetrail.llm import (block_anchors, edit_match, grace, line_crf, periodic, raking, simhash, suffix_groups,
-                           toxicity, transcripts, warc)
+from tunetrail.llm import (ball_tree, block_anchors, edit_match, grace, line_crf, periodic, raking, simhash,
+                           suffix_groups, toxicity, transcripts, warc)
 from tunetrail.llm.shared import scratch_folder, stored
 
 
@@ -75,6 +75,10 @@ def op10_edit_match(spark, sf_dir):
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def op12_ball_tree(spark, sf_dir):
+    return ball_tree.best_documents(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def planted_periods(docs):
     """Texts (doc_id, text) where a tenth of the documents get a periodic tail, as the contract of op13 has it."""
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -104,7 +108,7 @@ def op13_periodic(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_line_crf, op3_raking, op4_transcripts, op5_toxicity, op6_block_anchors, op7_grace, op8_warc,
-    op9_suffix_groups, op10_edit_match, op13_periodic)}
+    op9_suffix_groups, op10_edit_match, op12_ball_tree, op13_periodic)}
 
 ORACLES = {
     "op6_block_anchors": r"""
@@ -132,6 +136,21 @@ ORACLES = {
         SELECT doc_id, n AS n_bytes, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
                sha256(unhex(coalesce(t, '') || substr(b, 2 * coalesce(last_byte, 0) + 1))) AS kept_sha256
         FROM n LEFT JOIN head USING (doc_id)""",
+    "op12_ball_tree": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             size AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+             total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM size),
+             tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY ALL),
+             weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+                        FROM tf, total GROUP BY term),
+             item AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+             hit AS (SELECT item_id, doc_id,
+                            CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+                     FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN size USING (doc_id), total GROUP BY ALL)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM hit WHERE score > 0 QUALIFY rank <= 50""",
     "op13_periodic": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                           xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
