@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from tunetrail.llm import (ball_tree, block_anchors, edit_match, grace, line_crf, periodic, raking, simhash,
-                           suffix_groups, toxicity, transcripts, warc)
+from tunetrail.llm import (ball_tree, block_anchors, circulant, edit_match, grace, line_crf, periodic, raking,
+                           simhash, suffix_groups, toxicity, transcripts, warc)
 from tunetrail.llm.shared import scratch_folder, stored
 
 
@@ -75,6 +75,10 @@ def op10_edit_match(spark, sf_dir):
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def op11_circulant(spark, sf_dir):
+    return circulant.minhash_groups(_texts(spark, sf_dir))
+
+
 def op12_ball_tree(spark, sf_dir):
     return ball_tree.best_documents(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -108,7 +112,7 @@ def op13_periodic(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_line_crf, op3_raking, op4_transcripts, op5_toxicity, op6_block_anchors, op7_grace, op8_warc,
-    op9_suffix_groups, op10_edit_match, op12_ball_tree, op13_periodic)}
+    op9_suffix_groups, op10_edit_match, op11_circulant, op12_ball_tree, op13_periodic)}
 
 ORACLES = {
     "op6_block_anchors": r"""
@@ -136,6 +140,19 @@ ORACLES = {
         SELECT doc_id, n AS n_bytes, CAST(coalesce(lost, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
                sha256(unhex(coalesce(t, '') || substr(b, 2 * coalesce(last_byte, 0) + 1))) AS kept_sha256
         FROM n LEFT JOIN head USING (doc_id)""",
+    "op11_circulant": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x20\x09-\x0D]+') AS w FROM documents),
+             shingle AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h
+                         FROM d, range(1, greatest(len(w) - 4, least(len(w), 1)) + 1) t(i)),
+             size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+             common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingle a JOIN shingle b USING (h)
+                        WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+             link AS (SELECT u, v FROM common JOIN size a ON a.doc_id = u JOIN size b ON b.doc_id = v WHERE 100 * c >= 85 * (a.n + b.n - c)),
+             reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, v FROM reach JOIN link ON u = other),
+             root AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM root LEFT JOIN size USING (doc_id)""",
     "op12_ball_tree": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
