@@ -6,9 +6,11 @@ the shingles after the circle is turned by k. Coordinates are banded; documents
 are candidates, and a candidate is linked only if the full sets reach the similarity.
 
 Equal sets are one node. Links need to span the same groups as all links, so a bucket is not
-expanded into pairs: each node is first compared with the least node it shares a bucket with, and
-only buckets that then still hold several groups are looked at again, small ones pair by pair
-between groups, large ones against a growing number of pivots, until none is left.
+expanded into pairs: each node is first compared with the least node it shares a bucket with. The
+nodes of buckets that then still hold several groups meet again under each of their rarest
+shingles, of which similar sets have one in common (prefix filter, with the places of the common
+shingle). Few nodes under one shingle are compared pair by pair between groups, many against a
+growing number of pivots, until no shingle holds several groups.
 """
 
 import functools
@@ -16,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunetrail.llm.components import components
@@ -27,10 +29,10 @@ from tunetrail.llm.shared import (binary_values, joined, mix, prefix_sums, slice
 SHINGLE, PERCENT = 5, 85
 #: Bands and rows of a band: a pair at 85 % shares no band with probability (1 - 0.85^6)^40 = 6e-9.
 BANDS, ROWS = 40, 6
-#: Nodes of a bucket that are compared pair by pair, pivots of a larger one in the first round.
-SMALL, PIVOTS = 16, 16
+#: Nodes under a shingle that are compared pair by pair, pivots of more in the first round.
+SMALL, PIVOTS = 16, 4
 #: Members that meet one copy of their pivot's text.
-FAN = 1024
+FAN = 64
 #: Bytes of texts, shingles hashed at once.
 PIECE, BLOCK = 1 << 18, 1 << 15
 LAST = np.uint64(2**64 - 1)
@@ -141,57 +143,112 @@ def _confirmed(batches, shingle, percent):
                                           pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
 
 
-def _links(signed: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The stored pairs (pivot, node) whose full sets are similar, as (u, v).
+def _links(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The stored pairs (pivot, node) whose full sets are similar, as (u, v); texts are (node, text).
 
     Every block of a pivot's nodes gets its own copy of the pivot's text, so no task gets all of a pivot.
     """
-    spark = signed.sparkSession
     blocks = stored(pairs.groupBy("pivot").agg(F.ceil(F.count("node") / FAN).cast("int").alias("blocks")), "blocks")
     members = pairs.join(blocks, "pivot").select(
         "pivot", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("salt"), F.lit(1).alias("role"), "node")
     heads = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"),
                           F.lit(0).alias("role"), F.col("pivot").alias("node"))
-    texts = signed.select(F.col("row").alias("node"), "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (members.unionByName(heads).join(texts, "node").select("pivot", "salt", "role", "node", "text")
              .repartition(parts, "pivot", "salt").sortWithinPartitions("pivot", "salt", "role"))
     part = functools.partial(_confirmed, shingle=shingle, percent=percent)
     return stored(dealt.mapInArrow(part, "u long, v long"), "links")
 
 
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (.., node) with the label of their group so far, stored."""
+    labels = components(links).withColumnRenamed("u", "node")
+    return stored(members.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labelled")
+
+
+def _open(labelled: DataFrame, *more) -> DataFrame:
+    """Keys whose members are of several groups, stored, with their number of members."""
+    return stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                              F.count("node").alias("size"), *more)
+                  .where("low < high").drop("low", "high"), "open")
+
+
+def _exploded(batches, shingle):
+    """Rows (node, n, code): the shingles of each text."""
+    for batch in batches:
+        nodes = batch.column(0).to_numpy()
+        texts = [t or b"" for t in binary_values(batch.column(1))]
+        for a, b in slices(texts, PIECE):
+            sets = shingle_sets(texts[a:b], shingle)
+            sizes = np.array([len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(nodes[a:b], sizes)), pa.array(np.repeat(sizes, sizes)),
+                 pa.array(np.concatenate(sets).view(np.int64))], names=["node", "n", "code"])
+
+
+def _prefixes(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Rows (key, node, n, place): the rarest shingles of each text, numbered from the rarest on.
+
+    Similar sets have their first common shingle among the n - ceil(n * percent / 100) + 1 rarest
+    ones of both, whatever the order, if it is the same for all: here frequency among these texts.
+    A shingle of one text only takes a place and no row.
+    """
+    codes = stored(texts.mapInArrow(functools.partial(_exploded, shingle=shingle), "node long, n long, code long"), "codes")
+    common = stored(codes.groupBy("code").agg(F.count("node").alias("df")).where("df > 1"), "common")
+    rows = codes.join(common, "code")
+    own = Window.partitionBy("node")
+    place = F.row_number().over(own.orderBy("df", "code")) + F.col("n") - F.count("code").over(own)
+    limit = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return rows.withColumn("place", place).where(F.col("place") <= limit).select(F.col("code").alias("key"), "node", "n", "place")
+
+
+def _may_be_similar(percent: int, n, place, other_n, other_place):
+    """Whether sets whose first common shingle has these places can reach the similarity."""
+    most = 1 + F.least(n - place, other_n - other_place)
+    return (100 + percent) * most >= percent * (n + other_n)
+
+
 def spanning_links(signed: DataFrame, nodes: DataFrame, shingle: int, percent: int, small: int, pivots: int) -> DataFrame:
     """Links that span the groups of all similar nodes with a bucket in common. Runs jobs."""
     entries = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(
         F.col("row").alias("node"), F.explode("keys").alias("key"))
     entries = stored(entries, "entries")
-    least = stored(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count("node").alias("n"))
-                   .where("n > 1").drop("n"), "least")
+    least = stored(entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count("node").alias("size"))
+                   .where("size > 1").drop("size"), "least")
     members = stored(entries.join(least, "key"), "members")
     tested = stored(members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")), "tested")
-    members = members.select("key", "node")
-    links = _links(signed, tested, shingle, percent)
+    texts = stored(signed.select(F.col("row").alias("node"), "text").join(members.select("node").distinct(), "node"), "texts")
+    links = _links(texts, tested, shingle, percent)
+    labelled = _labelled(members.select("key", "node"), links)
+    opened = _open(labelled)
+    if opened.isEmpty():
+        return links
+    left = labelled.join(opened, "key").select("node").distinct()
+    texts = stored(texts.join(left, "node"), "texts")
+    members = stored(_prefixes(texts, shingle, percent), "prefixes")
     while True:
-        labels = components(links).withColumnRenamed("u", "node")
-        labelled = stored(members.join(labels, "node", "left").select(
-            "key", "node", F.coalesce("root", "node").alias("label")), "labelled")
-        opened = stored(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                                    F.count("node").alias("n")).where("low < high").select("key", "n"), "open")
+        labelled = _labelled(members, links)
+        opened = _open(labelled, F.min("n").alias("shortest"))
         if opened.isEmpty():
             return links
-        rest = stored(labelled.join(opened, "key"), "rest")
-        few, many = rest.where(F.col("n") <= small), stored(rest.where(F.col("n") > small).drop("n"), "many")
+        rest = stored(labelled.join(opened, "key").where(
+            (100 + percent) * (1 + F.col("n") - F.col("place")) >= percent * (F.col("n") + F.col("shortest"))), "rest")
+        few, many = rest.where(F.col("size") <= small), rest.where(F.col("size") > small)
         chosen = stored(many.groupBy("key", F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(pivots)).alias("slot"))
-                        .agg(F.min_by("label", "node").alias("with"), F.min("node").alias("pivot")).drop("slot"), "chosen")
-        other = few.select("key", F.col("node").alias("pivot"), F.col("label").alias("with"))
-        pairs = few.join(other, "key").where("pivot < node AND label <> with").select("pivot", "node").unionByName(
-            many.join(chosen, "key").where("pivot <> node AND label <> with").select(
-                F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")))
+                        .agg(F.min(F.struct("node", "label", "n", "place")).alias("pivot")).select("key", "pivot"), "chosen")
+        other = few.select("key", F.struct("node", "label", "n", "place").alias("pivot")).unionByName(chosen)
+        ordered = (F.col("size") > small) | (F.col("pivot.node") < F.col("node"))
+        pairs = rest.join(other, "key").where(
+            ordered & (F.col("pivot.node") != F.col("node")) & (F.col("pivot.label") != F.col("label"))
+            & _may_be_similar(percent, F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place"))).select(
+                F.least("pivot.node", "node").alias("pivot"), F.greatest("pivot.node", "node").alias("node"))
         pairs = stored(pairs.distinct().join(tested, ["pivot", "node"], "left_anti"), "pairs")
-        links = links.unionByName(_links(signed, pairs, shingle, percent))
         tested = tested.unionByName(pairs.select(*tested.columns))
-        members = many.join(chosen.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        pivots *= 2
+        members = stored(many.join(chosen.select("key", F.col("pivot.node").alias("node")), ["key", "node"], "left_anti")
+                         .select("key", "node", "n", "place"), "members")
+        if not pairs.isEmpty():
+            links = links.unionByName(_links(texts, pairs, shingle, percent))
+        pivots *= 8
 
 
 def minhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE,
