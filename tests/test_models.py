@@ -14,7 +14,8 @@ from tunetrail.plans.training import (compare, fit_sequence_model, fit_skip_tree
                                       prepare_snapshot, sequence_table, wordcloud)
 from tunetrail.plans.queries import QUERIES
 from tunetrail.schema import (GRID_BOOSTED_AUDIO, GRID_BOOSTED_LYRICS, GRID_ELASTIC_AUDIO, GRID_ELASTIC_LYRICS,
-                              GRID_ELASTIC_WORDS, SCALED_AUDIO)
+                              GRID_ELASTIC_WORDS, POINT_BOOSTED_AUDIO, POINT_BOOSTED_LYRICS, POINT_ELASTIC_LYRICS,
+                              SCALED_AUDIO)
 
 
 @pytest.fixture(scope="module")
@@ -211,19 +212,28 @@ def asked(monkeypatch):
 SF = "/root/testdata/sf0.001"
 
 
-def test_queries_tune_all_models_over_the_declared_grids(spark, asked):
+def test_queries_fit_all_models_and_search_the_nine_points(spark, asked):
+    """The queries fit one point of the three large grids, as a search there takes hours; see the README."""
     board = QUERIES["model_scoreboard"](spark, SF).collect()
     assert len(board) == 24 and len({r.model for r in board}) == 6
-    assert asked[:4] == [("elastic", GRID_ELASTIC_LYRICS, 5, None), ("boosted", GRID_BOOSTED_LYRICS, 3, 50),
-                         ("elastic", GRID_ELASTIC_AUDIO, 5, None), ("boosted", GRID_BOOSTED_AUDIO, 3, None)]
+    assert asked[:4] == [("elastic", POINT_ELASTIC_LYRICS, 5, None), ("boosted", POINT_BOOSTED_LYRICS, 3, None),
+                         ("elastic", GRID_ELASTIC_AUDIO, 5, None), ("boosted", POINT_BOOSTED_AUDIO, 3, None)]
     assert [a[0] for a in asked[4:]] == ["network", "network"] and asked[4][1] < asked[5][1]
     del asked[:]
     for name in ("model_coefficients", "model_importances", "wordcloud"):
         QUERIES[name](spark, SF)
-    assert asked == [("elastic", GRID_ELASTIC_LYRICS, 5, None), ("boosted", GRID_BOOSTED_AUDIO, 3, None),
+    assert asked == [("elastic", POINT_ELASTIC_LYRICS, 5, None), ("boosted", POINT_BOOSTED_AUDIO, 3, None),
                      ("elastic", GRID_ELASTIC_WORDS, 5, None)]
 
 
+def test_the_library_searches_the_declared_grids_and_the_points_are_theirs():
+    wanted = {"elastic net + lyrics": (GRID_ELASTIC_LYRICS, 5, None), "boosted trees + lyrics": (GRID_BOOSTED_LYRICS, 3, 50),
+              "elastic net": (GRID_ELASTIC_AUDIO, 5, None), "boosted trees": (GRID_BOOSTED_AUDIO, 3, None)}
+    assert {n: (m[2], m[3], m[5]) for n, m in training.SNAPSHOT_MODELS.items()} == wanted
+    for name, model in training.QUICK_MODELS.items():
+        assert all(v in wanted[name][0][k] for k, values in model[2].items() for v in values)
+
+
 def test_sequence_queries_use_the_defaults_and_real_lyrics(spark, asked, monkeypatch):
     limits = []
     confident = evaluate.confident_skips
@@ -233,3 +243,26 @@ def test_sequence_queries_use_the_defaults_and_real_lyrics(spark, asked, monkeyp
         QUERIES[name](spark, SF).collect()
     assert [a[2:] for a in asked] == [((64,), 50)] * 2 and limits == [0.85] * 2
     assert asked[1][1] - asked[0][1] > 5 * 3
+
+
+def test_first_trees_equal_a_fit_with_fewer_trees_and_nested_scores_equal_separate_fits(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from tunetrail.operators import models
+
+    rows = [(i, float(i % 7), float(i * 13 % 11), float((i % 7 + i * 13 % 11 + i % 3) > 9)) for i in range(200)]
+    train = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.createDataFrame(rows, "play_id long, a double, b double, skipped double")).coalesce(1).cache()
+    base = GBTClassifier(labelCol="skipped", seed=3, maxDepth=2)
+    long = base.fit(train, {base.maxIter: 6})
+    short = base.fit(train, {base.maxIter: 3})
+    shown = lambda m: [tuple(r.probability) for r in m.transform(train).orderBy("play_id").collect()]
+    assert shown(models.first_trees(long, 3)) == shown(short) != shown(long)
+    to_param = {"n_estimators": lambda v: (base.maxIter, v), "max_depth": lambda v: (base.maxDepth, v)}
+    points = models.grid_points({"n_estimators": [2, 5], "max_depth": [1, 2]})
+    nested = models.nested_scores(base, points, to_param, train, "skipped", 2, "accuracy", "play_id", 42)
+    dealt, evaluator = models._with_fold(train, "play_id", 2, 42), models._evaluator("accuracy", "skipped")
+    apart = [sum(evaluator.evaluate(base.fit(dealt.where(f"_fold <> {k}"), dict(to_param[n](v) for n, v in p.items()))
+                                    .transform(dealt.where(f"_fold = {k}"))) for k in range(2)) / 2 for p in points]
+    assert nested == pytest.approx(apart)

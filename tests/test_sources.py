@@ -1,4 +1,6 @@
 import os
+import random
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from tunetrail.functions.genres import parse_list
 from tunetrail.plans.clean import build_clean_plays, unique_library, unique_lyrics
 from tunetrail.plans.dashboard import export_dashboard, top_lists
 from tunetrail.schema import AUDIO_CORE
-from tunetrail.sources.pages import extract_page_lyrics, unescape
+from tunetrail.sources.pages import content_lyrics, extract_page_lyrics, unescape
 from tunetrail.sources.readers import canonical_name, enrichment_worklist, read_library, read_lyrics, read_plays
 from tunetrail.sources.sinks import write_tables
 
@@ -196,3 +198,83 @@ def test_repeated_lookup_keys_and_table_before_rule(spark):
                                   "artist string, priority int, title string, negate boolean, genres array<string>")
     assert [r.genres for r in impute_genres(plays, [table], rules).collect()] == ["['a']"]
     assert [r.genres for r in impute_genres(plays, [], rules).collect()] == ["['rule']"]
+
+
+class Node:
+    def __init__(self, tag, attrs=()):
+        self.tag, self.attrs, self.children = tag, dict(attrs), []
+
+    def texts(self):
+        return [t for c in self.children for t in ([c] if isinstance(c, str) else c.texts())]
+
+    def count(self, tag):
+        return sum((c.tag == tag) + c.count(tag) for c in self.children if not isinstance(c, str))
+
+
+class Dom(HTMLParser):
+    """A small document tree: an end tag closes the innermost element of its name."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=False)
+        self.stack, self.first = [Node("root")], None
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = Node(tag, attrs)
+        self.stack[-1].children.append(node)
+        if tag == "div" and node.attrs.get("class") == "text" and self.first is None:
+            self.first = node
+        if tag not in ("br", "hr"):
+            self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag == tag:
+                del self.stack[k:]
+                break
+
+    def handle_data(self, data):
+        self.stack[-1].children.append(data)
+
+    def lyrics(self):
+        if self.first is None or not self.first.children:
+            return None
+        plain = [c for c in self.first.children if not isinstance(c, str) and c.tag == "div" and "class" not in c.attrs]
+        if len(plain) >= 2:
+            return "\n".join(plain[1].texts()).strip()
+        best = max(self.first.children, key=lambda c: 0 if isinstance(c, str) else c.count("br"))
+        return (best if isinstance(best, str) else "".join(best.texts())).strip() or None
+
+
+def random_page(rng, depth=0):
+    out = ""
+    for _ in range(rng.randint(0, 4)):
+        kind = rng.choice(["text", "br", "div", "div", "p", "open", "b", "space"])
+        if kind == "text":
+            out += rng.choice(["one", "two words", "é"])
+        elif kind == "br":
+            out += rng.choice(["<br>", "<hr>"])
+        elif kind == "space":
+            out += " \n"
+        elif depth < 4:
+            tag = "p" if kind == "open" else kind
+            attrs = rng.choice(["", "", ' class="note"', ' id="x"', ' class="text"' if depth < 2 else ""])
+            out += f"<{tag}{attrs}>{random_page(rng, depth + 1)}" + ("" if kind == "open" else f"</{tag}>")
+    return out
+
+
+def test_content_lyrics_equal_a_document_tree(spark):
+    rng = random.Random(8)
+    pages = [f'<html><body>{random_page(rng)}<div class="text">{random_page(rng)}</div>{random_page(rng)}</body></html>' for _ in range(300)]
+    pages += ["", "plain", '<div class="text">', '<div class="text">open <br> end']
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = [r.lyrics for r in content_lyrics(df, "text").orderBy("page_id").collect()]
+    assert got == [Dom(p).lyrics() for p in pages]
+    assert content_lyrics(spark.createDataFrame([(None,)], "html string"), "text").first().lyrics is None
+
+
+def test_nested_blocks_stay_whole(spark):
+    page = '<div class="content"><div>head</div><div>l1<br>l2<div class="note">n<br>n<br>n<br></div>l3</div></div>'
+    got = content_lyrics(spark.createDataFrame([(page,)], "html string"), "content").first().lyrics
+    assert got == "l1\nl2\nn\nn\nn\nl3"

@@ -170,25 +170,58 @@ def frequent_only(counts, q=0.25, col="play_count"):
     return counts.where(F.col(col) > count_quantile(counts, q, col).scalar())
 
 
+def _complete_corr(data, cols):
+    """Pearson correlations of columns without NULL, by one aggregate of moments about the mean."""
+    pairs = list(combinations(cols, 2))
+    varies = lambda c: F.when(F.max(c) > F.min(c), 1.0)
+    pearson = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    sums = data.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs], *[varies(c).alias(f"{c}|{c}") for c in cols])
+    cell = lambda a, b, name: F.struct(F.lit(a).alias("Variable1"), F.lit(b).alias("Variable2"), F.col(name).alias("Correlation"))
+    cells = [cell(a, b, f"{a}|{b}") for a, b in pairs] + [cell(b, a, f"{a}|{b}") for a, b in pairs]
+    return sums.select(F.inline(F.array(*cells, *[cell(c, c, f"{c}|{c}") for c in cols])))
+
+
 def corr_long(df, cols=CORRELATED, deletion="pairwise", digits=2):
     """Pearson correlation of every pair of columns, as (Variable1, Variable2, Correlation).
 
-    `pairwise` uses each pair's complete rows, `listwise` only rows complete in all columns. One
-    lazy aggregate works out every pair; a constant column correlates with nothing (NULL).
+    `pairwise` uses each pair's complete rows, `listwise` only rows complete in all columns, where one
+    aggregate of engine moments shares the deviations. Pair-wise, one aggregate finds the means; a second one sums values less their mean, so that a large mean takes
+    no digits, and their products, for each pattern of NULLs; pairs add up the patterns that have
+    both columns. A constant column correlates with nothing (NULL).
     """
     data = df.select(*[to_number(F.col(c)).alias(c) for c in cols])
     if deletion == "listwise":
-        data = data.dropna()
-    pairs = list(combinations(cols, 2))
-    varies = lambda c: F.when(F.max(c) > F.min(c), 1.0)
-    # Moments about the mean, each over the rows complete in both columns; without a NULL one variance serves all pairs.
-    known = lambda a, b: F.col(a) if deletion == "listwise" else F.when(F.col(b).isNotNull(), F.col(a))
-    pearson = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(known(a, b)) * F.stddev_pop(known(b, a)))
-    sums = data.agg(*[pearson(a, b).alias(f"{a}|{b}") for a, b in pairs], *[varies(c).alias(f"{c}|{c}") for c in cols])
-    cell = lambda a, b, name: F.struct(F.lit(a).alias("Variable1"), F.lit(b).alias("Variable2"), F.col(name).alias("Correlation"))
-    cells = [cell(a, b, f"{a}|{b}") for a, b in pairs] + [cell(b, a, f"{a}|{b}") for a, b in pairs]
-    table = sums.select(F.inline(F.array(*cells, *[cell(c, c, f"{c}|{c}") for c in cols])))
-    return table.withColumn("Correlation", F.round("Correlation", digits))
+        return _complete_corr(data.dropna(), cols).withColumn("Correlation", F.round("Correlation", digits))
+    places = range(len(cols))
+    pairs = [(i, j) for i in places for j in places if i <= j]
+    data = data.toDF(*[f"v{k}" for k in places])
+    pivot = data.agg(F.array(*[F.avg(f"v{k}") for k in places]).alias("pivot")).scalar()
+    moved = data.withColumn("pivot", pivot).select(*[(F.col(f"v{k}") - F.col("pivot")[k]).alias(f"v{k}") for k in places])
+    known = F.concat(*[F.col(f"v{k}").isNotNull().cast("int").cast("string") for k in places])
+    sums = moved.groupBy(known.alias("known")).agg(
+        row_count().alias("n"), *[F.sum(f"v{k}").alias(f"s{k}") for k in places],
+        *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"p{i}_{j}") for i, j in pairs])
+    place = {pair: at for at, pair in enumerate(pairs)}
+    packed = sums.select("n", F.array(*[f"s{k}" for k in places]).alias("s"), F.array(*[f"p{i}_{j}" for i, j in pairs]).alias("p"))
+    entries = F.array(*[F.struct(*(F.lit(x).alias(n) for n, x in zip("ijabc", (i, j, place[i, j], place[i, i], place[j, j]))))
+                        for i, j in pairs])
+    both = packed.withColumn("e", F.explode(entries)).select(
+        "e.i", "e.j", "n", F.col("p")[F.col("e.a")].alias("xy"), F.col("s")[F.col("e.i")].alias("x"),
+        F.col("s")[F.col("e.j")].alias("y"), F.col("p")[F.col("e.b")].alias("xx"), F.col("p")[F.col("e.c")].alias("yy"))
+    # A pattern without one of the columns has no product of the two and takes no part.
+    total = both.where("xy IS NOT NULL").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+    def spread(x, xx):
+        # What rounding alone leaves of equal values is no variance.
+        square = F.col("n") * F.col(xx) - F.col(x) * F.col(x)
+        return F.when(square > 1e-12 * F.col("n") * F.col(xx), F.sqrt(square))
+
+    value = F.try_divide(F.col("n") * F.col("xy") - F.col("x") * F.col("y"), spread("x", "xx") * spread("y", "yy"))
+    found = total.withColumn("r", F.when(F.col("i") == F.col("j"), F.when(value.isNotNull(), 1.0)).otherwise(value))
+    # Every pair has its row, also without data.
+    every = df.sparkSession.createDataFrame([(i, j, cols[x], cols[y]) for i, j in pairs for x, y in {(i, j), (j, i)}],
+                                            "i int, j int, Variable1 string, Variable2 string")
+    return every.join(found, ["i", "j"], "left").select("Variable1", "Variable2", F.round("r", digits).alias("Correlation"))
 
 
 def corr_matrix(df, cols=CORRELATED):

@@ -442,6 +442,8 @@ def oracles():
     sql["plain_lyrics"] = "SELECT doc_id AS track_id, strip_accents(text) AS plain FROM documents"
     sql["repaired_lyrics"] = "SELECT doc_id AS track_id, md5(text) AS repaired, md5(text) AS untouched FROM documents"
     sql["page_lyrics"] = page_text()
+    sql["page_content_lyrics"] = """SELECT page_id, CASE WHEN page_id % 2 = 0
+        THEN concat_ws(chr(10), page_id, 'line', 'in', 'deep', 'tail') ELSE page_id || 'aboldz' END AS lyrics FROM pages"""
     entities = lambda t: f"replace(replace(replace(replace({t}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
     sql["page_lyrics_plain_first"] = f"""WITH blocks AS ({page_text()}),
         bodies AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),

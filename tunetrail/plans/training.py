@@ -3,10 +3,10 @@
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tunetrail.functions.genres import dominant_genre
+from tunetrail.functions.genres import dominant_genre, genre_flags
 from tunetrail.functions.values import bools_to_int, numeric_columns, to_flag
 from tunetrail.operators.evaluate import classification_metrics, compare_models, wordcloud_table
-from tunetrail.operators.features import genre_onehot, tod_dummies, with_class_weight, zscore_apply, zscore_fit
+from tunetrail.operators.features import tod_dummies, with_class_weight, zscore_apply, zscore_fit
 from tunetrail.operators.lyrics import counted_lyrics, tfidf_model, tokens_of, vocabulary
 from tunetrail.operators.models import fit_boosted, fit_elastic_net, fit_sequence, fit_tree, flatten_windows
 from tunetrail.operators.sessions import sequence_windows, sessionize
@@ -14,7 +14,7 @@ from tunetrail.operators.split import stratified_split, time_split
 from tunetrail.operators.stats import top_genres
 from tunetrail.plans.features import snapshot_features, tree_features
 from tunetrail.schema import (GRID_BOOSTED_AUDIO, GRID_BOOSTED_LYRICS, GRID_ELASTIC_AUDIO, GRID_ELASTIC_LYRICS,
-                              GRID_ELASTIC_WORDS)
+                              GRID_ELASTIC_WORDS, POINT_BOOSTED_AUDIO, POINT_BOOSTED_LYRICS, POINT_ELASTIC_LYRICS)
 from tunetrail.session import checkpoint
 
 # The four snapshot models: name → (vector column, kind, grid, folds, metric, sampled grid points).
@@ -25,6 +25,13 @@ SNAPSHOT_MODELS = {
     "boosted trees": ("audio_only", "boosted", GRID_BOOSTED_AUDIO, 3, "accuracy", None),
 }
 
+# The same models where a search takes too long: only the nine points of the audio-only elastic net are searched.
+QUICK_MODELS = SNAPSHOT_MODELS | {
+    "elastic net + lyrics": ("with_lyrics", "elastic", POINT_ELASTIC_LYRICS, 5, "roc_auc", None),
+    "boosted trees + lyrics": ("with_lyrics", "boosted", POINT_BOOSTED_LYRICS, 3, "roc_auc", None),
+    "boosted trees": ("audio_only", "boosted", POINT_BOOSTED_AUDIO, 3, "accuracy", None),
+}
+
 
 def prepare_snapshot(plays, lyrics=None, stop_words=(), fit_on="train", seed=42, **limits):
     """Split, features and class weights for all model fits.
@@ -69,8 +76,9 @@ def sequence_table(plays, gap_minutes=20, min_plays=3, n_steps=5, n_genres=20, l
     are flags too. With `lyric_vectors` (key, lyric_features), one row per track, the steps also
     hold the vector of their track as an array; plays of other tracks are left out.
     """
-    flagged, genre_names = genre_onehot(tod_dummies(zscore_apply(plays, zscore_fit(plays))), n_genres)
+    plays = checkpoint(plays)
     names = [g.genre for g in top_genres(plays, n_genres).collect()]
+    flagged = genre_flags(tod_dummies(zscore_apply(plays, zscore_fit(plays))), names)
     flags = {"explicit": to_flag(F.col("explicit"))} if "explicit" in plays.columns else {}
     tagged = bools_to_int(flagged.withColumns(flags | {"primary_genre": dominant_genre(F.col("genres_list"), names)}))
     features = numeric_columns(tagged, exclude)

@@ -176,3 +176,9 @@ GRID_BOOSTED_AUDIO = {
     "max_depth": [3, 5, 7],
     "learning_rate": [0.01, 0.1],
 }
+
+# One point of each grid, for fits without a search.
+POINT_ELASTIC_LYRICS = {"l1_ratio": [0.5], "C": [10.0 ** (-4 + 8 * 4 / 9)]}
+POINT_BOOSTED_LYRICS = {"n_estimators": [100], "learning_rate": [0.1], "max_depth": [3], "min_child_weight": [3],
+                        "subsample": [0.8], "colsample_bytree": [0.6]}
+POINT_BOOSTED_AUDIO = {"n_estimators": [100], "max_depth": [3], "learning_rate": [0.1]}
