@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tunetrail.operators.sessions import sequence_windows, sessionize, with_segments
 
@@ -100,6 +101,29 @@ def test_segments_split_a_busy_hour(spark):
     assert max(sizes) <= 60 and len(sizes) >= 8
 
 
+@pytest.mark.parametrize("name", ["long", "string"])
+def test_plays_of_one_instant_are_cut(spark, name):
+    """A listener whose plays all have one time, and a gap of a day before and after it."""
+    rows = [(i, 1, START, i % 2, float(i)) for i in range(1000)]
+    rows += [(1000 + i, 1, START + timedelta(days=d, minutes=i), 0, 0.5) for d in (-1, 1) for i in range(8)]
+    plays = plays_of(spark, rows)
+    if name == "string":
+        plays = plays.withColumn("play_id", F.format_string("play-%06d", "play_id"))
+    segmented, heavy = with_segments(plays, hot_rows=50)
+    sizes = [r["count"] for r in segmented.groupBy("_segment").count().collect()]
+    assert heavy and len(sizes) >= 10 and max(sizes) <= 250
+    edges = segmented.groupBy("_segment").agg(F.min(F.struct("ts", "play_id")).alias("low"),
+                                              F.max(F.struct("ts", "play_id")).alias("high")).orderBy("_segment").collect()
+    assert all(tuple(a.high) < tuple(b.low) for a, b in zip(edges, edges[1:]))
+    got = sessionize(plays, 20, 3, hot_rows=50)
+    plain = sessionize(plays, 20, 3, hot_rows=None)
+    columns = ["play_id", "session_no", "session_plays", "diff_minutes"]
+    assert sorted(got.select(*columns).collect()) == sorted(plain.select(*columns).collect())
+    seq = ["play_id", "seq", "target"]
+    assert sorted(sequence_windows(got, ["energy"]).select(*seq).collect()) == \
+        sorted(sequence_windows(plain, ["energy"]).select(*seq).collect())
+
+
 def test_empty_input(spark):
     sessions = sessionize(plays_of(spark, []), 20, 3)
     assert sessions.count() == 0

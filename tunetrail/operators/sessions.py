@@ -2,7 +2,7 @@
 
 Plays are shuffled once, by (listener, segment). An ordinary listener is one segment. A listener
 with more than `hot_rows` plays is cut into segments of about that many plays, wherever these
-fall in time, so that no task holds a whole heavy history. What crosses a segment edge (previous
+fall in time, plays of one instant included, so that no task holds a whole heavy history. What crosses a segment edge (previous
 time, session number, session size, the last few plays) is carried by a small table with one row
 per segment. Both ways give the same sessions.
 
@@ -23,34 +23,60 @@ MICROS = "_micros"
 BACK = "_back"
 
 
-def _hot_minutes(timed, by, hot_rows):
-    """(_by, _minute, _base, _parts) of heavy listeners: first segment of a minute, and its parts.
+def _hot_minutes(timed, by, key, hot_rows):
+    """(_by, _minute, _base, _cuts) of heavy listeners: first segment of a minute, and where it is cut.
 
-    Plays are counted per listener, then per minute for the heavy ones; a minute with more than
-    `hot_rows` plays is cut evenly.
+    Plays are counted per listener, then per minute for the heavy ones. A minute with more than
+    `hot_rows` plays is cut at order statistics of (time, key), so that plays of one instant are
+    cut as well: `_cuts` holds the first (time, key) of each part.
     """
-    heavy = timed.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    minutes = (timed.join(heavy, F.col(by).eqNullSafe(F.col("_by")), "left_semi")
-               .groupBy(F.col(by).alias("_by"), F.floor(F.col(MICROS) / MINUTE).alias("_minute")).agg(F.count(F.lit(1)).alias("_n")))
-    before = F.sum("_n").over(Window.partitionBy("_by").orderBy("_minute")) - F.col("_n")
     size = F.lit(max(1, hot_rows))
-    return minutes.select("_by", "_minute", F.floor(before / size).alias("_base"), F.ceil(F.col("_n") / size).alias("_parts"))
+    heavy = timed.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    of_heavy = (timed.join(heavy, F.col(by).eqNullSafe(F.col("_by")), "left_semi")
+                .withColumn("_minute", F.floor(F.col(MICROS) / MINUTE)))
+    minutes = checkpoint(of_heavy.groupBy(F.col(by).alias("_by"), "_minute").agg(F.count(F.lit(1)).alias("_n")))
+    busy = minutes.where(F.col("_n") > size)
+    parts = busy.agg(F.sum(F.ceil(F.col("_n") / size))).first()[0]
+    if parts:
+        inside = of_heavy.join(busy.withColumnRenamed("_minute", "_busy"), F.col(by).eqNullSafe(F.col("_by"))
+                               & (F.col("_minute") == F.col("_busy")), "left_semi")
+        ranges = inside.repartitionByRange(parts, by, MICROS, key).groupBy(
+            F.spark_partition_id().alias("_part"), F.col(by).alias("_of"), F.col("_minute").alias("_at")).agg(
+            F.min(F.struct(F.col(MICROS).alias("at"), F.col(key).alias("key"))).alias("_cut"))
+        cuts = ranges.groupBy("_of", "_at").agg(F.sort_array(F.collect_list("_cut")).alias("_cuts"))
+        minutes = minutes.join(cuts, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_minute") == F.col("_at")), "left")
+    else:
+        minutes = minutes.withColumn("_cuts", F.array().cast("array<int>"))
+    before = Window.partitionBy("_by").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    plays, cut = F.coalesce(F.sum("_n").over(before), F.lit(0)), F.coalesce(F.sum(_length("_cuts")).over(before), F.lit(0))
+    return minutes.select("_by", "_minute", (F.floor(plays / size) + cut).alias("_base"), "_cuts"), bool(parts)
+
+
+def _length(array):
+    """Entries of an array, 0 for NULL."""
+    return F.coalesce(F.array_size(array), F.lit(0))
 
 
-def with_segments(plays, by="user_id", ts="ts", hot_rows=HOT_ROWS):
-    """Timed plays with their segment: -1, or a number that grows with time for heavy listeners.
+def with_segments(plays, by="user_id", ts="ts", hot_rows=HOT_ROWS, key="play_id"):
+    """Timed plays with their segment: -1, or a number that grows with (time, key) for heavy listeners.
 
-    Returns (plays, whether there is a heavy listener). Runs a job that counts plays per listener.
+    Returns (plays, whether there is a heavy listener). Runs a job that counts plays per listener,
+    with heavy ones also their minutes and the cuts of busy minutes. Only plays of one listener
+    that agree in time and key always share a segment. Cuts come from Spark's range sampling: they
+    decide how evenly the work is spread, not any result.
     """
     timed = plays.withColumn(MICROS, micros(plays, ts)).where(F.col(MICROS).isNotNull())
-    hot = None if hot_rows is None else checkpoint(_hot_minutes(timed.select(by, MICROS), by, hot_rows))
-    if hot is None or hot.isEmpty():
+    if hot_rows is not None:
+        hot, busy = _hot_minutes(timed.select(by, MICROS, key), by, key, hot_rows)
+        hot = checkpoint(hot)
+    if hot_rows is None or hot.isEmpty():
         return timed.withColumn(SEGMENT, F.lit(-1).cast("bigint")), False
     minute = F.floor(F.col(MICROS) / MINUTE)
-    part = F.floor((F.col(MICROS) - minute * MINUTE) * F.col("_parts") / MINUTE)
     found = timed.join(hot, F.col(by).eqNullSafe(F.col("_by")) & (minute == F.col("_minute")), "left")
+    at = F.struct(F.col(MICROS).alias("at"), F.col(key).alias("key"))
+    part = F.greatest(_length(F.filter("_cuts", lambda cut: cut <= at)) - 1, F.lit(0)) if busy else F.lit(0)
     return (found.withColumn(SEGMENT, F.coalesce(F.col("_base") + part, F.lit(-1)).cast("bigint"))
-            .drop("_by", "_minute", "_base", "_parts")), True
+            .drop("_by", "_minute", "_base", "_cuts")), True
 
 
 def sessionize(plays, gap_minutes=20, min_plays=3, by="user_id", ts="ts", key="play_id", hot_rows=HOT_ROWS):
@@ -62,7 +88,7 @@ def sessionize(plays, gap_minutes=20, min_plays=3, by="user_id", ts="ts", key="p
     """
     gap = int(gap_minutes * 60_000_000)
     order = Window.partitionBy(by, SEGMENT).orderBy(ts, key)
-    segmented, heavy = with_segments(plays, by, ts, hot_rows)
+    segmented, heavy = with_segments(plays, by, ts, hot_rows, key)
     runs = (segmented
             .withColumn("_wait", F.col(MICROS) - F.lag(MICROS).over(order))
             .withColumn("_run", F.sum((F.coalesce("_wait", F.lit(0)) > gap).cast("int")).over(
