@@ -63,3 +63,19 @@ def test_prefixed_text_keys_are_narrowed_before_ranking(spark):
         split._narrow = original
     assert seen[-1][2] <= 100 < seen[0][2]
     assert found[0][0][1] == sorted(r.k for r in df.collect())[1499]
+
+
+@pytest.mark.parametrize("rank_rows", [0, 1_000_000])
+def test_tied_rows_are_cut_by_hash_and_equal_rows_by_count(spark, rank_rows, monkeypatch):
+    """One key for all rows, some of them equal throughout: exact counts, no row lost, no window over them."""
+    monkeypatch.setattr(split, "PORTION", 7)
+    rows = [("same", 0, 5)] * 90 + [("same", 0, i) for i in range(6, 16)] + [("same", 1, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "play_id string, skipped int, i int")
+    out = stratified_split(df, rank_rows=rank_rows)
+    got = out.collect()
+    assert sorted((r.play_id, r.skipped, r.i) for r in got) == sorted(rows)
+    assert {(y, s): sum(r.skipped == y and r.split == s for r in got) for y in (0, 1) for s in ("train", "test")} == {
+        (0, "train"): 80, (0, "test"): 20, (1, "train"): 32, (1, "test"): 8}
+    again = stratified_split(df.repartition(5), rank_rows=rank_rows).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -8,12 +8,14 @@ from pyspark.sql import Window, functions as F, types as T
 from tunetrail.functions.time import micros
 
 RANK_ROWS = 1_000_000
+#: Equal rows that one output row of a count stands for.
+PORTION = 100_000
 
 
-def rank_cut(df, order, levels, fraction, by=None, rank_rows=RANK_ROWS):
+def rank_cut(df, order, levels, fraction, by=None, rank_rows=RANK_ROWS, needs=None):
     """{group: (order key at the cut, rows of that key before the cut, rows of that key)}.
 
-    The cut is row number floor(fraction · rows of the group). `levels` are columns that coarsen
+    The cut is row number floor(fraction · rows of the group), or that of `needs` by group. `levels` are columns that coarsen
     the order, each finer than the one before. For each level one job counts rows per value
     (combined on the map side) and one row per group comes back: the value that holds the cut.
     The next job reads that value only. Where more than `rank_rows` keys are left after all
@@ -21,7 +23,7 @@ def rank_cut(df, order, levels, fraction, by=None, rank_rows=RANK_ROWS):
     ranked. Groups whose cut is row 0 are left out.
     """
     rows = df.withColumn("_group", F.lit(0) if by is None else F.col(by)).where(F.col("_group").isNotNull())
-    needs, left = None, None
+    left = None
     for level in levels:
         rows, needs, left = _narrow(rows, F.col(level), needs, fraction)
         if not needs:
@@ -70,11 +72,12 @@ def _before(columns, cut):
     return first < cut[0] if not rest else (first < cut[0]) | ((first == cut[0]) & _before(rest, cut[1:]))
 
 
-def _labelled(df, label, keys, cuts):
+def _labelled(df, label, keys, cuts, rank_rows=RANK_ROWS):
     """Add `split`: train before each group's cut; of rows that share the key at a cut, as many as it needs.
 
-    Where keys repeat at a cut, those rows alone are numbered; they are in no order, so which of
-    them are train follows their other columns.
+    Where keys repeat at a cut, those rows are in no order of their own: they follow a hash of all
+    their columns, with a cut of its own. Of rows that are equal throughout, copies are counted and
+    written again, as many as the cut needs for train.
     """
     of = lambda group: F.lit(True) if label is None else F.col(label) == group
     either = lambda conditions: reduce(lambda a, b: a | b, conditions, F.lit(False))
@@ -87,11 +90,40 @@ def _labelled(df, label, keys, cuts):
     if not shared:
         return df.withColumn("split", named(plain))
     tied = F.coalesce(either([at[g] for g in shared]), F.lit(False))
-    quota = F.coalesce(*[F.when(of(g), F.lit(cuts[g][1])) for g in shared])
-    order = Window.partitionBy(F.lit(0) if label is None else F.col(label)).orderBy(F.xxhash64(*df.columns))
-    numbered = df.where(tied).withColumn("_number", F.row_number().over(order))
-    return df.where(~tied).withColumn("split", named(plain)).unionByName(
-        numbered.withColumn("split", named(F.col("_number") <= quota)).drop("_number"))
+    out = df.where(~tied).withColumn("split", named(plain))
+
+    digest = F.xxhash64(*df.columns)
+    ties = df.where(tied).select(*([] if label is None else [label]), digest.alias("_tie"))
+    ties = ties.withColumns({f"_range{bits}": F.shiftright("_tie", bits) for bits in (40, 20)})
+    inner = rank_cut(ties, ["_tie"], ["_range40", "_range20", "_tie"], None, label, rank_rows,
+                     {g: cuts[g][1] for g in shared})
+    first = either([of(g) & (digest < tie) for g, ((tie,), _, _) in inner.items()])
+    equal = {g: of(g) & (digest == tie) for g, ((tie,), _, _) in inner.items()}
+    cut_again = [g for g, (_, quota, copies) in inner.items() if quota < copies]
+    whole = first | either([equal[g] for g in inner if g not in cut_again])
+    copied = either([equal[g] for g in cut_again])
+    out = out.unionByName(df.where(tied & ~copied).withColumn("split", named(whole)))
+    if not cut_again:
+        return out
+    quota = F.coalesce(*[F.when(of(g), F.lit(inner[g][1])) for g in cut_again])
+    return out.unionByName(_copies(df.where(tied & copied), label, quota))
+
+
+def _copies(rows, label, quota):
+    """Rows with equal hashes, their first `quota` copies train: counted, then written again in portions."""
+    columns = rows.columns
+    order = Window.partitionBy(F.lit(0) if label is None else F.col(label)).orderBy(*columns)
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_upto", upto)
+    train = F.least(F.col("_n"), F.greatest(F.lit(0), quota - (F.col("_upto") - F.col("_n"))))
+    halves = counted.select(*columns, F.explode(F.array(
+        F.struct(F.lit("train").alias("split"), train.alias("n")),
+        F.struct(F.lit("test").alias("split"), (F.col("_n") - train).alias("n")))).alias("_half"))
+    starts = F.sequence(F.lit(0).cast("long"), F.col("_half.n") - 1, F.lit(PORTION).cast("long"))
+    portions = (halves.where("_half.n > 0").withColumn("_start", F.explode(starts))
+                .repartition(*columns, "_half", "_start"))
+    size = F.least(F.lit(PORTION), F.col("_half.n") - F.col("_start")).cast("int")
+    return portions.select(*columns, "_half.split", F.explode(F.array_repeat(F.lit(0), size))).drop("col")
 
 
 def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42, rank_rows=RANK_ROWS):
@@ -105,7 +137,7 @@ def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42,
     keys = df.select(label, F.col(key).alias("_key"), digest.alias("_hash")) \
         .withColumns({f"_start{n}": F.substring("_hash", 1, n) for n in (4, 8)})
     cuts = rank_cut(keys, ["_hash", "_key"], ["_start4", "_start8"], fraction, label, rank_rows)
-    return _labelled(df, label, [digest, F.col(key)], cuts)
+    return _labelled(df, label, [digest, F.col(key)], cuts, rank_rows)
 
 
 def time_split(windows, fraction=0.8, ts="ts", key="play_id", rank_rows=RANK_ROWS):
@@ -123,4 +155,4 @@ def time_split(windows, fraction=0.8, ts="ts", key="play_id", rank_rows=RANK_ROW
         ranges = {f"_range{bits}": F.floor(F.col("_key") / F.lit(2 ** bits)) for bits in (40, 20)}
     cuts = rank_cut(keys.withColumns(ranges) if ranges else keys, ["_at", "_key"], ["_day", "_second", "_at", *ranges],
                     fraction, rank_rows=rank_rows)
-    return _labelled(windows, None, [at, F.col(key)], cuts)
+    return _labelled(windows, None, [at, F.col(key)], cuts, rank_rows)
