@@ -133,6 +133,53 @@ def test_mixing_moves_shares_to_targets(spark, documents):
     assert again == {r.doc_id for r in kept}
 
 
+def test_bounded_raking_meets_margins_with_cells_at_the_bound():
+    """Rates of a cell stay at 1 and the free cells make up for it; against a slow exact solution per category."""
+    tokens = np.array([5., 60., 40., 20., 300., 75.])
+    codes = [np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 0, 1])]
+    targets = [np.array([60., 45., 145.]) / 500, np.array([120., 130.]) / 500]
+    factors = raking.rake(tokens, codes, targets, rounds=2000, tolerance=1e-12, start=np.full(6, 0.5), bound=1.0)
+    rates = np.minimum(1, 0.5 * factors[0][codes[0]] * factors[1][codes[1]])
+    for code, target in zip(codes, targets):
+        assert np.allclose(np.bincount(code, tokens * rates) / 500, target, atol=1e-8)
+    assert (rates > 1 - 1e-9).any()
+    slow = [np.ones(3), np.ones(2)]
+    for _ in range(3000):
+        for d, target in enumerate(targets):
+            for c in range(len(target)):
+                here, other = codes[d] == c, slow[1 - d][codes[1 - d]] * 0.5
+                low, high = 0.0, 1e9
+                for _ in range(80):
+                    middle = (low + high) / 2
+                    below = (tokens * np.minimum(1, middle * other))[here].sum() < target[c] * 500
+                    low, high = (middle, high) if below else (low, middle)
+                slow[d][c] = high
+        got = np.minimum(1, 0.5 * slow[0][codes[0]] * slow[1][codes[1]])
+        if np.allclose(np.bincount(codes[0], tokens * got) / 500, targets[0], atol=1e-10):
+            break
+    assert np.allclose(rates, got, atol=1e-5)
+
+
+@pytest.mark.parametrize("table", [False, True])
+def test_sampling_tells_what_a_rare_source_cannot_give(documents, monkeypatch, table):
+    """One hundredth of all tokens is asked for half of the sample: all of it is taken, the report says so."""
+    if table:
+        monkeypatch.setitem(raking.MOST, "source", 1)
+    docs = documents([f"{i} " + "w " * 19 for i in range(1000)], source=["rare" if i % 100 == 0 else "hot" for i in range(1000)])
+    targets = {"source": {"hot": 0.5, "rare": 0.5}}
+    mixed = raking.mix_to_targets(docs, targets).cache()
+    rows = mixed.collect()
+    assert {r.probability for r in rows if r.source == "rare"} == {1.0}
+    assert abs(sum(r.probability * r.n_tokens for r in rows) / sum(r.n_tokens for r in rows) - 0.5) < 1e-6
+    weight = {s: sum(r.weight * r.n_tokens for r in rows if r.source == s) for s in ("rare", "hot")}
+    assert abs(weight["rare"] - weight["hot"]) < 1e-3
+    shares = {r.category: r for r in raking.mix_shares(mixed, targets).where("dimension = 'source'").collect()}
+    assert abs(shares["rare"].target - 0.5) < 1e-9 and abs(shares["rare"].reached - 0.02) < 1e-6
+    met = raking.mix_to_targets(docs, targets, rate=0.01).collect()
+    kept = {s: sum(r.probability * r.n_tokens for r in met if r.source == s) for s in ("rare", "hot")}
+    assert abs(kept["rare"] - kept["hot"]) < 1e-3
+
+
 def test_mixing_rough_and_empty_tables(rough, documents, monkeypatch):
     rows = raking.mix_to_targets(rough).collect()
     assert len(rows) == rough.count() and {r.n_tokens for r in rows if not (r.text or "").strip()} == {0}
