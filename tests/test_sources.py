@@ -5,10 +5,11 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from tunetrail.operators import stats
 from tunetrail.operators.impute import impute_candidates, impute_genres, list_text
 from tunetrail.functions.genres import parse_list
 from tunetrail.plans.clean import build_clean_plays, unique_library, unique_lyrics
-from tunetrail.plans.dashboard import export_dashboard, top_lists
+from tunetrail.plans.dashboard import count_tables, export_dashboard, top_lists
 from tunetrail.schema import AUDIO_CORE
 from tunetrail.sources.pages import content_lyrics, extract_page_lyrics, unescape
 from tunetrail.sources.readers import canonical_name, enrichment_worklist, read_library, read_lyrics, read_plays
@@ -90,6 +91,27 @@ def test_clean_plays_end_to_end(spark, files, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "kpis")).count() == 3
 
 
+def test_counted_reports_equal_reports_of_plays(spark, tmp_path):
+    """With NULLs in every column; the tables read the stored counts, not the plays."""
+    rng = random.Random(9)
+    pick = lambda *values: rng.choice([*values, None])
+    rows = [(pick(0, 1), pick(0, 3, 6), pick(1, 13, 23), pick("One", "Two"), pick("A", "B"), pick("['x', 'y']", "[]", "bad", "['z']"))
+            for _ in range(500)]
+    spark.createDataFrame(rows, "skipped int, day_of_week int, hour int, track_name string, artist string, genres string") \
+        .write.parquet(str(tmp_path / "plays"))
+    plays = spark.read.parquet(str(tmp_path / "plays"))
+    want = {"skip_heatmap": stats.skip_heatmap(plays), "hourly_skip": stats.hourly_skip(plays), "kpis": stats.kpi_summary(plays),
+            **{f"top_lists/{k}": v for k, v in top_lists(plays).items()}}
+    got = count_tables(plays)
+    assert got.keys() == want.keys()
+    for name, table in got.items():
+        assert sorted(map(repr, table.collect())) == sorted(map(repr, want[name].collect())), name
+        assert str(tmp_path) not in table._jdf.queryExecution().toString()
+    empty = count_tables(plays.limit(0))
+    assert {r.Metric: r.Value for r in empty["kpis"].collect()} == {"Total Songs": 0.0, "Total Skips": 0.0, "Skip Rate": None}
+    assert empty["skip_heatmap"].count() == empty["top_lists/genres"].count() == 0
+
+
 def test_worklist(spark, files):
     plays = read_plays(spark, files["plays"])
     done = spark.createDataFrame([("uri:2",)], "track_uri string")

@@ -54,19 +54,38 @@ def tod_skip_rate(plays):
             .orderBy("position"))
 
 
-def skip_heatmap(plays):
+def report_counts(plays):
+    """Plays counted by (weekday, hour, class) and by (track, artist, genre text, class): two grouping sets, one shuffle.
+
+    Column `plays` is the count, `by_time` tells the set. Reports that take `times` read these
+    rows in place of plays. Plays are combined on the map side.
+    """
+    time, track = ["day_of_week", "hour"], ["track_name", "artist", "genres"]
+    return plays.groupingSets([[*time, "skipped"], [*track, "skipped"]], *time, *track, "skipped").agg(
+        row_count().alias("plays"), (F.grouping("hour") == 0).alias("by_time"))
+
+
+def _skips_and_plays(times):
+    """Sums of skips and of plays with a class, over rows that stand for `times` plays each, or for one."""
+    if times is None:
+        return F.sum("skipped").alias("total_skips"), F.count("skipped").alias("total_plays")
+    known = F.when(F.col("skipped").isNotNull(), F.col(times)).otherwise(0)
+    return F.sum(F.col("skipped") * F.col(times)).alias("total_skips"), F.sum(known).alias("total_plays")
+
+
+def skip_heatmap(plays, times=None):
     """Skips and plays per weekday and hour, at most 168 rows."""
     return (plays.where(F.col("day_of_week").isNotNull() & F.col("hour").isNotNull())
             .groupBy("day_of_week", "hour")
-            .agg(F.sum("skipped").alias("total_skips"), F.count("skipped").alias("total_plays"))
+            .agg(*_skips_and_plays(times))
             .withColumn("skip_rate", F.round(F.try_divide("total_skips", "total_plays"), 4))
             .withColumn("day_label", day_label(F.col("day_of_week"))))
 
 
-def hourly_skip(plays):
+def hourly_skip(plays, times=None):
     """Plays, skips and skip rate in percent per hour, with clock and context labels."""
     return (plays.where(F.col("hour").isNotNull()).groupBy("hour")
-            .agg(F.count("skipped").alias("total_plays"), F.sum("skipped").alias("total_skips"))
+            .agg(*reversed(_skips_and_plays(times)))
             .withColumn("skip_rate", F.round(F.try_divide("total_skips", "total_plays") * 100, 2))
             .withColumn("time_label", clock_label(F.col("hour")))
             .withColumn("context", context_label(F.col("hour"))))
@@ -84,10 +103,11 @@ def hour_extremes(hourly):
         .select("x.kind", "x.r.*"))
 
 
-def kpi_summary(plays):
+def kpi_summary(plays, times=None):
     """Total plays, total skips and skip rate as a long table."""
-    totals = plays.agg(row_count().cast("double").alias("Total Songs"),
-                       F.coalesce(F.sum("skipped"), F.lit(0)).cast("double").alias("Total Skips"))
+    skips, _ = _skips_and_plays(times)
+    totals = plays.agg(F.coalesce(_plays(times), F.lit(0)).cast("double").alias("Total Songs"),
+                       F.coalesce(skips, F.lit(0)).cast("double").alias("Total Skips"))
     totals = totals.withColumn("Skip Rate", F.round(F.try_divide("Total Skips", "Total Songs"), 4))
     return totals.unpivot([], ["Total Songs", "Total Skips", "Skip Rate"], "Metric", "Value")
 

@@ -337,6 +337,28 @@ def window_vectors(with_lyrics):
         FROM w WHERE n = 5"""
 
 
+def exported():
+    """The count tables of the export as one long table."""
+    lists = {"artists": ("artist", "NULL", "clean_events"), "songs": ("track_name", "artist", "clean_events"),
+             "genres": ("genre", "NULL", "(SELECT skipped, unnest(tags) AS genre FROM clean_events WHERE genres LIKE '[%')")}
+    stats = "".join(f""",
+        {name}_all AS (SELECT {first} AS first, CAST({second} AS VARCHAR) AS second, count(*) FILTER (skipped = 1) AS s, count(*) FILTER (skipped = 0) AS c
+                       FROM {source} WHERE {first} IS NOT NULL GROUP BY ALL),
+        {name} AS ((SELECT * FROM {name}_all WHERE s > 0 ORDER BY s DESC, first, second LIMIT 10) UNION
+                   (SELECT * FROM {name}_all WHERE c > 0 ORDER BY c DESC, first, second LIMIT 10))"""
+                    for name, (first, second, source) in lists.items())
+    union = "".join(f" UNION ALL SELECT 'top_lists/{name}', first, second, s, c FROM {name}" for name in lists)
+    return f"""{with_(EVENT_PLAYS, LIBRARY, CLEAN_EVENTS)}{stats},
+        long(name, first, second, skips, plays) AS (
+          SELECT 'skip_heatmap', {DAY}, CAST(hour AS VARCHAR), sum(skipped), count(*) FROM clean_events GROUP BY day_of_week, hour UNION ALL
+          SELECT 'hourly_skip', {CLOCK}, CAST(hour AS VARCHAR), sum(skipped), count(*) FROM clean_events GROUP BY hour UNION ALL
+          SELECT 'kpis', 'Total Songs', NULL, count(*), NULL FROM clean_events UNION ALL
+          SELECT 'kpis', 'Total Skips', NULL, sum(skipped), NULL FROM clean_events UNION ALL
+          SELECT 'kpis', 'Skip Rate', NULL, round(sum(skipped) / count(*), 4), NULL FROM clean_events{union})
+        SELECT name, first, second, CAST(skips AS DOUBLE) AS skips, CAST(plays AS DOUBLE) AS plays,
+               count(*) OVER (PARTITION BY name) AS rows_written FROM long"""
+
+
 @lru_cache(maxsize=None)
 def oracles():
     sql = {}
@@ -418,6 +440,8 @@ def oracles():
     sql["wide_songs"] = wide("track_name, artist", "clean_orders", 10, orders)
     sql["wide_genres"] = wide("genre", "(SELECT skipped, unnest(tags) AS genre FROM clean_orders)", 10, orders)
 
+    sql["export_tables"] = exported()
+
     sql["sessions"] = sql["heavy_listener_sessions"] = SESSION_ROWS
     sql["rough_sessions"] = sql["rough_heavy_sessions"] = f"""{with_(EVENT_PLAYS, ROUGH, rough(20))}
         SELECT play_id, user_id, session_no, session_plays, round(diff_minutes, 4) AS diff_minutes FROM kept"""

@@ -1,7 +1,10 @@
 """Named queries over the test tables: name → (spark, sf_dir) → DataFrame."""
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tunetrail.functions.genres import consolidate, dominant_genre, parse_list
 from tunetrail.functions.text import artist_key, fix_mojibake, page_url, strip_accents, title_case, title_key
@@ -16,11 +19,13 @@ from tunetrail.operators.split import stratified_split, time_split
 from tunetrail.operators.vibe import vibe_top_k, vibe_tracks
 from tunetrail.plans import testviews as views, training
 from tunetrail.plans.clean import build_clean_plays, enrich_plays, unique_library
+from tunetrail.plans.dashboard import count_tables
 from tunetrail.plans.features import lyric_vectors
 from tunetrail.schema import CORRELATED, FILL_VALUES, MOOD_FEATURES, SCALED_AUDIO
-from tunetrail.session import checkpoint
+from tunetrail.session import checkpoint, shared_folder
 from tunetrail.sources.pages import content_lyrics, extract_page_lyrics
 from tunetrail.sources.readers import conform_library, conform_plays, enrichment_worklist, stack
+from tunetrail.sources.sinks import write_tables
 
 # Gap of the test plays: users are sparse, a 20-minute gap leaves no long sessions.
 GAP = 720
@@ -260,6 +265,27 @@ def wide_genres(spark, sf):
     return stats.wide_stats(stats.exploded_genres(views.counted_tracks(spark, sf)), "genre", times="plays")
 
 
+@query
+def export_tables(spark, sf):
+    """The count tables of the export, written by the sink and read back, as one long table."""
+    folder = f"{shared_folder(spark).rstrip('/')}/export-{uuid4().hex}"
+    written = write_tables(count_tables(views.clean_event_plays(spark, sf)), folder)
+    columns = {
+        "skip_heatmap": ["day_label", "hour", "total_skips", "total_plays"],
+        "hourly_skip": ["time_label", "hour", "total_skips", "total_plays"],
+        "kpis": ["Metric", None, "Value", None],
+        "top_lists/artists": ["artist", None, "Skipped_Count", "Completed_Count"],
+        "top_lists/songs": ["track_name", "artist", "Skipped_Count", "Completed_Count"],
+        "top_lists/genres": ["genre", None, "Skipped_Count", "Completed_Count"],
+    }
+    kinds = {"first": "string", "second": "string", "skips": "double", "plays": "double"}
+    long = reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("name"), *[
+            (F.lit(None) if c is None else F.col(c)).cast(kind).alias(alias) for c, (alias, kind) in zip(picked, kinds.items())])
+        for name, picked in columns.items()])
+    return long.join(written.withColumnRenamed("rows", "rows_written"), "name")
+
+
 # ---- sessions ------------------------------------------------------------------------
 
 def session_rows(found):

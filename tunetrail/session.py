@@ -31,9 +31,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Where that is unset, a folder in the warehouse is set, which driver and executors share.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: spark.checkpoint.dir, else one in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
