@@ -23,6 +23,15 @@ def test_strip_accents_equals_unicode_decomposition(spark):
     assert apply(spark, texts, strip_accents) == want
 
 
+def test_strip_accents_of_every_character(spark):
+    """All of Unicode but surrogates, a hundred characters a text."""
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, codes[k:k + 100])) for k in range(0, len(codes), 100)]
+    got = apply(spark, texts, strip_accents)
+    for text, plain in zip(texts, got, strict=True):
+        assert plain == "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
 def test_strip_accents_keeps_null(spark):
     assert apply(spark, [None], strip_accents) == [None]
 

@@ -110,6 +110,23 @@ def test_report_without_positive_predictions(spark):
     assert got["1"] == 0.0
 
 
+def test_roc_auc_is_lazy_and_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.random() < 0.3), float(x)) for x in np.round(rng.normal(size=700) * 40, 1)]
+    rows += [(1, 1e300), (0, -1e300), (1, 1e-300), (0, 0.0), (None, 0.5), (1, None)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("auc", "auc")
+    df = spark.createDataFrame(rows, "skipped int, score double")
+    area = evaluate.roc_auc(df)
+    assert not tracker.getJobIdsForGroup("auc")
+    known = [r for r in rows if None not in r]
+    pos, neg = np.array([s for y, s in known if y]), np.array([s for y, s in known if not y])
+    want = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert abs(area.head().auc - want) < 1e-12
+    assert evaluate.roc_auc(df.where("skipped = 1")).head().auc is None
+    assert evaluate.roc_auc(df.limit(0)).head().auc is None
+
+
 def test_roc_auc_with_ties(spark):
     rng = random.Random(2)
     rows = [(rng.randint(0, 1), float(rng.randint(0, 6))) for _ in range(150)]

@@ -12,7 +12,7 @@ from tunetrail.plans.clean import build_clean_plays, unique_library, unique_lyri
 from tunetrail.plans.dashboard import count_tables, export_dashboard, top_lists
 from tunetrail.schema import AUDIO_CORE
 from tunetrail.sources.pages import content_lyrics, extract_page_lyrics, unescape
-from tunetrail.sources.readers import canonical_name, enrichment_worklist, read_library, read_lyrics, read_plays
+from tunetrail.sources.readers import canonical_name, conform_plays, enrichment_worklist, read_library, read_lyrics, read_plays
 from tunetrail.sources.sinks import write_tables
 
 AUDIO = ",".join(AUDIO_CORE)
@@ -112,6 +112,26 @@ def test_counted_reports_equal_reports_of_plays(spark, tmp_path):
     assert empty["skip_heatmap"].count() == empty["top_lists/genres"].count() == 0
 
 
+def test_plays_without_ids_keep_every_repeat(spark):
+    """A third of all rows equal, some that differ only outside the hashed content; unique rows are not shuffled."""
+    rows = [("2024-01-01 10:00:00", "1", "Same", "A", "clickrow")] * 300 + \
+        [("2024-01-01 10:00:00", "1", "Same", "A", r) for r in ("fwdbtn", None, "fwdbtn")] + \
+        [(f"2024-01-02 10:{i // 60:02d}:{i % 60:02d}", str(i % 2), f"T{i}", "B", None) for i in range(600)]
+    raw = spark.createDataFrame(rows, "ts string, skipped string, track_name string, artist string, reason_start string")
+    got = conform_plays(raw.repartition(7)).collect()
+    assert len({r.play_id for r in got}) == len(got) == 903
+    same = sorted(r.play_id.partition("-")[2] for r in got if r.track_name == "Same")
+    assert same == sorted([""] + [str(k) for k in range(2, 304)])
+    assert sum(r.reason_start == "fwdbtn" for r in got) == 2
+    again = {r.play_id: r for r in conform_plays(raw.repartition(3)).collect()}
+    assert all(again[r.play_id] == r for r in got)
+    unique = conform_plays(raw.where("artist = 'B'"))
+    unique.collect()
+    plan = unique._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan or "AQEPropagateEmptyRelation" in plan or \
+        not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "track_name" in x]
+
+
 def test_worklist(spark, files):
     plays = read_plays(spark, files["plays"])
     done = spark.createDataFrame([("uri:2",)], "track_uri string")

@@ -17,7 +17,7 @@ LATIN_END = 0x250
 def _folds():
     """(one-to-one folds, one-to-many folds, combining marks), from Python's Unicode tables.
 
-    Hangul syllables are left composed: taking them apart strips no accent.
+    Hangul syllables are not among them: `_jamo` takes those apart by arithmetic.
     """
     single, multi, marks = {}, {}, []
     for code in range(0x80, sys.maxunicode + 1):
@@ -26,7 +26,9 @@ def _folds():
             marks.append(code)
         elif unicodedata.decomposition(char) and code not in HANGUL:
             plain = "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x))
-            if len(plain) == 1 and plain != char:
+            if not plain:  # some vowel signs are nothing but marks
+                marks.append(code)
+            elif len(plain) == 1 and plain != char:
                 single[char] = plain
             elif len(plain) > 1:
                 multi[char] = plain
@@ -50,12 +52,23 @@ def _char_class(codes):
     return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
 
 
+def _jamo(char):
+    """The two or three letters of a Hangul syllable, by the arithmetic of its code point; NULL for other characters."""
+    letters = lambda first, n: F.lit("".join(chr(first + k) for k in range(n)))
+    place = F.ascii(char) - HANGUL.start
+    vowel, final = F.floor(place / 28) % 21, place % 28
+    pick = lambda text, at: F.substr(text, at.cast("int") + 1, F.lit(1))
+    return F.when(F.ascii(char).between(HANGUL.start, HANGUL.stop - 1), F.concat(
+        pick(letters(0x1100, 19), F.floor(place / 588)), pick(letters(0x1161, 21), vowel),
+        F.when(final > 0, pick(letters(0x11A7, 28), final)).otherwise("")))
+
+
 def strip_accents(c):
     """Compatibility-decompose and drop combining marks, without leaving the JVM.
 
     ASCII text is kept as it is, Latin text folds character by character (`translate`). Other
     text also has its marks removed, and the characters that fold to several (ligatures,
-    fractions) looked up.
+    fractions) looked up and Hangul syllables taken apart.
     """
     single, multi, marks = _folds()
     latin_multi = [ord(m) for m in multi if ord(m) < LATIN_END]
@@ -63,8 +76,8 @@ def strip_accents(c):
     latin_map = {a: b for a, b in single.items() if ord(a) < LATIN_END}
 
     table = literal_map(multi)
-    one_by_one = F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch))
-    spread = F.when(c.rlike(_char_class(map(ord, multi))), F.array_join(one_by_one, "")).otherwise(c)
+    one_by_one = F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), _jamo(ch), ch))
+    spread = F.when(c.rlike(_char_class([*map(ord, multi), *HANGUL])), F.array_join(one_by_one, "")).otherwise(c)
     other = F.regexp_replace(F.translate(spread, "".join(single), "".join(single.values())), _char_class(marks), "")
     return (F.when(~c.rlike(r"[\x{80}-\x{10FFFF}]"), c)
             .when(~c.rlike(beyond), F.translate(c, "".join(latin_map), "".join(latin_map.values())))

@@ -1,10 +1,10 @@
 """Scores, coefficient tables and explanations of models."""
 
 from functools import reduce
+from math import pi
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tunetrail.functions.text import strip_prefix
 from tunetrail.functions.values import skip_or_listen
@@ -42,10 +42,27 @@ def classification_metrics(df, label="skipped", prediction="prediction"):
 
 
 def roc_auc(df, label="skipped", score="score"):
-    """Exact area under the ROC curve as a one-row table; runs the evaluator."""
-    data = df.select(F.col(label).cast("double").alias("y"), F.col(score).cast("double").alias("s")).dropna()
-    area = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0).evaluate(data)
-    return df.sparkSession.createDataFrame([(area,)], "auc double")
+    """Exact area under the ROC curve as a one-row table, lazily; NULL without both classes.
+
+    Equal scores are merged into counts of both classes. Ranges of the score (65536 of its arc
+    tangent at most) carry the negatives before them, so scores are put in order within their range
+    only. The area is the share of (positive, negative) pairs in the right order, ties half, summed exactly.
+    """
+    y, s = F.col(label).cast("double"), F.col(score).cast("double")
+    merged = (df.where(y.isNotNull() & s.isNotNull()).groupBy(s.alias("_score"))
+              .agg(F.count_if(y > 0.5).alias("_pos"), F.count_if(~(y > 0.5)).alias("_neg"))
+              .withColumn("_range", F.when(F.isnan("_score"), 65536).otherwise(F.floor((F.atan("_score") / pi + 0.5) * 65536))))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = merged.groupBy("_range").agg(F.sum("_neg").alias("_n")).select(
+        F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("_neg").over(inside), F.lit(0))
+    placed = merged.withColumn("_below", below).join(ranges, F.col("_range") == F.col("_at"))
+    exact = lambda c: c.cast("decimal(19,0)")
+    halves = exact(F.col("_pos")) * exact(2 * (F.col("_base") + F.col("_below")) + F.col("_neg"))
+    totals = placed.agg(F.sum(halves).cast("double").alias("h"), F.sum("_pos").cast("double").alias("p"),
+                        F.sum("_neg").cast("double").alias("n"))
+    return totals.select(F.try_divide(F.col("h"), 2 * F.col("p") * F.col("n")).alias("auc"))
 
 
 def coefficient_table(spark, model, names, n=None):

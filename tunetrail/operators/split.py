@@ -6,10 +6,9 @@ from functools import reduce
 from pyspark.sql import Window, functions as F, types as T
 
 from tunetrail.functions.time import micros
+from tunetrail.operators.dedupe import PORTION, write_out
 
 RANK_ROWS = 1_000_000
-#: Equal rows that one output row of a count stands for.
-PORTION = 100_000
 
 
 def rank_cut(df, order, levels, fraction, by=None, rank_rows=RANK_ROWS, needs=None):
@@ -119,11 +118,8 @@ def _copies(rows, label, quota):
     halves = counted.select(*columns, F.explode(F.array(
         F.struct(F.lit("train").alias("split"), train.alias("n")),
         F.struct(F.lit("test").alias("split"), (F.col("_n") - train).alias("n")))).alias("_half"))
-    starts = F.sequence(F.lit(0).cast("long"), F.col("_half.n") - 1, F.lit(PORTION).cast("long"))
-    portions = (halves.where("_half.n > 0").withColumn("_start", F.explode(starts))
-                .repartition(*columns, "_half", "_start"))
-    size = F.least(F.lit(PORTION), F.col("_half.n") - F.col("_start")).cast("int")
-    return portions.select(*columns, "_half.split", F.explode(F.array_repeat(F.lit(0), size))).drop("col")
+    halves = halves.select(*columns, "_half.split", F.col("_half.n").alias("_n"))
+    return write_out(halves, "_n", "_copy", PORTION).select(*columns, "split")
 
 
 def stratified_split(df, label="skipped", key="play_id", fraction=0.8, seed=42, rank_rows=RANK_ROWS):

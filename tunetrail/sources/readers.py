@@ -6,8 +6,9 @@ with the same header are read together, and every column is matched by name.
 
 from functools import reduce
 
-from pyspark.sql import Window, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
+from tunetrail.operators.dedupe import number_copies
 from tunetrail.schema import LIBRARY, LYRICS, PLAYS
 
 CSV_OPTIONS = {"header": True, "escape": '"', "quote": '"'}
@@ -104,6 +105,22 @@ def _is_text(df, name):
     return isinstance(df.schema[name].dataType, T.StringType)
 
 
+def _content_ids(plays):
+    """Set `play_id` to `_natural`, the hash of a row's content, with a number from the second row that has it.
+
+    Hashes alone are shuffled to find those that repeat. Rows whose hash is unique keep their place
+    (few repeated hashes are sent to all tasks by Spark's own choice); only repeats are numbered.
+    """
+    times = plays.groupBy("_natural").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1")
+    times = times.select(F.col("_natural").alias("_repeated"))
+    match = F.col("_natural") == F.col("_repeated")
+    unique = plays.join(times, match, "left_anti").withColumn("play_id", F.col("_natural"))
+    numbered = number_copies(plays.join(times, match, "left_semi").drop("play_id"), "_natural", "_repeat")
+    suffix = F.when(F.col("_repeat") > 1, F.concat(F.lit("-"), F.col("_repeat").cast("string"))).otherwise("")
+    named = numbered.withColumn("play_id", F.concat("_natural", suffix)).drop("_repeat")
+    return unique.unionByName(named)
+
+
 def conform_plays(raw, rename=None):
     """Play rows under the names and types used here. Extra columns are dropped, missing ones are
     NULL, except the four that every play needs. Without a play id, one is made of the row's
@@ -119,10 +136,7 @@ def conform_plays(raw, rename=None):
     natural = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
                                         ["user_id", "ts", "track_uri", "track_id", "track_name", "artist", "ms_played"]]), 256)
     if not own_id:
-        repeat = F.row_number().over(Window.partitionBy("_natural").orderBy("_natural"))
-        plays = plays.withColumn("_natural", natural).withColumn("_repeat", repeat).withColumn(
-            "play_id", F.concat("_natural", F.when(F.col("_repeat") > 1, F.concat(F.lit("-"), F.col("_repeat").cast("string")))
-                                .otherwise("")))
+        plays = _content_ids(plays.withColumn("_natural", natural))
     return (plays.withColumn("play_id", F.coalesce("play_id", natural))
             .withColumn("user_id", F.coalesce("user_id", F.lit("")))
             .select(*[f.name for f in PLAYS]))
