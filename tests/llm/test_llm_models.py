@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tunetrail.llm import line_crf, raking, toxicity, transcripts
 
@@ -252,6 +253,15 @@ def viterbi_by_hand(model, lines, blank):
     return best[0]
 
 
+def test_rows_without_a_number_all_stay(spark):
+    model = transcripts.RoleModel(np.zeros(6), np.zeros((6, 6)), [np.zeros((6, s)) for s in transcripts.SIZES])
+    rows = [(1, None, t) for t in ("User: hi", "yes", "yes", "AI: ok")] + [(2, 4, "yes"), (2, 4, "yes"), (2, 9, "yes"), (2, None, "yes"), (2, None, "yes")]
+    for extra in ([], [(3, 1 << 40, "far")]):
+        df = spark.createDataFrame(rows + extra, "conv_id long, seq long, text string")
+        found = transcripts.format_chats(df, model).groupBy("conv_id").agg(F.sum("n_lines").alias("n")).collect()
+        assert {r.conv_id: r.n for r in found if r.conv_id < 3} == {1: 4, 2: 4}
+
+
 @pytest.mark.parametrize("block", [2, 3, 256])
 def test_blocks_of_a_long_conversation_decode_like_one(spark, monkeypatch, block):
     rng = np.random.default_rng(block)

@@ -94,11 +94,17 @@ def _sorted_rows(table: pa.Table) -> pa.Table:
 
 
 def in_blocks(lines: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct rows (conv_id, seq, text, extra columns) with their block, and the number of tree levels above."""
+    """Rows (conv_id, seq, text, extra columns) with their block, and the number of tree levels above.
+
+    A repeated row with a number is one line sent twice and counts once; rows without a number all stay.
+    """
     low, high = lines.agg(F.min("seq"), F.max("seq")).first()
     low, high = (0, 0) if low is None else (low, high)
     seq = F.coalesce(F.col("seq"), F.lit(high + 1)) - F.lit(low)
-    rows = lines.withColumn("seq", seq).distinct().withColumn("block", F.floor(F.col("seq") / BLOCK).cast("long"))
+    copies = F.when(F.col("seq") > high - low, F.col("_copies")).otherwise(1)
+    rows = lines.withColumn("seq", seq).groupBy(*lines.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    rows = (rows.withColumn("_copies", F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("_copies")
+            .withColumn("block", F.floor(F.col("seq") / BLOCK).cast("long")))
     levels, span = 0, (high + 1 - low) // BLOCK
     while span:
         levels, span = levels + 1, span // BLOCK
@@ -279,8 +285,8 @@ def format_chats(lines: DataFrame, model: RoleModel) -> DataFrame:
     """One row per conversation and block: n_lines, line_roles, roles of the turns that open, rendered.
 
     `lines` has conv_id, seq and text; a text may hold many lines, a whole transcript too. Rows go
-    by seq, then text; NULL seq comes last; repeated rows count once; blank lines and NULL texts
-    have no state. A NULL conv_id is a conversation of its own. Rendered blocks of a conversation
+    by seq, then text; NULL seq comes last; rows equal in number and text count once, rows without
+    a number all stay; blank lines and NULL texts have no state. A NULL conv_id is a conversation of its own. Rendered blocks of a conversation
     joined in order are its canonical text, whose last turn is left open. Runs one small job.
     """
     rows, levels = in_blocks(lines.select(F.col("conv_id").cast("long").alias("conv_id"),
