@@ -132,6 +132,19 @@ def test_plays_without_ids_keep_every_repeat(spark):
         not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "track_name" in x]
 
 
+def test_lookups_of_one_key_are_one_join(spark):
+    plays = spark.createDataFrame([(1, "A", "x", "u1", "[]"), (2, "B", "y", "u2", None), (3, None, "y", "u2", None)],
+                                  "play_id int, artist string, track_name string, track_uri string, genres string")
+    artist = lambda *rows: spark.createDataFrame(list(rows), "artist string, genres array<string>")
+    uri = spark.createDataFrame([("u2", ["t"])], "track_uri string, genres array<string>")
+    rules = spark.createDataFrame([(1, "A", "X", False, ["r"])], "priority int, artist string, title string, negate boolean, genres array<string>")
+    out = impute_genres(plays, [artist(("Z", ["z"])), artist(("Y", ["z"]))], rules,
+                        [artist(("B", ["late"]), ("B", ["b"])), uri, artist(("B", ["never"]), (None, ["no"]))])
+    assert {r.play_id: r.genres for r in out.collect()} == {1: "['r']", 2: "['b']", 3: "['t']"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+    assert impute_genres(plays).collect() == plays.collect()
+
+
 def test_worklist(spark, files):
     plays = read_plays(spark, files["plays"])
     done = spark.createDataFrame([("uri:2",)], "track_uri string")

@@ -1,6 +1,8 @@
 """Genre imputation by precedence of lookup tables."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tunetrail.operators.dedupe import first_per_key
 from tunetrail.schema import AUDIO_CORE
@@ -14,56 +16,52 @@ def list_text(c):
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
-def _look_up(plays, table, name):
-    """Left join of one lookup (key columns + `genres` array), as column `name`.
-
-    Of repeated lookup keys the smallest genre list counts, so plays never multiply. Spark
-    broadcasts the table when its size allows, and otherwise splits hot keys of the plays side
-    at run time.
-    """
-    keys = [c for c in table.columns if c != "genres"]
-    unique = table.groupBy(*keys).agg(F.min("genres").alias("genres"))
-    return plays.join(unique.select(*keys, list_text(F.col("genres")).alias(name)), keys, "left")
-
-
-def _apply_rules(plays, rules, name):
-    """First matching title rule per row, from (priority, artist, title, negate, genres).
+def _packed(keys, tables, rules):
+    """One row per key: of each named lookup its genres, and the rules of the key as one small array in order.
 
-    The rules of an artist travel as one small array, so plays are joined once, not
-    multiplied.
+    Of repeated lookup keys the smallest genre list counts, so plays never multiply.
     """
-    per_artist = (rules.groupBy("artist")
-                  .agg(F.sort_array(F.collect_list(F.struct("priority", F.lower("title").alias("title"), "negate", "genres"))).alias("_rules")))
-    title = F.lower("track_name")
-    matched = F.filter("_rules", lambda r: (r["title"] == title) != r["negate"])
-    return (plays.join(per_artist, "artist", "left")
-            .withColumn(name, list_text(F.try_element_at(matched, F.lit(1))["genres"]))
-            .drop("_rules"))
+    rows = []
+    if rules is not None:
+        rule = F.struct("priority", F.lower("title").alias("title"), "negate", "genres")
+        rows = [rules.select(*keys, F.lit("").alias("_table"), F.lit(None).cast("array<string>").alias("_genres"), rule.alias("_rule"))]
+    kind = rows[0].schema["_rule"].dataType if rows else "struct<genres: array<string>>"
+    rows += [table.select(*keys, F.lit(name).alias("_table"), F.col("genres").alias("_genres"), F.lit(None).cast(kind).alias("_rule"))
+             for name, table in tables.items()]
+    smallest = [F.min(F.when(F.col("_table") == name, F.col("_genres"))).alias(name) for name in tables]
+    return reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(
+        *smallest, *([] if rules is None else [F.sort_array(F.collect_list("_rule")).alias("_rules")]))
 
 
 def impute_genres(plays, empties=(), rules=None, nulls=()):
     """Fill `genres` where it is '[]' (artist tables, then title rules) or NULL (tables in order).
 
-    Tables hold their key columns (`artist` or `track_uri`) and `genres array<string>`. The
-    order given is the precedence: the first table with the key wins.
+    Tables hold their key columns (`artist` or `track_uri`) and `genres array<string>`; rules hold
+    (priority, artist, title, negate, genres). The order given is the precedence: the first table
+    with the key wins, of the rules the first that matches. Tables with the same key columns are
+    packed into one, so plays are joined once per kind of key. Spark broadcasts a packed table when
+    its size allows, and otherwise splits hot keys of the plays side at run time.
     """
-    columns = plays.columns
-    df, empty_names, null_names = plays, [], []
-    for i, table in enumerate(empties):
-        empty_names.append(f"_empty{i}")
-        df = _look_up(df, table, empty_names[-1])
+    empty_names = [f"_empty{i}" for i in range(len(empties))]
+    null_names = [f"_null{i}" for i in range(len(nulls))]
+    kinds = {} if rules is None else {("artist",): {}}
+    for name, table in zip(empty_names + null_names, [*empties, *nulls]):
+        keys = tuple(sorted(c for c in table.columns if c != "genres"))
+        kinds.setdefault(keys, {})[name] = table
+    df = plays
+    for keys, tables in kinds.items():
+        df = df.join(_packed(keys, tables, rules if keys == ("artist",) else None), list(keys), "left")
+    found = {name: list_text(F.col(name)) for name in empty_names + null_names}
+    of_empty = [found[name] for name in empty_names]
     if rules is not None:
-        empty_names.append("_rule")
-        df = _apply_rules(df, rules, "_rule")
-    for i, table in enumerate(nulls):
-        null_names.append(f"_null{i}")
-        df = _look_up(df, table, null_names[-1])
+        matched = F.filter("_rules", lambda r: (r["title"] == F.lower("track_name")) != r["negate"])
+        of_empty.append(list_text(F.try_element_at(matched, F.lit(1))["genres"]))
     filled = F.col("genres")
-    if empty_names:
-        filled = F.when(F.trim("genres") == "[]", F.coalesce(*empty_names, "genres")).otherwise(filled)
+    if of_empty:
+        filled = F.when(F.trim("genres") == "[]", F.coalesce(*of_empty, "genres")).otherwise(filled)
     if null_names:
-        filled = F.when(F.col("genres").isNull(), F.coalesce(*null_names)).otherwise(filled)
-    return df.withColumn("genres", filled).select(columns)
+        filled = F.when(F.col("genres").isNull(), F.coalesce(*[found[name] for name in null_names])).otherwise(filled)
+    return df.withColumn("genres", filled).select(plays.columns)
 
 
 def impute_candidates(plays, order_by=("ts", "play_id"), needed=tuple(AUDIO_CORE) + ("lyrics",)):
