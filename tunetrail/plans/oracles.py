@@ -118,13 +118,14 @@ def rough(gap):
 
 WINDOWS = f"""
 tagged AS (
-  SELECT k.*, l.energy, l.valence, l.popularity,
+  SELECT k.*, l.energy, l.valence, l.popularity, l.loudness, l.speechiness,
          CASE WHEN list_contains(t.tags, 'small') THEN 'Small' WHEN list_contains(t.tags, 'medium') THEN 'Medium'
               WHEN list_contains(t.tags, 'large') THEN 'Large' ELSE 'Other' END AS primary_genre
   FROM kept k JOIN library l USING (track_id) JOIN (SELECT track_id, {TAGS} AS tags FROM library) t USING (track_id)),
 windows AS (
   SELECT play_id, user_id, ts, skipped AS target,
          list(energy) OVER w AS energies, list(valence) OVER w AS valences, list(popularity) OVER w AS popularities,
+         list(loudness) OVER w AS loudnesses, list(speechiness) OVER w AS speechinesses,
          list(primary_genre) OVER w AS genres, count(*) OVER w AS n
   FROM tagged WINDOW w AS (PARTITION BY user_id, session_no ORDER BY ts, play_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
 full_windows AS (SELECT * FROM windows WHERE n = 5)"""
@@ -279,9 +280,9 @@ def named_orders():
     return f"{ORDER_PLAYS}, named AS (SELECT o.*, p_name AS track_name, p_brand AS artist, 'track:' || track_id AS track_uri FROM order_plays o JOIN part ON p_partkey = track_id)"
 
 
-def explain():
+def explain(**features):
     cells = []
-    for f, col in (("energy", "energies"), ("valence", "valences"), ("popularity", "popularities")):
+    for f, col in features.items():
         cells.append(f"""SELECT play_id, 't-' || (6 - i) AS step, genres[i] AS genre, '{f}' AS feature, round(CAST({col}[i] AS DOUBLE), 4) AS value,
             round(CASE WHEN list_max({col}) = list_min({col}) THEN 0.5 ELSE ({col}[i] - list_min({col})) / CAST(list_max({col}) - list_min({col}) AS DOUBLE) END, 4) AS intensity
             FROM full_windows, range(1, 6) AS s(i)""")
@@ -455,7 +456,8 @@ def oracles():
     sql["seq_genres"] = f"{with_(EVENT_WINDOWS)} SELECT play_id, array_to_string(genres, '|') AS genres FROM full_windows"
     sql["chronological_split"] = f"""{with_(EVENT_WINDOWS)} SELECT play_id, target,
         CASE WHEN row_number() OVER (ORDER BY ts, play_id) <= floor((SELECT count(*) FROM full_windows) * 0.8) THEN 'train' ELSE 'test' END AS split FROM full_windows"""
-    sql["window_explain"] = explain()
+    sql["window_explain"] = explain(energy="energies", valence="valences", popularity="popularities")
+    sql["window_explain_moods"] = explain(popularity="popularities", loudness="loudnesses", speechiness="speechinesses", valence="valences")
     sql["window_vectors"] = window_vectors(False)
     sql["window_vectors_with_lyrics"] = window_vectors(True)
 

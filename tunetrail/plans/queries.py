@@ -30,6 +30,7 @@ from tunetrail.sources.sinks import write_tables
 # Gap of the test plays: users are sparse, a 20-minute gap leaves no long sessions.
 GAP = 720
 SEQUENCE = ["energy", "valence", "popularity"]
+EXPLAINED = ["popularity", "loudness", "speechiness", "valence"]
 PAGE_PATTERN = "https://lyrics.example/%s/%s.html"
 
 QUERIES = {}
@@ -320,10 +321,10 @@ def session_summary(spark, sf):
     return stats.session_summary(plays, sessionize(plays, GAP))
 
 
-def event_windows(spark, sf, **options):
+def event_windows(spark, sf, features=None, **options):
     plays = views.clean_event_plays(spark, sf)
     tagged = plays.withColumn("primary_genre", dominant_genre(F.col("genres_list"), ["small", "medium", "large"]))
-    return sequence_windows(sessionize(tagged, GAP, **options), SEQUENCE + ["primary_genre"])
+    return sequence_windows(sessionize(tagged, GAP, **options), (features or SEQUENCE) + ["primary_genre"])
 
 
 def joined_steps(field, digits=None):
@@ -366,6 +367,13 @@ def window_explain(spark, sf):
     return rounded(evaluate.explain_windows(event_windows(spark, sf), SEQUENCE), ["value", "intensity"], 4)
 
 
+@query
+def window_explain_moods(spark, sf):
+    """The four features that a window is explained by."""
+    windows = event_windows(spark, sf, EXPLAINED)
+    return rounded(evaluate.explain_windows(windows, EXPLAINED), ["value", "intensity"], 4)
+
+
 # ---- text ----------------------------------------------------------------------------
 
 def page_names(spark, sf):
@@ -622,6 +630,14 @@ def skip_tree(spark, sf):
     return evaluate.importance_table(spark, model, names)
 
 
+@query
+def skip_tree_rules(spark, sf):
+    """Split rules of the tree, a line a row."""
+    model, names = training.fit_skip_tree(views.clean_event_plays(spark, sf), ["small", "medium", "large"])
+    rules = evaluate.tree_rules(model, names).splitlines()[1:]
+    return spark.createDataFrame(list(enumerate(rules)), "line int, rule string")
+
+
 @query
 def wordcloud(spark, sf):
     labelled = views.table(spark, sf, "labels").select(F.col("doc_id").alias("track_id"), (1 - F.col("quality")).alias("skipped"))
