@@ -1,3 +1,4 @@
+import gzip
 import os
 import random
 from html.parser import HTMLParser
@@ -11,6 +12,7 @@ from tunetrail.functions.genres import parse_list
 from tunetrail.plans.clean import build_clean_plays, unique_library, unique_lyrics
 from tunetrail.plans.dashboard import count_tables, export_dashboard, top_lists
 from tunetrail.schema import AUDIO_CORE
+from tunetrail.sources import readers
 from tunetrail.sources.pages import content_lyrics, extract_page_lyrics, unescape
 from tunetrail.sources.readers import canonical_name, conform_plays, enrichment_worklist, read_library, read_lyrics, read_plays
 from tunetrail.sources.sinks import write_tables
@@ -226,6 +228,31 @@ def test_files_with_other_headers_under_one_pattern(spark, tmp_path):
         read_library(spark, str(tmp_path / "none*.csv"))
 
 
+@pytest.mark.parametrize("small", [0, 1 << 10, 1 << 24])
+def test_headers_are_read_by_tasks(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(readers, "SMALL_FILE", small)
+    for i in range(40):
+        (tmp_path / f"part-{i:02}.csv").write_text(f"track_id,{'energy' if i % 2 else 'tempo'}\nt{i},{i}\n")
+    with gzip.open(tmp_path / "packed.csv.gz", "wt") as out:
+        out.write("energy,track_id\r\n0.5,zipped\r\n")
+    (tmp_path / "ümlaut %20.csv").write_text("track_id,energy\n" + "u,9\n" * 50000)
+    (tmp_path / "bare.csv").write_text("track_id,energy")
+    settings = dict(spark.conf.getAll)
+    library = read_library(spark, str(tmp_path))
+    assert dict(spark.conf.getAll) == settings
+    rows = {r.track_id: (r.energy, r.tempo) for r in library.distinct().collect()}
+    assert rows == {f"t{i}": (float(i), None) if i % 2 else (None, float(i)) for i in range(40)} | {
+        "zipped": (0.5, None), "u": (9.0, None)}
+    assert library.count() == 40 + 1 + 50000
+    assert library.select("source_no").distinct().count() == 42
+    (tmp_path / "none").mkdir()
+    for folder in (tmp_path, tmp_path / "none"):
+        (folder / "empty.csv").write_text("")
+    assert read_library(spark, str(tmp_path)).count() == 40 + 1 + 50000
+    with pytest.raises(FileNotFoundError):
+        read_library(spark, str(tmp_path / "none"))
+
+
 def test_large_play_files_are_split(spark, tmp_path):
     line = "2024-01-01T10:00:00Z,One,A,uri:1,t1,True\n"
     (tmp_path / "plays.csv").write_text("ts,track_name,artist,track_uri,track_id,skipped\n" + line * 20000)

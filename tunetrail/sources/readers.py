@@ -4,8 +4,11 @@ Paths may be files, folders or patterns. Files of one pattern may have different
 with the same header are read together, and every column is matched by name.
 """
 
+import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F, types as T
 
 from tunetrail.operators.dedupe import number_copies
@@ -34,26 +37,35 @@ def _paths(paths):
 
 
 def _files(spark, paths):
-    """(path, encoded address) of the data files behind paths, folders and patterns, in the order given, then by name."""
-    java, found = spark._jvm.org.apache.hadoop.fs, []
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    """(path, encoded address, size) of the data files behind paths, folders and patterns, in the order given, then by name.
+
+    Spark lists the files; none is opened, and empty ones are left out.
+    """
+    found = []
     for path in _paths(paths):
-        pattern = java.Path(path)
-        files = pattern.getFileSystem(conf)
-        hits = files.globStatus(pattern)
-        if not hits:
-            raise FileNotFoundError(path)
-        for hit in hits:
-            inside = files.listStatus(hit.getPath()) if hit.isDirectory() else [hit]
-            found += sorted((f.getPath().toString(), f.getPath().toUri().toString()) for f in inside
-                            if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+        try:
+            listed = spark.read.format("binaryFile").load(path).select("path", "_metadata.file_path", "length").collect()
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(path) from error
+            raise
+        found += sorted(tuple(row) for row in listed)
     return found
 
 
-def _header(spark, file):
-    """First line of a text file, compressed or not."""
+# A split limit over any file's size: one task reads one file, from its start.
+WHOLE_FILE = str(1 << 40)
+# Files up to this size are read by tasks to their end, which a text scan does in a fraction of a second.
+SMALL_FILE = 1 << 24
+# Larger files opened at once by the driver.
+OPENED = 16
+# Rows of a task are numbered in the low 33 bits of monotonically_increasing_id.
+ROW_NUMBER = (1 << 33) - 1
+
+
+def _first_line(spark, conf, file):
+    """First line of a text file, compressed or not; the rest is not read."""
     java = spark._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
     path = java.org.apache.hadoop.fs.Path(file)
     stream = path.getFileSystem(conf).open(path)
     try:
@@ -64,19 +76,56 @@ def _header(spark, file):
         stream.close()
 
 
+def _headers(spark, files):
+    """{address: first line} of text files (path, address, size), compressed or not.
+
+    Small files are read by tasks, one each; larger ones, of which there are few for their bytes,
+    are opened by the driver, several at a time, since no scan stops after a file's first line.
+    """
+    small = [path for path, _, size in files if size <= SMALL_FILE]
+    large = [(path, address) for path, address, size in files if size > SMALL_FILE]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    with ThreadPoolExecutor(OPENED) as pool:
+        lines = pool.map(lambda file: _first_line(spark, conf, file[0]), large)
+        found = {_plain(address): line for (_, address), line in zip(large, lines)}
+    if small:
+        own = spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if spark.conf.isModifiable(key):
+                own.conf.set(key, value)
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            own.conf.set(key, WHOLE_FILE)
+        lines = own.read.text(small).select("_metadata.file_path", "value", F.monotonically_increasing_id().alias("row"))
+        first = lines.where(F.col("row").bitwiseAND(ROW_NUMBER) == 0)
+        found |= {_plain(r.file_path): r.value for r in first.collect()}
+    return found
+
+
+def _plain(address):
+    """File addresses are written with one slash or three."""
+    return re.sub("^file:/+", "file:/", address)
+
+
+def _address(c):
+    """`_plain` of a column."""
+    return F.regexp_replace(c, "^file:/+", "file:/")
+
+
 def _scan(spark, paths, fmt, **options):
     """One table per header, with `source_no`: the position of the row's file among all files."""
     files = _files(spark, paths)
+    if not files:
+        raise FileNotFoundError(f"no data in {paths}")
+    headers = _headers(spark, files) if fmt == "csv" else {}
     groups = {}
-    for file, _ in files:
-        groups.setdefault(_header(spark, file) if fmt == "csv" else "", []).append(file)
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    numbers = spark.createDataFrame([(address, n) for n, (_, address) in enumerate(files)], "_file string, source_no int").select(
-        plain(F.col("_file")).alias("_file"), "source_no")
+    for file, address, _ in files:
+        groups.setdefault(headers.get(_plain(address), ""), []).append(file)
+    numbers = spark.createDataFrame([(address, n) for n, (_, address, _) in enumerate(files)], "_file string, source_no int").select(
+        _address(F.col("_file")).alias("_file"), "source_no")
     for group in groups.values():
         reader = spark.read.format(fmt).options(**(CSV_OPTIONS | options if fmt == "csv" else {"mergeSchema": True}))
         rows = reader.load(group)
-        yield rows.withColumn("_file", plain(F.col("_metadata.file_path"))).join(numbers, "_file").drop("_file")
+        yield rows.withColumn("_file", _address(F.col("_metadata.file_path"))).join(numbers, "_file").drop("_file")
 
 
 def _conform(df, schema, rename=None):
