@@ -4,8 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tunetrail.operators import stats
 from tunetrail.operators.dedupe import duplicate_count, first_per_key
+from tunetrail.operators.heavy import heavy_rows
 from tunetrail.schema import CORRELATED
 
 
@@ -55,6 +58,31 @@ def test_wide_stats_with_ties_and_null_keys(spark):
     assert got == [("c", 0, 5), ("a", 3, 1)]
 
 
+@pytest.mark.parametrize("shape", ["skewed", "flat", "tied", "few", "none"])
+@pytest.mark.parametrize("buckets", [4, 512])
+def test_top_lists_of_many_keys_equal_full_ones(spark, shape, buckets):
+    rng = random.Random(f"{shape}{buckets}")
+    key = {"skewed": lambda: rng.choice([f"h{rng.randrange(4)}", f"k{rng.randrange(3000)}", None]),
+           "flat": lambda: f"k{rng.randrange(500)}", "tied": lambda: f"k{rng.randrange(3)}", "few": lambda: "only", "none": lambda: None}[shape]
+    rows = [(key(), rng.choice(["x", "y"]), rng.choice([0, 1, None]), rng.choice([0, 1, 5, None])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "artist string, name string, skipped int, times int")
+    for keys in ("artist", ["artist", "name"]):
+        for times in (None, "times"):
+            assert stats.wide_stats_of_many(df, keys, 5, times, buckets).collect() == stats.wide_stats(df, keys, 5, times).collect()
+    assert stats.frequent_values(df, "artist", 7, buckets=buckets).collect() == stats.value_counts(df, "artist", 7).collect()
+    known = df.where("times > 0")
+    assert stats.frequent_values(known, "artist", 7, "times", buckets).collect() == stats.value_counts(known, "artist", 7, "times").collect()
+
+
+def test_only_keys_that_can_be_in_a_list_are_grouped(spark):
+    keys = F.when(F.col("id") % 3 == 0, F.col("id") % 5).otherwise(F.col("id") + 100)
+    df = spark.range(60000).select(keys.alias("key"))
+    kept = heavy_rows(df, "key", [F.lit(1)], 5, buckets=1024)
+    assert df.distinct().count() > 40000 and kept.distinct().count() < 600
+    # The same keys, none of them heavy: all are kept, the plain aggregate is the way then.
+    assert heavy_rows(df.distinct(), "key", [F.lit(1)], 5, buckets=1024).count() == df.distinct().count()
+
+
 def test_top_lists_hold_no_zero_counts(spark):
     df = spark.createDataFrame([("a", 0), ("b", 0)], "artist string, skipped int")
     assert [tuple(r) for r in stats.wide_stats(df, "artist", 10).collect()] == [("a", 0, 1), ("b", 0, 1)]

@@ -65,19 +65,31 @@ def roc_auc(df, label="skipped", score="score"):
     return totals.select(F.try_divide(F.col("h"), 2 * F.col("p") * F.col("n")).alias("auc"))
 
 
+def effects(coefficients):
+    """Rows (feature, coefficient) with size and direction of the effect."""
+    return coefficients.withColumns({"abs_coefficient": F.abs("coefficient"),
+                                     "category": skip_or_listen(F.col("coefficient"))})
+
+
+def model_coefficients(spark, model, names):
+    rows = [(name, float(c)) for name, c in zip(names, model.coefficients.toArray())]
+    return spark.createDataFrame(rows, "feature string, coefficient double")
+
+
 def coefficient_table(spark, model, names, n=None):
     """Coefficients by size of effect."""
-    rows = [(name, float(c)) for name, c in zip(names, model.coefficients.toArray())]
-    table = (spark.createDataFrame(rows, "feature string, coefficient double")
-             .withColumn("abs_coefficient", F.abs("coefficient"))
-             .withColumn("category", skip_or_listen(F.col("coefficient")))
-             .orderBy(F.desc("abs_coefficient"), "feature"))
+    table = effects(model_coefficients(spark, model, names)).orderBy(F.desc("abs_coefficient"), "feature")
     return table if n is None else table.limit(n)
 
 
 def wordcloud_table(spark, model, names):
     """Words with a non-zero coefficient: word, importance, coefficient, category."""
-    return (coefficient_table(spark, model, names).where("coefficient != 0")
+    return word_effects(model_coefficients(spark, model, names))
+
+
+def word_effects(coefficients):
+    """The word table of (feature, coefficient) rows; words are features without their prefix."""
+    return (effects(coefficients).where("coefficient != 0")
             .select(strip_prefix(F.col("feature"), "lyric_").alias("word"),
                     F.col("abs_coefficient").alias("importance"), "coefficient", "category")
             .orderBy(F.desc("importance"), "word"))

@@ -12,6 +12,7 @@ from pyspark.sql import Window, functions as F
 
 from tunetrail.functions.time import clock_label, context_label, day_label
 from tunetrail.functions.values import to_number
+from tunetrail.operators.heavy import BUCKETS, heavy_rows
 from tunetrail.schema import CORRELATED, TIME_OF_DAY
 
 
@@ -142,6 +143,12 @@ def value_counts(df, col, n=None, times=None):
     return counts if n is None else counts.limit(n)
 
 
+def frequent_values(df, col, n, times=None, buckets=BUCKETS):
+    """`value_counts` of the n most frequent values, for columns of very many values. Runs jobs, see `heavy_rows`."""
+    weight = F.lit(1) if times is None else F.col(times)
+    return value_counts(heavy_rows(df, col, [weight], n, buckets), col, n, times)
+
+
 def top_genres(counts, n=20, tags="genres_list", times=None):
     """The n most frequent genre tags of plays, or of counted rows with `times` plays each."""
     return value_counts(exploded_genres(counts, tags), "genre", n, times)
@@ -171,6 +178,13 @@ def wide_stats(plays, keys, top_n=10, times=None):
             .orderBy(F.desc("Completed_Count"), F.desc("Skipped_Count"), *keys))
 
 
+def wide_stats_of_many(plays, keys, top_n=10, times=None, buckets=BUCKETS):
+    """`wide_stats` for very many keys: only keys that can be in a list are grouped. Runs jobs, see `heavy_rows`."""
+    n = F.lit(1) if times is None else F.col(times)
+    weights = [F.when(F.col("skipped") == v, n) for v in (1, 0)]
+    return wide_stats(heavy_rows(plays, keys, weights, top_n, buckets), keys, top_n, times)
+
+
 def play_counts(plays, keys=("track_name", "artist")):
     return plays.dropna(subset=list(keys)).groupBy(*keys).agg(row_count().alias("play_count"))
 

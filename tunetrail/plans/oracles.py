@@ -441,6 +441,13 @@ def oracles():
     sql["wide_songs"] = wide("track_name, artist", "clean_orders", 10, orders)
     sql["wide_genres"] = wide("genre", "(SELECT skipped, unnest(tags) AS genre FROM clean_orders)", 10, orders)
 
+    sql["wide_listener_tracks"] = wide("user_id, track_id", "order_plays", 10, [ORDER_PLAYS])
+    sql["frequent_tracks"] = """SELECT l_partkey AS track_id, count(*) AS n FROM lineitem
+        GROUP BY l_partkey ORDER BY n DESC, track_id LIMIT 50"""
+    sql["word_effects"] = """SELECT CAST(l_partkey AS VARCHAR) AS word, abs(c) AS importance, c AS coefficient,
+        CASE WHEN c > 0 THEN 'skip' ELSE 'listen' END AS category
+        FROM (SELECT l_partkey, CAST(4 * count(*) FILTER (l_returnflag = 'R') - count(*) AS DOUBLE) AS c FROM lineitem GROUP BY l_partkey)
+        WHERE c <> 0"""
     sql["export_tables"] = exported()
 
     sql["sessions"] = sql["heavy_listener_sessions"] = SESSION_ROWS
@@ -467,6 +474,8 @@ def oracles():
     sql["page_urls"] = f"""{with_(PAGE_NAMES)} SELECT track_id, concat('https://lyrics.example/', {ARTIST_KEY}, '/', {TITLE_KEY}, '.html') AS url FROM names"""
     sql["plain_lyrics"] = "SELECT doc_id AS track_id, strip_accents(text) AS plain FROM documents"
     sql["repaired_lyrics"] = "SELECT doc_id AS track_id, md5(text) AS repaired, md5(text) AS untouched FROM documents"
+    sql["repaired_escapes"] = r"""SELECT doc_id AS track_id, md5(coalesce(CASE WHEN doc_id % 7 <> 0 THEN
+        regexp_replace(replace(text, ' ', '\n') || '_X000d_\r', '_x000d_|\\n|\\r', ' ', 'gi') END, '')) AS repaired FROM documents"""
     sql["page_lyrics"] = page_text()
     sql["page_content_lyrics"] = """SELECT page_id, CASE WHEN page_id % 2 = 0
         THEN concat_ws(chr(10), page_id, 'line', 'in', 'deep', 'tail') ELSE page_id || 'aboldz' END AS lyrics FROM pages"""

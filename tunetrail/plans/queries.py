@@ -266,6 +266,17 @@ def wide_genres(spark, sf):
     return stats.wide_stats(stats.exploded_genres(views.counted_tracks(spark, sf)), "genre", times="plays")
 
 
+@query
+def wide_listener_tracks(spark, sf):
+    """Top (listener, track) pairs, of which there are about as many as plays."""
+    return stats.wide_stats_of_many(views.order_plays(spark, sf), ["user_id", "track_id"])
+
+
+@query
+def frequent_tracks(spark, sf):
+    return stats.frequent_values(views.line_plays(spark, sf), "track_id", 50)
+
+
 @query
 def export_tables(spark, sf):
     """The count tables of the export, written by the sink and read back, as one long table."""
@@ -413,6 +424,15 @@ def repaired_lyrics(spark, sf):
         "track_id", F.md5(fix_mojibake(broken)).alias("repaired"), F.md5(fix_mojibake(F.col("lyrics"))).alias("untouched"))
 
 
+@query
+def repaired_escapes(spark, sf):
+    """Lyrics as a spreadsheet export leaves them: escapes for line ends, some texts missing."""
+    texts = views.lyrics(spark, sf)
+    escaped = F.concat(F.replace("lyrics", F.lit(" "), F.lit(r"\n")), F.lit(r"_X000d_\r"))
+    escaped = F.when(F.col("track_id") % 7 != 0, F.decode(F.encode(escaped, "UTF-8"), "ISO-8859-1"))
+    return texts.select("track_id", F.md5(fix_mojibake(escaped, strip_escapes=True)).alias("repaired"))
+
+
 @query
 def page_lyrics(spark, sf):
     return extract_page_lyrics(views.table(spark, sf, "pages")).select("page_id", "n_br", "lyrics")
@@ -645,6 +665,14 @@ def wordcloud(spark, sf):
                               stop_words=stop_words(spark))
 
 
+@query
+def word_effects(spark, sf):
+    """The word table over a stand-in for coefficients: by how many plays a track is skipped more often than not."""
+    margin = (F.sum("skipped") * 4 - F.count("skipped")).cast("double")
+    tracks = views.line_plays(spark, sf).groupBy("track_id").agg(margin.alias("coefficient"))
+    return evaluate.word_effects(tracks.select(F.concat(F.lit("lyric_"), "track_id").alias("feature"), "coefficient"))
+
+
 def track_vectors(spark, sf):
     """Three simple lyric numbers per track, in place of fitted token weights."""
     texts = views.lyrics(spark, sf)
