@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tunetrail.operators import sessions
 from tunetrail.operators.sessions import sequence_windows, sessionize, with_segments
 
 START = datetime(2024, 1, 1)
@@ -124,6 +125,25 @@ def test_plays_of_one_instant_are_cut(spark, name):
         sorted(sequence_windows(plain, ["energy"]).select(*seq).collect())
 
 
+def test_busy_minutes_are_ranked_in_tasks_by_plays_not_by_segments(spark, monkeypatch):
+    rows = [(i, 1, START, 0, 0.5) for i in range(1500)] + [(i // 2, 2, START + timedelta(seconds=i % 30), 0, 0.5) for i in range(1500)]
+    plays = plays_of(spark, rows)
+    spark.sparkContext.setJobGroup("busy", "busy")
+    segmented, _ = with_segments(plays, hot_rows=2)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("busy") for s in tracker.getJobInfo(j).stageIds
+             if tracker.getStageInfo(s) is not None]
+    spark.sparkContext.setJobGroup("", "")
+    assert max(tasks) < 100
+    assert {r["count"] for r in segmented.where("user_id = 1").groupBy("_segment").count().collect()} == {2}
+    monkeypatch.setattr(sessions, "RANK_ROWS", 40)
+    again, _ = with_segments(plays, hot_rows=2)
+    columns = ["user_id", "ts", "play_id", "_segment"]
+    assert sorted(again.select(*columns).collect()) == sorted(segmented.select(*columns).collect())
+    apart = again.groupBy("user_id", "ts", "play_id").agg(F.count_distinct("_segment").alias("n"))
+    assert apart.where("n > 1").isEmpty()
+
+
 def test_empty_input(spark):
     sessions = sessionize(plays_of(spark, []), 20, 3)
     assert sessions.count() == 0
