@@ -1,6 +1,7 @@
 """Properties of features, models and scores."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -283,3 +284,22 @@ def test_first_trees_equal_a_fit_with_fewer_trees_and_nested_scores_equal_separa
     apart = [sum(evaluator.evaluate(base.fit(dealt.where(f"_fold <> {k}"), dict(to_param[n](v) for n, v in p.items()))
                                     .transform(dealt.where(f"_fold = {k}"))) for k in range(2)) / 2 for p in points]
     assert nested == pytest.approx(apart)
+
+
+def test_lyrics_are_not_sent_to_every_task(spark, listening, monkeypatch):
+    from tunetrail.plans import features as plans
+
+    plays, lyrics = listening
+    plays = plays.localCheckpoint()
+    joined = []
+    words = plans.vocabulary
+    monkeypatch.setattr(plans, "vocabulary", lambda docs, *rest, **options: (joined.append(docs), words(docs, *rest, **options))[1])
+    vectors, _ = plans.lyric_vectors(plays, lyrics, max_df=1.0)
+    monkeypatch.setattr(training, "PLAYS_PER_TASK", 100)
+    windows, _ = sequence_table(plays, 20, lyric_vectors=vectors)
+    joined.append(windows)
+    terms, steps = [df._jdf.queryExecution() for df in joined]
+    assert "ShuffledHashJoin" in terms.sparkPlan().toString() and "BroadcastHashJoin" not in terms.sparkPlan().toString()
+    assert "ShuffledHashJoin" in steps.sparkPlan().toString()
+    assert re.search(r"RepartitionByExpression \[user_id#\d+\], 9", steps.optimizedPlan().toString())
+    assert windows.count() > 0 and windows.select("play_id").rdd.getNumPartitions() == 9
