@@ -303,3 +303,28 @@ def test_lyrics_are_not_sent_to_every_task(spark, listening, monkeypatch):
     assert "ShuffledHashJoin" in steps.sparkPlan().toString()
     assert re.search(r"RepartitionByExpression \[user_id#\d+\], 9", steps.optimizedPlan().toString())
     assert windows.count() > 0 and windows.select("play_id").rdd.getNumPartitions() == 9
+
+
+def test_a_search_that_fails_in_threads_runs_again_alone(planted, monkeypatch):
+    from py4j.protocol import Py4JJavaError
+
+    class Lost(Py4JJavaError):
+        def __init__(self):
+            Exception.__init__(self, "Task not serializable")
+            self.java_exception = "Task not serializable"
+
+        def __str__(self):
+            return self.java_exception
+
+    used, plain = [], models.CrossValidator
+
+    class Tuner(plain):
+        def fit(self, rows):
+            used.append(self.getParallelism())
+            if used[-1] > 1:
+                raise Lost()
+            return plain.fit(self, rows)
+
+    monkeypatch.setattr(models, "CrossValidator", Tuner)
+    _, point = models.fit_elastic_net(planted, {"l1_ratio": [0.5], "C": [0.0001, 1.0]}, folds=2)
+    assert used == [4, 1] and point["C"] == 1.0
