@@ -328,3 +328,32 @@ def test_a_search_that_fails_in_threads_runs_again_alone(planted, monkeypatch):
     monkeypatch.setattr(models, "CrossValidator", Tuner)
     _, point = models.fit_elastic_net(planted, {"l1_ratio": [0.5], "C": [0.0001, 1.0]}, folds=2)
     assert used == [4, 1] and point["C"] == 1.0
+
+
+def test_counted_plays_fit_as_plays_do(spark, listening):
+    """A track's equal plays are one weighted row: same features, weights and fits from far fewer rows."""
+    plays, lyrics = listening
+    train, test, names = prepare_snapshot(plays, lyrics, max_df=1.0)
+    few, few_test, same = prepare_snapshot(plays, lyrics, max_df=1.0, count_from=900)
+    assert same == names and prepare_snapshot(plays, None, count_from=901)[0].count() == train.count()
+    for rows, counted in ((train, few), (test, few_test)):
+        assert counted.count() < rows.count() == counted.agg(F.sum("plays")).head()[0]
+    for weight in ("balanced", "positive"):
+        assert few.agg(F.sum(weight)).head()[0] == pytest.approx(train.agg(F.sum(weight)).head()[0])
+    shown = lambda df: sorted((r.skipped, *np.round(r.with_lyrics.toArray(), 9)) for r in df.select("skipped", "with_lyrics").distinct().collect())
+    assert shown(few) == shown(train)
+    point = {"l1_ratio": [0.5], "C": [1.0]}
+    a, b = (models.fit_elastic_net(df, point, features="with_lyrics", weight="balanced")[0].coefficients.toArray() for df in (train, few))
+    assert np.allclose(a, b, atol=0.01) and np.abs(a).max() > 0.5
+    trees = {"n_estimators": [5], "max_depth": [2], "learning_rate": [0.1]}
+    a, b = (models.fit_boosted(df, trees, features="audio_only", weight="positive")[0].featureImportances.toArray() for df in (train, few))
+    assert np.allclose(a, b, atol=1e-6)
+
+
+def test_counted_zscores_equal_those_of_the_plays(spark):
+    rows = [(1.0, 1e9 + 1, 0.1, 3), (2.5, 1e9 + 2, 0.1, 4), (None, 1e9 + 4, 0.1, 2), (7.0, 1e9 + 9, 0.1, 1)]
+    got = features.zscore_fit(spark.createDataFrame(rows, "a double, b double, c double, n long"), ["a", "b", "c"], times="n").head().asDict()
+    a, b = np.repeat([1.0, 2.5, 7.0], [3, 4, 1]), np.repeat([1, 2, 4, 9], [3, 4, 2, 1])
+    want = {"a_mean": a.mean(), "b_mean": 1e9 + b.mean(), "c_mean": 0.1, "a_std": a.std(), "b_std": b.std(), "c_std": 0.0}
+    assert list(got) == list(want) and got["c_std"] == 0.0
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)

@@ -79,3 +79,13 @@ def test_tied_rows_are_cut_by_hash_and_equal_rows_by_count(spark, rank_rows, mon
     again = stratified_split(df.repartition(5), rank_rows=rank_rows).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_narrow_table_with_the_tie_hash_is_split_as_the_wide_one(spark):
+    from pyspark.sql import functions as F
+
+    wide = spark.createDataFrame([(1, i % 2, f"t{i}", i) for i in range(40)], "play_id int, skipped int, title string, n int")
+    want = {r.n: r.split for r in stratified_split(wide).collect()}
+    narrow = wide.select("play_id", "skipped", "n", F.xxhash64(*wide.columns).alias("_tie"))
+    got = {r.n: r.split for r in stratified_split(narrow, tie="_tie").collect()}
+    assert got == want and list(got.values()).count("train") == 32
