@@ -357,3 +357,31 @@ def test_counted_zscores_equal_those_of_the_plays(spark):
     want = {"a_mean": a.mean(), "b_mean": 1e9 + b.mean(), "c_mean": 0.1, "a_std": a.std(), "b_std": b.std(), "c_std": 0.0}
     assert list(got) == list(want) and got["c_std"] == 0.0
     assert all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_assembled_vectors_are_the_assemblers_without_one_large_method(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    names = [f"x{i}" for i in range(40)]
+    df = spark.range(50).select("id", *[F.when(F.col("id") % (i + 2) == 0, F.col("id") * i).otherwise(0.0).alias(n) for i, n in enumerate(names)])
+    df = df.withColumn("v", array_to_vector(F.array("x1", "x2")))
+    cols = [*names[:5], "v", *names[5:]]
+    got = features.assemble(df, cols)
+    assert got.columns == df.columns + ["features"]
+    want = VectorAssembler(inputCols=cols, outputCol="features").transform(df.localCheckpoint())
+    pairs = zip(got.orderBy("id").collect(), want.orderBy("id").collect(), strict=True)
+    assert all(a.features == b.features and type(a.features) is type(b.features) for a, b in pairs)
+    plan = features.assemble(df, names).select("features")._jdf.queryExecution().executedPlan().toString()
+    packing = [line for line in plan.splitlines() if "array_to_vector" in line or "transform(" in line]
+    assert packing and not any(re.match(r"\W*\*\(\d+\)", line) for line in packing)
+    with pytest.raises(Exception, match="NULL or NaN"):
+        features.assemble(df.withColumn("x3", F.lit(float("nan"))), names).select("features").collect()
+
+
+def test_queries_of_single_points_count_equal_plays(spark, asked, monkeypatch):
+    seen, fit = [], training.fit_snapshot_models
+    monkeypatch.setattr(training, "COUNT_FROM", 1)
+    monkeypatch.setattr(training, "fit_snapshot_models", lambda train, *rest: (seen.append(train.columns), fit(train, *rest))[1])
+    for name in ("model_coefficients", "model_importances"):
+        assert QUERIES[name](spark, SF).count() == 15
+    assert all("plays" in columns and "play_id" not in columns for columns in seen) and len(seen) == 2
