@@ -385,3 +385,16 @@ def test_queries_of_single_points_count_equal_plays(spark, asked, monkeypatch):
     for name in ("model_coefficients", "model_importances"):
         assert QUERIES[name](spark, SF).count() == 15
     assert all("plays" in columns and "play_id" not in columns for columns in seen) and len(seen) == 2
+
+
+def test_plays_without_lyrics_are_left_out_before_the_library(spark, monkeypatch):
+    from tunetrail.plans import queries, testviews
+
+    given = []
+    monkeypatch.setattr(training, "prepare_snapshot", lambda plays, *rest, **options: given.append(plays))
+    queries.prepared(spark, SF)
+    wide = testviews.clean_order_plays(spark, SF).join(testviews.lyrics(spark, SF).select("track_id"), "track_id", "left_semi")
+    assert given[0].columns == wide.columns and given[0].exceptAll(wide).isEmpty() and wide.exceptAll(given[0]).isEmpty()
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    depth = lambda text: next(len(re.match(r"[\W]*", line)[0]) for line in plan.splitlines() if text in line)
+    assert depth("LeftSemi") > depth("Join Inner")
