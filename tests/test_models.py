@@ -398,3 +398,62 @@ def test_plays_without_lyrics_are_left_out_before_the_library(spark, monkeypatch
     plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
     depth = lambda text: next(len(re.match(r"[\W]*", line)[0]) for line in plan.splitlines() if text in line)
     assert depth("LeftSemi") > depth("Join Inner")
+
+
+@pytest.mark.parametrize("kind", ["of PySpark", "of py4j"])
+def test_no_fit_of_the_failed_search_runs_beside_the_second(planted, monkeypatch, kind):
+    from threading import Lock
+    from time import sleep
+
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors.exceptions.captured import NumberFormatException
+
+    class Lost(Py4JJavaError):
+        def __init__(self):
+            Exception.__init__(self, "Task not serializable")
+
+        def __str__(self):
+            return "Task not serializable"
+
+    error = Lost() if kind == "of py4j" else NumberFormatException("Cannot parse null string", stackTrace="")
+    lock, running, searches, beside, plain = Lock(), [], [], [], models.CrossValidator
+    fit = models.LogisticRegression._fit
+
+    class Tuner(plain):
+        def fit(self, rows):
+            searches.append(self.getParallelism())
+            return plain.fit(self, rows)
+
+    def watched(self, rows):
+        with lock:
+            first = not running and len(searches) == 1 and not beside
+            if len(searches) == 2:
+                beside.append(len(running) - running.count("done"))
+            running.append("fit")
+        try:
+            if first:
+                raise error
+            if len(searches) == 1:
+                sleep(2)
+            return fit(self, rows)
+        finally:
+            with lock:
+                running[running.index("fit")] = "done"
+
+    monkeypatch.setattr(models, "CrossValidator", Tuner)
+    monkeypatch.setattr(models.LogisticRegression, "_fit", watched)
+    _, point = models.fit_elastic_net(planted, {"l1_ratio": [0.5, 1.0], "C": [0.0001, 1.0, 2.0]}, folds=2)
+    assert searches == [4, 1] and len(beside) >= 13 and set(beside) == {0} and point["C"] > 0.1
+
+
+def test_a_search_scores_as_that_of_spark(planted):
+    from pyspark.ml.tuning import CrossValidator
+
+    base = models.LogisticRegression(labelCol="skipped", weightCol="weight", maxIter=20)
+    maps = [{base.regParam: r, base.elasticNetParam: a} for r in (0.001, 0.3) for a in (0.0, 0.5)]
+    options = {"estimator": base, "estimatorParamMaps": maps, "evaluator": models._evaluator("roc_auc", "skipped"),
+               "numFolds": 3, "foldCol": "_fold", "parallelism": 4}
+    dealt = models._with_fold(planted, "play_id", 3, 42)
+    ours, theirs = (kind(**options).fit(dealt) for kind in (models.CrossValidator, CrossValidator))
+    assert ours.avgMetrics == list(theirs.avgMetrics)
+    assert ours.bestModel.coefficients == theirs.bestModel.coefficients
