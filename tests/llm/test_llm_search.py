@@ -91,3 +91,22 @@ def test_rough_and_empty_tables(spark, rough):
     assert {r.item_id for r in found.collect()} == {1}
     for docs, some in ((rough.limit(0), items), (rough, items.limit(0)), (rough.where("text IS NULL"), items)):
         assert ball_tree.best_documents(docs, some).count() == 0
+
+
+def test_query_equals_its_sql_on_rows_of_its_own(spark, documents, tmp_path):
+    import duckdb
+
+    from tunetrail.llm import queries
+
+    rng = random.Random(9)
+    texts = [rng.choice([None, "", " .,", sample(rng, 40), sample(rng, 40)]) for _ in range(150)]
+    tables = {"documents": documents(texts), "benchmark": spark.createDataFrame(
+        [(k, sample(rng, 20)) for k in range(6)] + [(8, None), (9, "W1 w1 É"), (10, "unknown word")], ITEM)}
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    answer = con.execute(queries.ORACLES["op12_ball_tree"])
+    columns = [d[0] for d in answer.description]
+    got = queries.QUERIES["op12_ball_tree"](spark, str(tmp_path)).collect()
+    assert len(got) > 100 and sorted(tuple(r[c] for c in columns) for r in got) == sorted(answer.fetchall())
