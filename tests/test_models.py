@@ -473,3 +473,41 @@ def test_a_session_with_job_tags_can_search_and_score(spark, planted):
         assert network.transform(rows).groupBy("prediction").count().agg(F.sum("count")).head()[0] == 400
     finally:
         tagged.removeTag("limit")
+
+
+def test_a_search_sees_every_row_and_takes_all_steps(spark, monkeypatch):
+    """Every fit of a search gets the weight of all rows outside its fold, equal rows as one, and its score all rows in it."""
+    rows, seen, held = 120_000, [], []
+    i = F.col("id")
+    df = spark.range(rows).select(
+        i.alias("play_id"), ((i % 10 < 4) != (i % 7 == 0)).cast("int").alias("skipped"), F.lit(1.5).alias("weight"),
+        array_to_vector(F.array((i % 10).cast("double"), (i % 4).cast("double"))).alias("features"))
+    fit, score = models.LogisticRegression._fit, models.MulticlassClassificationEvaluator._evaluate
+
+    def watched(self, df):
+        seen.append((self.getMaxIter(), df.count(), df.agg(F.sum("weight")).head()[0]))
+        return fit(self, df)
+
+    def counted(self, df):
+        held.append(df.agg(F.sum("_times")).head()[0])
+        return score(self, df)
+
+    monkeypatch.setattr(models.LogisticRegression, "_fit", watched)
+    monkeypatch.setattr(models.MulticlassClassificationEvaluator, "_evaluate", counted)
+    grid = {"l1_ratio": [0.5], "C": [0.00001, 1.0]}
+    model, point = models.fit_elastic_net(df, grid, folds=2, metric="accuracy", parallelism=1)
+    search, last = seen[:4], seen[-1]
+    assert {steps for steps, _, _ in seen} == {200} and all(n <= 40 for _, n, _ in search) and last[1] == rows
+    assert search[0][2] + search[2][2] == pytest.approx(1.5 * rows) and held[0] + held[2] == rows
+
+    monkeypatch.setattr(models.LogisticRegression, "_fit", fit)
+    monkeypatch.setattr(models.MulticlassClassificationEvaluator, "_evaluate", score)
+    base = models.LogisticRegression(weightCol="weight", labelCol="skipped", maxIter=200, standardization=False, tol=1e-6)
+    maps = [{base.elasticNetParam: 0.5, base.regParam: 1 / (c * 1.5 * rows / 2)} for c in grid["C"]]
+    plays = models._with_fold(df, "play_id", 2, 42).cache()
+    common = {"estimator": base, "estimatorParamMaps": maps, "numFolds": 2, "foldCol": "_fold"}
+    whole = models.CrossValidator(evaluator=models._evaluator("accuracy", "skipped"), **common).fit(plays)
+    merged = models.CrossValidator(evaluator=models._evaluator("accuracy", "skipped").setWeightCol("_times"), **common).fit(
+        models.counted_folds(df, "skipped", "features", "weight", "play_id", 2, 42).cache())
+    assert merged.avgMetrics == pytest.approx(whole.avgMetrics, abs=1e-9)
+    assert np.allclose(merged.bestModel.coefficients, whole.bestModel.coefficients, atol=1e-4)
