@@ -511,3 +511,29 @@ def test_a_search_sees_every_row_and_takes_all_steps(spark, monkeypatch):
         models.counted_folds(df, "skipped", "features", "weight", "play_id", 2, 42).cache())
     assert merged.avgMetrics == pytest.approx(whole.avgMetrics, abs=1e-9)
     assert np.allclose(merged.bestModel.coefficients, whole.bestModel.coefficients, atol=1e-4)
+
+
+def test_snapshot_models_are_fitted_side_by_side_and_a_failed_one_again_alone(planted, monkeypatch):
+    from threading import Barrier
+
+    from pyspark.errors.exceptions.captured import NumberFormatException
+
+    met, begun, ended = Barrier(3), [], []
+
+    def fit(name):
+        def fitted(train, *rest, **options):
+            begun.append(name)
+            if len(begun) <= 3:
+                met.wait(60)
+                ended.append(name)
+                if name == "boosted":
+                    raise NumberFormatException("Cannot parse null string", stackTrace="")
+            return name, sorted(ended)
+        return fitted
+
+    monkeypatch.setattr(training, "fit_elastic_net", fit("elastic"))
+    monkeypatch.setattr(training, "fit_boosted", fit("boosted"))
+    table = {name: ("features", kind, {}, 2, "accuracy", None) for name, kind in (("a", "elastic"), ("b", "boosted"), ("c", "elastic"))}
+    fitted = fit_snapshot_models(planted, table)
+    assert begun == ["elastic", "boosted", "elastic", "boosted"] and list(fitted) == ["a", "b", "c"]
+    assert fitted["b"] == ("boosted", ["boosted", "elastic", "elastic"], "features")
