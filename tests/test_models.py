@@ -537,3 +537,14 @@ def test_snapshot_models_are_fitted_side_by_side_and_a_failed_one_again_alone(pl
     fitted = fit_snapshot_models(planted, table)
     assert begun == ["elastic", "boosted", "elastic", "boosted"] and list(fitted) == ["a", "b", "c"]
     assert fitted["b"] == ("boosted", ["boosted", "elastic", "elastic"], "features")
+
+
+def test_class_weights_are_worked_out_once_for_all_fits(listening):
+    plays, lyrics = listening
+    train, test, _ = prepare_snapshot(plays, lyrics, max_df=1.0)
+    plan = train._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and "Join LeftOuter" in plan
+    for mode in ("balanced", "positive"):
+        want = {r.skipped: r.weight for r in features.class_weights(train, mode=mode).collect()}
+        got = {r.skipped: r[mode] for r in train.select("skipped", mode).distinct().collect()}
+        assert len(want) == 2 and got == pytest.approx(want)
